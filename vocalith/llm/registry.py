@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from vocalith.llm import decontamination, simhash
+from vocalith.llm import decontamination, pii, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op2_sharding": sharding.query,
     "op5_decontamination": decontamination.query,
     "op6_simhash": simhash.query,
+    "op9_pii": pii.query,
+    "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {
     "op5_decontamination": decontamination.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
 }
