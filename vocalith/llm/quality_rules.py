@@ -19,8 +19,8 @@ SYMBOLS = "#*$%&|<>"
 RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("symbols", "10 * n_symbols > word_chars"),
-    ("duplicate_lines", "n_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
+    ("symbols", "100 * n_symbols > 7 * word_chars"),
+    ("duplicate_lines", "n_lines >= 5 and 10 * n_dup_lines > 5 * n_lines"),
     ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)"),
     ("upper_case", "n_words >= 10 and 2 * n_upper > word_chars"),
     ("stuttering", "n_words >= 10 and 5 * n_stutter > n_words"),

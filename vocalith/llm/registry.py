@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vocalith.llm import decontamination, pii, quality_rules, sharding, simhash
+from vocalith.llm import decontamination, pii, quality_knn, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_sharding": sharding.query,
+    "op3_quality_classifier": quality_knn.query,
     "op5_decontamination": decontamination.query,
     "op6_simhash": simhash.query,
     "op9_pii": pii.query,
