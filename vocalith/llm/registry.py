@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vocalith.llm import decontamination, pii, quality_knn, quality_rules, sharding, simhash, toxicity
+from vocalith.llm import decontamination, pii, quality_knn, quality_rules, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality_knn.query,
     "op5_decontamination": decontamination.query,
     "op6_simhash": simhash.query,
+    "op7_token_files": token_files.query,
     "op9_pii": pii.query,
     "op10_quality_rules": quality_rules.query,
 }
