@@ -1,8 +1,55 @@
-"""The training-corpus pipeline; its stages follow as their operators land."""
+"""The training-corpus pipeline: reject toxic documents, keep one of each group of near copies, cut out benchmark passages,
+mix the sources by weight, and shuffle into shards. Each stage is written as Parquet and read again by the next."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vocalith.llm import decontamination, mixing, sharding, simhash, toxicity
+from vocalith.plans.scratch import materialize
+
+SHARDS = 24
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose severity is more likely 0 than above, by a model of the labelled ones among them."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of fingerprints (three-word shingles, two bits)."""
+    return simhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the ten-word windows of the benchmark; those that are mostly benchmark go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """For each pass over its source, the words of each document that the mix takes."""
+    return mixing.mixed_documents(docs)
+
+
+def shuffle(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Row number, shard and slot of each document."""
+    return sharding.shard(docs, SHARDS)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shuffle),
+]
+#: A fitted model, XXH64 fingerprints and keyed permutations are beyond DuckDB's SQL: tests hold the stages to plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vocalith.llm import decontamination, pii, quality_knn, quality_rules, sharding, simhash, token_files, toxicity
+from vocalith.llm import decontamination, mixing, pii, quality_knn, quality_rules, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_sharding": sharding.query,
     "op3_quality_classifier": quality_knn.query,
+    "op4_mixing": mixing.query,
     "op5_decontamination": decontamination.query,
     "op6_simhash": simhash.query,
     "op7_token_files": token_files.query,

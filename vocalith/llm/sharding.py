@@ -20,7 +20,7 @@ from vocalith.plans.scratch import materialize
 
 ROUNDS = 6
 #: Rows of a bucket, about.
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 50_000
 #: Copies of one key beyond which its rows are spread.
 SPREAD = 16
 
