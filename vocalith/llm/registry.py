@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vocalith.llm import decontamination, mixing, pii, quality_knn, quality_rules, sharding, simhash, token_files, toxicity
+from vocalith.llm import decontamination, line_dedup, mixing, pii, quality_knn, quality_rules, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontamination": decontamination.query,
     "op6_simhash": simhash.query,
     "op7_token_files": token_files.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_pii": pii.query,
     "op10_quality_rules": quality_rules.query,
 }
