@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from vocalith.plans import gates, sources
+
+BOOKS = [sources.book, gates.book]
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for b in BOOKS for name, f in b.queries.items()}
 
 
 def oracles() -> dict:
-    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return {name: sql for b in BOOKS for name, sql in b.oracles.items()}
