@@ -4,7 +4,7 @@ Two lines within ``threshold`` edits (insert, delete or replace a code point) sh
 ``threshold + 1`` even segments, and at least one is untouched by the edits. Each distinct line files its segments in an
 index under (its length, segment number, segment text), and looks up, for each length it can be linked to, the substrings
 where a segment can have moved (the multi-match-aware selection of Li et al., Pass-Join, 2011). Lines that meet compare
-counts of letters, which are part of their numbers (an edit moves at most two counts by one), and the rest are verified:
+counts of some letters, which are part of their numbers (an edit moves at most two counts by one), and the rest are verified:
 what they have in common at both ends is cut off by bisection, and the middles go through Hyyro's banded bit-parallel edit
 distance, one word of bits a column.
 
@@ -22,58 +22,64 @@ from vocalith.operators.skew import lookup
 from vocalith.plans.scratch import materialize
 
 THRESHOLD, LEAST = 2, 24
-#: Letters whose numbers are counted; the counts, modulo 64, are the low bits of a line's number.
-CLASSES = ["afkpuz", "bglqv", "chmrw", "dinsx", "ejoty"]
-COUNT_BITS = 6 * len(CLASSES)
+#: Letters that are counted; the counts, modulo 64, are the low bits of a line's number.
+LETTERS = "etnoa"
+COUNT_BITS = 6 * len(LETTERS)
 
 
 def _number(line: Column) -> Column:
     """A line's number: 34 bits of hash and five counts of letters. Lines that share one are told apart by their texts."""
-    length = F.length(line)
+    size, none = F.octet_length(line), F.lit(0)
     out = F.shiftleft(F.shiftright(F.xxhash64(line), COUNT_BITS), COUNT_BITS)
-    for k, letters in enumerate(CLASSES):
-        out = out.bitwiseOR(F.shiftleft(((length - F.length(F.translate(line, letters, ""))) % 64).cast("long"), 6 * k))
+    for k, letter in enumerate(LETTERS):
+        count = F.coalesce(size - F.octet_length(F.replace(line, F.lit(letter), F.lit(""))), none)
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(63)).cast("long"), 6 * k))
     return out
 
 
 def _alike(a: Column, b: Column, threshold: int) -> Column:
     """Whether two numbers' counts of letters differ by what ``threshold`` edits can do."""
     total = F.lit(0).cast("long")
-    for k in range(len(CLASSES)):
+    for k in range(len(LETTERS)):
         gap = F.abs(F.shiftrightunsigned(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftrightunsigned(b, 6 * k).bitwiseAND(F.lit(63)))
         total = total + F.least(gap, 64 - gap)
     return total <= 2 * threshold
 
 
-def _segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment k (from 1): the last ones are longer by one where the length isn't even."""
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts
-    extra = F.greatest(F.lit(0), longer - (parts - k + 1))
-    return (k - 1) * short + extra + 1, short + F.when(longer >= parts - k + 1, 1).otherwise(0)
+def _even(each: DataFrame, threshold: int) -> DataFrame:
+    """``each`` with, for each length a line can meet, the short length of an even segment and how many are longer by one."""
+    parts = threshold + 1
+    own = {f"s{d}": F.expr(f"cast((size - {d}) div {parts} as int)") for d in range(parts)}
+    rest = {f"r{d}": F.expr(f"(size - {d}) % {parts}") for d in range(parts)}
+    return each.withColumns(own | rest)
+
+
+def _segment(shorter: int, k: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment k (from 1) of a line that is ``shorter``; the last ones are the longer ones."""
+    short, rest, edge = F.col(f"s{shorter}"), F.col(f"r{shorter}"), parts - k
+    return short * (k - 1) + F.greatest(F.lit(0), rest - edge - 1) + 1, short + F.when(rest > edge, 1).otherwise(0)
 
 
-def _file(length: Column, k: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(k), piece)
+def _file(shorter: int, k: int, at: Column, size: Column) -> Column:
+    return F.xxhash64(F.col("size") - shorter, F.lit(k), F.substr("line", at, size))
 
 
-def _index(length: Column, line: Column, threshold: int) -> Column:
+def _index(threshold: int) -> Column:
     parts = threshold + 1
-    each = [(k, *_segment(length, k, parts)) for k in range(1, parts + 1)]
-    return F.array(*[_file(length, k, F.substr(line, at, size)) for k, at, size in each])
+    return F.array(*[_file(0, k, *_segment(0, k, parts)) for k in range(1, parts + 1)])
 
 
-def _probes(length: Column, line: Column, threshold: int) -> Column:
+def _probes(threshold: int) -> Column:
+    """Where segment k of a shorter line can begin in this one: moved by at most k - 1 edits before it, and by what edits
+    after it can make up of the difference in length. Null where that would be outside."""
     parts, out = threshold + 1, []
     for shorter in range(threshold + 1):
-        other = length - shorter
         for k in range(1, parts + 1):
-            at, size = _segment(other, k, parts)
+            at, size = _segment(shorter, k, parts)
             for move in range(max(1 - k, shorter - parts + k), min(k - 1, shorter + parts - k) + 1):
-                start = at + move
-                fits = (start >= 1) & (start + size - 1 <= length) & (other >= LEAST)
-                out.append(F.when(fits, F.struct(_file(other, k, F.substr(line, start, size)).alias("file"), F.lit(shorter).alias("shorter"))))
-    return F.array_compact(F.array(*out))
+                fits = (at + move >= 1) & (at + move + size - 1 <= F.col("size")) & (F.col("size") - shorter >= LEAST)
+                out.append(F.when(fits, _file(shorter, k, at + move, size)))
+    return F.array(*out)
 
 
 def _common(a: Column, b: Column, most: Column, take) -> Column:
@@ -163,13 +169,12 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs of different texts within ``threshold`` edits among the column ``line``: a, b (the texts) once each."""
     known = lines.where(F.length("line") >= LEAST).select(_number(F.col("line")).alias("id"), "line")
     texts = known.groupBy("id").agg(F.collect_set("line").alias("texts"))  # one, but for lines that share a number
-    each = texts.select("id", F.explode("texts").alias("line")).select("id", "line", F.length("line").alias("size"))
-    index = each.select(F.col("id").alias("ib"), F.explode(_index(F.col("size"), F.col("line"), threshold)).alias("file"))
-    probes = each.select(F.col("id").alias("ia"), F.explode(_probes(F.col("size"), F.col("line"), threshold)).alias("p")).select("ia", "p.file", "p.shorter")
+    each = _even(texts.select("id", F.explode("texts").alias("line")).select("id", "line", F.length("line").alias("size")), threshold)
+    index = each.select(F.col("id").alias("ib"), F.explode(_index(threshold)).alias("file"))
+    probes = each.select(F.col("id").alias("ia"), F.explode(_probes(threshold)).alias("file")).where("file is not null")
     alike = _alike(F.col("ia"), F.col("ib"), threshold)
-    # lines that share a number meet as well: equal lengths once by the order of numbers, or in one number by their texts
-    met = probes.join(index, (probes.file == index.file) & ((F.col("shorter") > 0) | (F.col("ia") <= F.col("ib"))) & alike)
-    pairs = met.select("ia", "ib").where("ia <> ib").distinct()
+    met = probes.join(index, (probes.file == index.file) & (F.col("ia") != F.col("ib")) & alike)
+    pairs = met.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
     a, b = texts.select(F.col("id").alias("ia"), F.col("texts").alias("ta")), texts.select(F.col("id").alias("ib"), F.col("texts").alias("tb"))
     read = pairs.join(a, "ia").join(b, "ib").select(F.explode("ta").alias("a"), "tb").select("a", F.explode("tb").alias("b"))
     twins = texts.where(F.size("texts") > 1).select(F.explode("texts").alias("a"), F.col("texts").alias("tb")).select("a", F.explode("tb").alias("b")).where("a < b")
@@ -194,7 +199,8 @@ def decide(documents: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     ends = edges.select(F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")).alias("key")).union(edges.select(F.struct(F.col("bh").alias("h"), F.col("bg").alias("g")).alias("key"))).distinct()
     named = ends.join(roots, F.col("key.h") == F.col("h")).select("key", F.struct(F.col("root").alias("h"), F.lit(None).cast("long").alias("g")).alias("class"))
     distinct = seen.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    classed = materialize(distinct.join(named, "key", "left").select("key", "first", "n", F.coalesce("class", "key").alias("class")), "classes")
+    several = distinct.join(named, "key", "left").where("n > 1 or class is not null")  # others are alone in their class
+    classed = materialize(several.select("key", "first", "n", F.coalesce("class", "key").alias("class")), "classes")
     heads = classed.groupBy("class").agg(F.min("first").alias("head"), F.sum("n").alias("members"), F.min_by("key", "first").alias("head_key")).where("members > 1")
     table = classed.join(heads, "class").select("key", "head", (F.col("head_key") != F.col("key")).alias("near"), "n")
     found = lookup(seen, table, "key", "n")
