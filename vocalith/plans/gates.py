@@ -30,18 +30,19 @@ def gate_split(spark, d):
     return rejected.select("id", F.round("duration_s", 2).alias("duration_s"), "reason")
 
 
-@book.add("asr_consistency_gate", """with p as (select doc_id, lower(translate(substr(text, 1, 80), 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', 'ACEEEINOOUsaceeeinoou')) as t from documents),
- c as (select doc_id, regexp_replace(t, '[^a-z0-9]', '', 'g') as r, regexp_replace(substr(t, 1 + doc_id % 50), '[^a-z0-9]', '', 'g') as h from p)
- select doc_id, case when length(r) = 0 then (case when length(h) = 0 then 0.0 else 1.0 end) else levenshtein(r, h) / length(r) end > 0.35 as asr_mismatch from c""")
+@book.add("asr_consistency_gate", """with p as (select conv_id, turn, lower(translate(text, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', 'ACEEEINOOUsaceeeinoou')) as t from conversations),
+ c as (select conv_id, turn, regexp_replace(t, '[^a-z0-9]', '', 'g') as r, regexp_replace(replace(t, 'e', case when turn % 2 = 0 then '' else 'th th' end), '[^a-z0-9]', '', 'g') as h from p)
+ select conv_id, turn, case when length(r) = 0 then (case when length(h) = 0 then 0.0 else 1.0 end) else levenshtein(r, h) / length(r) end > 0.35 as asr_mismatch from c""")
 def asr_consistency_gate(spark, d):
-    t = F.lower(F.translate(F.substr("text", F.lit(1), F.lit(80)), "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü", "ACEEEINOOUsaceeeinoou"))
-    rows = table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.regexp_replace("t", "[^a-z0-9]", "").alias("r"), F.regexp_replace(F.substr("t", (1 + F.col("doc_id") % 50).cast("int")), "[^a-z0-9]", "").alias("h"))
-    return rows.select("doc_id", (T.error_rate(F.col("r"), F.col("h")) > G.Thresholds().max_cer).alias("asr_mismatch"))
+    t = F.lower(F.translate("text", "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü", "ACEEEINOOUsaceeeinoou"))
+    heard = F.replace("t", F.lit("e"), F.when(F.col("turn") % 2 == 0, "").otherwise("th th"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", t.alias("t")).select("conv_id", "turn", F.regexp_replace("t", "[^a-z0-9]", "").alias("r"), F.regexp_replace(heard, "[^a-z0-9]", "").alias("h"))
+    return rows.select("conv_id", "turn", (T.error_rate(F.col("r"), F.col("h")) > G.Thresholds().max_cer).alias("asr_mismatch"))
 
 
-@book.add("ingest_reasons", """select doc_id, case when doc_id % 17 = 0 then 'unreadable' when trim(substr(text, 1, 5)) = '' or doc_id % 19 = 0 then 'no_transcript' end as reason, n_chars as duration from documents""")
+@book.add("ingest_reasons", """select doc_id, case when doc_id % 17 = 0 then 'unreadable' when trim(text) = '' or doc_id % 19 = 0 then 'no_transcript' end as reason, n_chars as duration from documents""")
 def ingest_reasons(spark, d):
-    why = F.when(F.col("doc_id") % 17 == 0, "unreadable").when((F.trim(F.substr("text", F.lit(1), F.lit(5))) == "") | (F.col("doc_id") % 19 == 0), "no_transcript")
+    why = F.when(F.col("doc_id") % 17 == 0, "unreadable").when((F.trim("text") == "") | (F.col("doc_id") % 19 == 0), "no_transcript")
     return table(spark, d, "documents").select("doc_id", why.alias("reason"), F.col("n_chars").alias("duration"))
 
 
@@ -51,11 +52,11 @@ def n_chars(spark, d):
 
 
 @book.add("text_script_gate", r"""with c as (select doc_id, t, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) as w, length(t) - length(regexp_replace(t, '[À-ÿ]', '', 'g')) as o
- from (select doc_id, substr(text, 1 + doc_id % 7, 12) as t from documents)), b as (select *, trim(regexp_replace(t, '\s', '', 'g')) = '' as blank from c)
+ from (select doc_id, text as t from documents)), b as (select *, trim(regexp_replace(t, '\s', '', 'g')) = '' as blank from c)
  select doc_id, array_to_string(list_filter([case when blank then 'empty_transcript' end, case when not blank and w = 0 then 'no_script' end, case when not blank and w > 0 and w / (w + o) < 0.5 then 'low_share' end,
  case when not blank and (regexp_matches(t, '\p{Nd}') or regexp_matches(t, '[^A-Za-zÀ-ÿ .,\n]')) then 'bad_normalization' end], lambda x: x is not null), ';') as reasons from b""")
 def text_script_gate(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.substr("text", (1 + F.col("doc_id") % 7).cast("int"), F.lit(12)).alias("t"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     found = G.script_reasons(F.col("t"), "A-Za-z", "À-ÿ", r"A-Za-zÀ-ÿ .,\n", ("no_script", "low_share"))
     return rows.select("doc_id", F.array_join(found, ";").alias("reasons"))
 

@@ -12,7 +12,7 @@ book = Book()
 
 _MANIFEST = {
     "audio": "concat('clips/', cast(doc_id as string), '.wav')",
-    "text": "case when doc_id % 11 = 0 then '   ' else concat(' ', replace(substr(text, 1, 60), chr(10), ' '), ' ') end",
+    "text": "case when doc_id % 11 = 0 then '   ' else concat(' ', replace(text, chr(10), ' '), ' ') end",
     "speaker_id": "case when doc_id % 13 = 0 then '' else source end",
     "language": "lang",
     "emotion": "cast(null as string)",
@@ -40,12 +40,12 @@ def read_manifest(spark, d):
 
 @book.add(
     "read_pipe_metadata",
-    """with l as (select doc_id, replace(replace(substr(text, 1, 50), chr(10), ' '), chr(13), ' ') as t, source from documents)
+    """with l as (select doc_id, replace(replace(text, chr(10), ' '), chr(13), ' ') as t, source from documents)
     select 'f' || cast(doc_id as varchar) as file, case when doc_id % 2 = 0 then source else 'default' end as speaker, string_split(t, '|')[-1] as text
     from l where doc_id % 5 <> 0 and not contains(t, '|')""",
 )
 def read_pipe_metadata(spark, d):
-    t = F.regexp_replace(F.substr("text", F.lit(1), F.lit(50)), "[\n\r]", " ")
+    t = F.regexp_replace("text", "[\n\r]", " ")
     file = F.concat(F.lit("f"), F.col("doc_id"))
     line = F.when(F.col("doc_id") % 5 == 0, file).when(F.col("doc_id") % 2 == 0, F.concat_ws("|", file, "source", t)).otherwise(F.concat_ws("|", file, t))
     path = new_path(spark, "metadata")
@@ -172,13 +172,13 @@ def backfill_metric(spark, d):
 
 @book.add(
     "annotation_merge",
-    """select d.doc_id as id, case when l.toxic = 0 then '+' || substr(d.text, 1, 40) else substr(d.text, 1, 40) end as text,
+    """select d.doc_id as id, case when l.toxic = 0 then '+' || d.text else d.text end as text,
     case when l.doc_id is null then lang when l.toxic = 1 then 'tense' end as style, case when l.quality = 0 then 'rejected' end as reject_reason,
     case when l.doc_id is not null and l.quality = 1 then 'human_verified' else 'model' end as label_source,
-    case when l.quality = 1 then 'ann' end as verifier from (select doc_id, trim(substr(text, 1, 40)) as text, lang from documents) d left join labels l using (doc_id)""",
+    case when l.quality = 1 then 'ann' end as verifier from (select doc_id, trim(text) as text, lang from documents) d left join labels l using (doc_id)""",
 )
 def annotation_merge(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.trim(F.substr("text", F.lit(1), F.lit(40))).alias("text"), F.col("lang").alias("style"), F.lit("model").alias("label_source"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.trim("text").alias("text"), F.col("lang").alias("style"), F.lit("model").alias("label_source"))
     found = docs.join(table(spark, d, "labels").withColumnRenamed("doc_id", "id"), "id")
     edit = found.select("id", F.when(F.col("toxic") == 0, F.concat(F.lit("+"), "text")).otherwise("  ").alias("text"), F.when(F.col("toxic") == 1, "tense").otherwise("").alias("style"), (F.col("quality") == 0).alias("rejected"), F.lit("").alias("reason"), F.lit("ann").alias("annotator"), F.lit(2).alias("at"))
     old = edit.withColumns({"text": F.lit("stale"), "at": F.lit(1)})
