@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vocalith.plans import gates, sources
+from vocalith.plans import corpus, curation, frames, gates, service, sources
 
-BOOKS = [sources.book, gates.book]
+BOOKS = [sources.book, gates.book, curation.book, corpus.book, frames.book, service.book]
 
 
 def queries() -> dict:
