@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}\p{M}]"
@@ -56,10 +59,6 @@ def bounded_error(ref: Column, hyp: Column) -> Column:
 
 def nfc(text: Column) -> Column:
     """Unicode composition, applied only to rows that hold a combining mark; Spark has no function for it."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vocalith.plans import corpus, curation, frames, gates, service, sources
+from vocalith.plans import corpus, curation, evaluation, frames, gates, listening, service, sources
 
-BOOKS = [sources.book, gates.book, curation.book, corpus.book, frames.book, service.book]
+BOOKS = [sources.book, gates.book, curation.book, corpus.book, frames.book, service.book, evaluation.book, listening.book]
 
 
 def queries() -> dict:
