@@ -9,6 +9,19 @@ from vocalith.llm import decontamination, mixing, sharding, simhash, toxicity
 from vocalith.plans.scratch import materialize
 
 SHARDS = 24
+#: Rows that a Python worker gets at once, which bounds its memory where texts are long.
+ARROW_ROWS = 1_000
+
+
+def bounded(stage):
+    """``stage`` with batches of ``ARROW_ROWS`` rows."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    run.__doc__ = stage.__doc__
+    return run
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +50,11 @@ def shuffle(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", reject_toxic),
-    ("simhash near-dedup", drop_near_copies),
-    ("benchmark decontamination", decontaminate),
-    ("mixing", mix_sources),
-    ("sharding", shuffle),
+    ("toxicity", bounded(reject_toxic)),
+    ("simhash near-dedup", bounded(drop_near_copies)),
+    ("benchmark decontamination", bounded(decontaminate)),
+    ("mixing", bounded(mix_sources)),
+    ("sharding", bounded(shuffle)),
 ]
 #: A fitted model, XXH64 fingerprints and keyed permutations are beyond DuckDB's SQL: tests hold the stages to plain versions.
 ORACLE_SQL = None

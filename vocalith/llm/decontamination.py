@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Words of a benchmark that are broadcast at most: about 100 bytes each in a worker.
 BROADCAST_WORDS = 300_000
+#: Texts that are searched at once.
+BLOCK = 256
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 FOUND = "n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>"
 
@@ -54,10 +56,10 @@ class Windows:
 
     def search(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, set]]]]:
         """For each text its number of words, which are hit, and the windows found: (start, length, items)."""
-        parts, sizes, gap = [], [], np.zeros(max(self.hashes, default=0), np.uint64)
+        parts, sizes, gap = [], [], np.zeros(max(self.hashes, default=0), np.int32)
         for t in texts:
             w = words_of(t)
-            parts += [np.fromiter(map(self.number.get, w, repeat(0)), np.uint64, len(w)), gap]
+            parts += [np.fromiter(map(self.number.get, w, repeat(0)), np.int32, len(w)), gap]
             sizes.append(len(w))
         ids = np.concatenate(parts) if parts else gap
         starts = np.cumsum([0, *(n + len(gap) for n in sizes)])
@@ -70,7 +72,7 @@ class Windows:
             if len(at):
                 rolled = np.zeros(len(at), np.uint64)
                 for k in range(n):
-                    rolled = rolled * BASE + ids[at + k]
+                    rolled = rolled * BASE + ids[at + k].astype(np.uint64)
                 for p in at[np.isin(rolled, hashes)].tolist():
                     if found := self.items.get(tuple(ids[p : p + n].tolist())):
                         hits[int(np.searchsorted(starts, p, "right")) - 1].append((p, n, found))
@@ -108,7 +110,7 @@ def _searching(shared, window: int):
         windows = Windows(shared.value, window)
         for batch in batches:
             rows = []
-            for n, mark, own in windows.search(list(batch)):
+            for n, mark, own in (x for at in range(0, len(batch), BLOCK) for x in windows.search(list(batch[at : at + BLOCK]))):
                 ids = sorted({k for _, _, found in own for k in found})
                 rows.append((n, int(mark.sum()), ids, [{"start": a, "end": b} for a, b in runs(mark)] if own else []))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "spans"])

@@ -164,7 +164,8 @@ def mix(documents: DataFrame, weights=WEIGHTS, block: int = BLOCK, shards: int =
     offset = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
     word = F.greatest(F.lit(0), F.col("block") * block - F.col("start"))
     parts = parts.select("source_index", "block", "start", word.alias("word"), offset.alias("offset"), F.least(F.col("size") - word, F.lit(block) - offset).alias("there"))
-    met = placed_slots.join(parts, ["source_index", "block"])
+    # the slots come from a small table of ranges, so Spark takes them for small: a merge join, never a broadcast
+    met = placed_slots.hint("merge").join(parts, ["source_index", "block"])
     pieces = met.select("shard", "slot", "turn", "source_index", "block", "start", "word", F.least("there", F.col("most") - F.col("offset")).alias("n")).where("n > 0")
     return Mix(started, pieces)
 

@@ -127,11 +127,14 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Columns, rows and texts are otherwise as they came. Null ids come last in a component; of repeated equal rows one stays.
     """
     keys = documents.select(F.col(id_col).alias("id"), fingerprint_column(text_col, words).alias("fp"), F.xxhash64(text_col).alias("tie"))
-    found = components(materialize(keys, "prints"), distance)
+    prints = materialize(keys, "prints")
+    found = components(prints, distance)
     best = found.groupBy("root").agg(F.min_by(F.struct("id", "tie"), F.struct(F.col("id").isNull(), "id", "tie")).alias("k"))
     on = F.col(f"d.{id_col}").eqNullSafe(F.col("k.k.id")) & (F.col("d._tie") == F.col("k.k.tie"))
     kept = documents.withColumn("_tie", F.xxhash64(text_col)).alias("d").join(best.alias("k"), on, "left_semi")
-    order = Window.partitionBy(id_col, "_tie").orderBy(text_col)
+    if not prints.groupBy("id", "tie").count().where("count > 1").limit(1).count():
+        return kept.select(*documents.columns)
+    order = Window.partitionBy(id_col, "_tie").orderBy(text_col)  # only where rows repeat: a second shuffle
     return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*documents.columns)
 
 
