@@ -22,18 +22,20 @@ from vocalith.operators.skew import lookup
 from vocalith.plans.scratch import materialize
 
 THRESHOLD, LEAST = 2, 24
-#: Letters that are counted; the counts, modulo 64, are the low bits of a line's number.
-LETTERS = "etnoa"
-COUNT_BITS = 6 * len(LETTERS)
+#: Distinct lines that a task holds in memory before it goes over to sorting them: some 100 MB.
+IN_MEMORY = 100_000
+#: Letters that are counted; the counts, modulo 32, are the low bits of a line's number.
+LETTERS = "etnoairs"
+COUNT_BITS = 5 * len(LETTERS)
 
 
 def _number(line: Column) -> Column:
-    """A line's number: 34 bits of hash and five counts of letters. Lines that share one are told apart by their texts."""
+    """A line's number: 24 bits of hash and eight counts of letters. Lines that share one are told apart by their texts."""
     size, none = F.octet_length(line), F.lit(0)
     out = F.shiftleft(F.shiftright(F.xxhash64(line), COUNT_BITS), COUNT_BITS)
     for k, letter in enumerate(LETTERS):
         count = F.coalesce(size - F.octet_length(F.replace(line, F.lit(letter), F.lit(""))), none)
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(63)).cast("long"), 6 * k))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(31)).cast("long"), 5 * k))
     return out
 
 
@@ -41,44 +43,39 @@ def _alike(a: Column, b: Column, threshold: int) -> Column:
     """Whether two numbers' counts of letters differ by what ``threshold`` edits can do."""
     total = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
-        gap = F.abs(F.shiftrightunsigned(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftrightunsigned(b, 6 * k).bitwiseAND(F.lit(63)))
-        total = total + F.least(gap, 64 - gap)
+        gap = F.abs(F.shiftrightunsigned(a, 5 * k).bitwiseAND(F.lit(31)) - F.shiftrightunsigned(b, 5 * k).bitwiseAND(F.lit(31)))
+        total = total + F.least(gap, 32 - gap)
     return total <= 2 * threshold
 
 
-def _even(each: DataFrame, threshold: int) -> DataFrame:
-    """``each`` with, for each length a line can meet, the short length of an even segment and how many are longer by one."""
-    parts = threshold + 1
-    own = {f"s{d}": F.expr(f"cast((size - {d}) div {parts} as int)") for d in range(parts)}
-    rest = {f"r{d}": F.expr(f"(size - {d}) % {parts}") for d in range(parts)}
-    return each.withColumns(own | rest)
-
-
-def _segment(shorter: int, k: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment k (from 1) of a line that is ``shorter``; the last ones are the longer ones."""
-    short, rest, edge = F.col(f"s{shorter}"), F.col(f"r{shorter}"), parts - k
+def _segment(k: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment k (from 1) of a line of ``other`` code points; the last ones are longer by one."""
+    short, rest, edge = F.expr(f"cast(other div {parts} as int)"), F.expr(f"cast(other % {parts} as int)"), parts - k
     return short * (k - 1) + F.greatest(F.lit(0), rest - edge - 1) + 1, short + F.when(rest > edge, 1).otherwise(0)
 
 
-def _file(shorter: int, k: int, at: Column, size: Column) -> Column:
-    return F.xxhash64(F.col("size") - shorter, F.lit(k), F.substr("line", at, size))
+def _file(k: int, at: Column, size: Column) -> Column:
+    return F.xxhash64("other", F.lit(k), F.substr("line", at, size))
 
 
 def _index(threshold: int) -> Column:
     parts = threshold + 1
-    return F.array(*[_file(0, k, *_segment(0, k, parts)) for k in range(1, parts + 1)])
+    return F.array(*[_file(k, *_segment(k, parts)) for k in range(1, parts + 1)])
 
 
 def _probes(threshold: int) -> Column:
-    """Where segment k of a shorter line can begin in this one: moved by at most k - 1 edits before it, and by what edits
-    after it can make up of the difference in length. Null where that would be outside."""
-    parts, out = threshold + 1, []
-    for shorter in range(threshold + 1):
-        for k in range(1, parts + 1):
-            at, size = _segment(shorter, k, parts)
-            for move in range(max(1 - k, shorter - parts + k), min(k - 1, shorter + parts - k) + 1):
-                fits = (at + move >= 1) & (at + move + size - 1 <= F.col("size")) & (F.col("size") - shorter >= LEAST)
-                out.append(F.when(fits, _file(shorter, k, at + move, size)))
+    """Where segment k of a line of ``other`` code points, ``shorter`` than this one, can begin in this one: moved by at most
+    k - 1 edits before it, and by as many edits after it as make up the rest of ``shorter``. Null where that is outside."""
+    parts, out, shorter = threshold + 1, [], F.col("shorter")
+    for k in range(1, parts + 1):
+        (at, size), before, after = _segment(k, parts), k - 1, parts - k
+        if before <= after:
+            moves = [(F.lit(m), F.abs(m - shorter) <= after) for m in range(-before, before + 1)]
+        else:
+            moves = [(shorter + m, F.abs(shorter + m) <= before) for m in range(-after, after + 1)]
+        for move, can in moves:
+            fits = can & (at + move >= 1) & (at + move + size - 1 <= F.col("size"))
+            out.append(F.when(fits, _file(k, at + move, size)))
     return F.array(*out)
 
 
@@ -169,14 +166,16 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs of different texts within ``threshold`` edits among the column ``line``: a, b (the texts) once each."""
     known = lines.where(F.length("line") >= LEAST).select(_number(F.col("line")).alias("id"), "line")
     texts = known.groupBy("id").agg(F.collect_set("line").alias("texts"))  # one, but for lines that share a number
-    each = _even(texts.select("id", F.explode("texts").alias("line")).select("id", "line", F.length("line").alias("size")), threshold)
-    index = each.select(F.col("id").alias("ib"), F.explode(_index(threshold)).alias("file"))
-    probes = each.select(F.col("id").alias("ia"), F.explode(_probes(threshold)).alias("file")).where("file is not null")
+    each = texts.select("id", F.explode("texts").alias("line")).select("id", "line", F.length("line").alias("size"))
+    index = each.withColumn("other", F.col("size")).select(F.col("id").alias("ib"), F.explode(_index(threshold)).alias("file"))
+    lengths = each.select("*", F.explode(F.array(*[F.lit(k) for k in range(threshold + 1)])).alias("shorter")).withColumn("other", F.col("size") - F.col("shorter"))
+    probes = lengths.where(F.col("other") >= LEAST).select(F.col("id").alias("ia"), F.explode(_probes(threshold)).alias("file")).where("file is not null")
     alike = _alike(F.col("ia"), F.col("ib"), threshold)
     met = probes.join(index, (probes.file == index.file) & (F.col("ia") != F.col("ib")) & alike)
     pairs = met.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
-    a, b = texts.select(F.col("id").alias("ia"), F.col("texts").alias("ta")), texts.select(F.col("id").alias("ib"), F.col("texts").alias("tb"))
-    read = pairs.join(a, "ia").join(b, "ib").select(F.explode("ta").alias("a"), "tb").select("a", F.explode("tb").alias("b"))
+    ends = pairs.select("ia", "ib", F.explode(F.array("ia", "ib")).alias("id"))  # one look at the texts for both ends
+    found = ends.join(texts, "id").groupBy("ia", "ib").agg(*[F.first(F.when(F.col("id") == F.col(i), F.col("texts")), True).alias(t) for i, t in (("ia", "ta"), ("ib", "tb"))])
+    read = found.select(F.explode("ta").alias("a"), "tb").select("a", F.explode("tb").alias("b"))
     twins = texts.where(F.size("texts") > 1).select(F.explode("texts").alias("a"), F.col("texts").alias("tb")).select("a", F.explode("tb").alias("b")).where("a < b")
     return read.union(twins).where(edit_distance(F.col("a"), F.col("b"), threshold) <= threshold)
 
@@ -194,7 +193,11 @@ def decide(documents: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     where = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie", "no").alias("at")
     key = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).alias("key")
     seen = materialize(cut.select(key, where), "lines")
+    spark, limit = documents.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    usual = spark.conf.get(limit)
+    spark.conf.set(limit, IN_MEMORY)
     edges = materialize(links(cut.select("line"), threshold).select(*[F.xxhash64(c).alias(f"{c}h") for c in "ab"], *[F.xxhash64(F.lit(1), c).alias(f"{c}g") for c in "ab"]), "links")
+    spark.conf.set(limit, usual)
     roots = connected_components(edges, "ah", "bh").select(F.col("node").alias("h"), "root")
     ends = edges.select(F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")).alias("key")).union(edges.select(F.struct(F.col("bh").alias("h"), F.col("bg").alias("g")).alias("key"))).distinct()
     named = ends.join(roots, F.col("key.h") == F.col("h")).select("key", F.struct(F.col("root").alias("h"), F.lit(None).cast("long").alias("g")).alias("class"))
