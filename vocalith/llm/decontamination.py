@@ -149,8 +149,9 @@ def _joined(documents: DataFrame, held: DataFrame, window: int, text_col: str, o
     spans = island.groupBy("_row", "g").agg(F.min("p").alias("start"), (F.max("p") + 1).alias("end"))
     spans = spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
     empty = "cast(array() as array<long>)", "cast(array() as array<struct<start:long,end:long>>)"
+    names, spans = names.withColumnRenamed("item_ids", "_ids"), spans.withColumnsRenamed({"spans": "_spans", "n_hit": "_hit"})
     joined = own.withColumn("_n", count(text)).join(names, "_row", "left").join(spans, "_row", "left")
-    found = F.struct(F.col("_n").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.expr(empty[0])).alias("item_ids"), F.coalesce("spans", F.expr(empty[1])).alias("spans"))
+    found = F.struct(F.col("_n").alias("n_words"), F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_ids", F.expr(empty[0])).alias("item_ids"), F.coalesce("_spans", F.expr(empty[1])).alias("spans"))
     return joined.withColumn("_found", found).select(*[c for c in documents.columns if c != out], F.col("_found").alias(out))
 
 
