@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocalith.llm import decontamination, mixing, sharding, simhash, toxicity
+from vocalith.llm import decontamination, mixing, near_copies, sharding, toxicity
 from vocalith.plans.scratch import materialize
 
 SHARDS = 24
@@ -30,8 +30,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of fingerprints (three-word shingles, two bits)."""
-    return simhash.keep_first(docs)
+    """One document, that of the smallest id, of each component of texts with a five-word similarity of 0.8 or more."""
+    return near_copies.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ STAGES = [
     ("mixing", bounded(mix_sources)),
     ("sharding", bounded(shuffle)),
 ]
-#: A fitted model, XXH64 fingerprints and keyed permutations are beyond DuckDB's SQL: tests hold the stages to plain versions.
+#: A fitted model, XXH64 shingles and keyed permutations are beyond DuckDB's SQL: tests hold the stages to plain versions.
 ORACLE_SQL = None
 
 

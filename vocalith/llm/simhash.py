@@ -128,7 +128,11 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     keys = documents.select(F.col(id_col).alias("id"), fingerprint_column(text_col, words).alias("fp"), F.xxhash64(text_col).alias("tie"))
     prints = materialize(keys, "prints")
-    found = components(prints, distance)
+    return first_of(documents, components(prints, distance), prints, id_col, text_col)
+
+
+def first_of(documents: DataFrame, found: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``documents`` with one row of each ``root`` of ``found`` (id, tie, root), for ``keep_first``."""
     best = found.groupBy("root").agg(F.min_by(F.struct("id", "tie"), F.struct(F.col("id").isNull(), "id", "tie")).alias("k"))
     on = F.col(f"d.{id_col}").eqNullSafe(F.col("k.k.id")) & (F.col("d._tie") == F.col("k.k.tie"))
     kept = documents.withColumn("_tie", F.xxhash64(text_col)).alias("d").join(best.alias("k"), on, "left_semi")
