@@ -44,7 +44,10 @@ _encoders: dict = {}
 
 
 class WordEncoder:
-    """Ids of texts as little-endian uint32, equal to encoding each whole text.
+    """Ids of texts as little-endian uint32: ``whole`` equals encoding each whole text with the tokenizer as its file has it.
+
+    ``encode`` takes the strings of added tokens for ordinary text; ``whole`` gives a text that can hold one, in whatever
+    case, to the unchanged tokenizer, as such a token also cuts the words around it.
 
     It asks for a tokenizer that lower-cases, splits at white space and then by ``PATTERN``, and encodes each piece alone;
     ``of`` refuses others. Words are looked up first, then their pieces, and the tokenizer's model encodes new pieces. Words
@@ -57,8 +60,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.given, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.given.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
         kept = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (kept["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (kept["pre_tokenizer"] or {}).get("pretokenizers", [])]
         if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or kept["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": self.PATTERN}:
@@ -101,6 +106,11 @@ class WordEncoder:
             found = [self._word(w) if got is None else got for w, got in zip(words, found, strict=True)]
         return b"".join(found)
 
+    def whole(self, text: str | None) -> bytes:
+        if text and self.added(text):
+            return np.array(self.given.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.encode(text)
+
 
 def frame(ids: list[int], tokens: list[bytes]) -> bytes:
     counts = np.array([len(t) // 4 for t in tokens], "<i8")
@@ -206,7 +216,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
         for batch in batches:
             writer = writer or Writer(uri)
             for doc_id, text in zip(batch["id"], batch["text"], strict=True):
-                ids, first = encoder.encode(text), int(doc_id) if first is None else first
+                ids, first = encoder.whole(text), int(doc_id) if first is None else first
                 writer.add(int(doc_id), ids + end)
                 docs, total = docs + 1, total + len(ids) // 4 + 1
         if writer:
