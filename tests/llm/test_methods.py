@@ -198,23 +198,6 @@ def test_edit_distance(spark):
     assert d.where("least(x, 3) <> least(y, 3)").count() == 0
 
 
-def test_lines_lose_no_link(spark):
-    random.seed(8)
-    lines = []
-    for _ in range(40):
-        base = "".join(random.choice("abcdefgh é") for _ in range(random.randrange(20, 60))).strip()
-        for _ in range(random.randrange(1, 6)):
-            t = list(base)
-            for _ in range(random.randrange(4)):
-                k = random.randrange(len(t))
-                t[k : k + random.randrange(2)] = random.choice(["", "x", "é"])
-            lines.append("".join(t).strip())
-    long = sorted({x for x in lines if len(x) >= line_dedup.LEAST})
-    pairs = spark.createDataFrame([(a, b) for a in long for b in long if a < b and abs(len(a) - len(b)) <= 2], "a string, b string").where(F.levenshtein("a", "b", 2) >= 0)
-    got = line_dedup.links(spark.createDataFrame([(x,) for x in lines], "line string"))
-    assert {tuple(sorted(r)) for r in got.collect()} == {tuple(r) for r in pairs.collect()} != set()
-
-
 def test_line_decisions_and_cleaning(spark):
     near = "a line that is long enough to be compared by edits"
     d = spark.createDataFrame([(1, f"{near}\n\nshort\nshort"), (2, f" {near.replace('long', 'lomg')} \nown words only here in this line\nshort"), (None, near), (4, ""), (5, None)], "doc_id long, text string")

@@ -1,19 +1,29 @@
 """Near-duplicate lines by a segment-partition edit join, in SQL functions only.
 
-Two lines within ``threshold`` edits (insert, delete or replace a code point) share a segment: cut the shorter one into
-``threshold + 1`` even segments, and at least one is untouched by the edits. Each distinct line files its segments in an
-index under (its length, segment number, segment text), and looks up, for each length it can be linked to, the substrings
-where a segment can have moved (the multi-match-aware selection of Li et al., Pass-Join, 2011). Lines that meet compare
-counts of some letters, which are part of their numbers (an edit moves at most two counts by one), and the rest are verified:
-what they have in common at both ends is cut off by bisection, and the middles go through Hyyro's banded bit-parallel edit
-distance, one word of bits a column.
-
-Lines are compared without the white space around them; blank lines are left alone. Lines of fewer than ``LEAST`` code
-points are only linked to equal ones, as two edits make another word of a short one.
+Two lines link if they are within ``allowed`` edits (insert, delete or replace a code point): an eighth of the shorter one's
+length, at most ``threshold``. Lines of 16 code points or more take two edits, those of 8 to 15 one, and shorter ones link
+only when equal, as one edit in seven makes another word.
+
+Cut a line into one segment more than the edits allowed, and at least one is untouched; by the selection of Li et al.
+(Pass-Join, 2011) some untouched one has also moved little: number k of p by at most min(k - 1, p - k) places. The index is
+aware of length by classes: lines of a class, an eighth to a quarter wide, are cut alike, those near its upper end are filed
+in the next one too, so that each line is filed under 5 keys (class, segment number, text) or little more for two edits, and
+linked lines meet in a file. Files with a single distinct line go first, by a sum over hashes; texts are read for the rest.
+
+Lines of a file compare counts of letters, then their texts, inside the join: what they have in common at both ends is cut off by
+bisection, and the middles go through Hyyro's banded bit-parallel edit distance, one word of bits a column. Only links
+leave the join. A file with more than ``DENSE`` lines (a family of near copies) does not meet pair by pair: each line is
+held against two members that are drawn by hash. Lines that are then in one class with most of the file are done. The others
+meet every line of other classes of that file that agrees in two parts of its letters, of two more than the edits can change
+(two each). So no link between classes is lost, and a family of n gives about n rows.
+
+Lines are compared without the white space around them; blank lines are left alone.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vocalith.llm.native import BLANKS, let
@@ -21,62 +31,65 @@ from vocalith.operators.graph import connected_components
 from vocalith.operators.skew import lookup
 from vocalith.plans.scratch import materialize
 
-THRESHOLD, LEAST = 2, 24
-#: Distinct lines that a task holds in memory before it goes over to sorting them: some 100 MB.
-IN_MEMORY = 100_000
-#: Letters that are counted; the counts, modulo 32, are the low bits of a line's number.
+THRESHOLD = 2
+#: Code points of a line for each edit that is allowed.
+EACH = 8
+#: Lines of a file that meet pair by pair.
+DENSE = 32
+#: Files that are found by a broadcast (8 bytes each); more take a shuffle, with the same result.
+BROADCAST_FILES = 2_000_000
+#: Letters that are counted, modulo 256, to compare lines before their texts are.
 LETTERS = "etnoairs"
-COUNT_BITS = 5 * len(LETTERS)
 
 
-def _number(line: Column) -> Column:
-    """A line's number: 24 bits of hash and eight counts of letters. Lines that share one are told apart by their texts."""
-    size, none = F.octet_length(line), F.lit(0)
-    out = F.shiftleft(F.shiftright(F.xxhash64(line), COUNT_BITS), COUNT_BITS)
+def _letters(line: Column) -> Column:
+    size, out = F.octet_length(line), F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        count = F.coalesce(size - F.octet_length(F.replace(line, F.lit(letter), F.lit(""))), none)
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(31)).cast("long"), 5 * k))
+        count = size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(255)).cast("long"), 8 * k))
     return out
 
 
-def _alike(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two numbers' counts of letters differ by what ``threshold`` edits can do."""
+def _alike(a: Column, b: Column, most: Column) -> Column:
+    """Whether two lines' counts of letters differ by what ``most`` edits can do: two each."""
     total = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
-        gap = F.abs(F.shiftrightunsigned(a, 5 * k).bitwiseAND(F.lit(31)) - F.shiftrightunsigned(b, 5 * k).bitwiseAND(F.lit(31)))
-        total = total + F.least(gap, 32 - gap)
-    return total <= 2 * threshold
-
-
-def _segment(k: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment k (from 1) of a line of ``other`` code points; the last ones are longer by one."""
-    short, rest, edge = F.expr(f"cast(other div {parts} as int)"), F.expr(f"cast(other % {parts} as int)"), parts - k
-    return short * (k - 1) + F.greatest(F.lit(0), rest - edge - 1) + 1, short + F.when(rest > edge, 1).otherwise(0)
-
-
-def _file(k: int, at: Column, size: Column) -> Column:
-    return F.xxhash64("other", F.lit(k), F.substr("line", at, size))
-
-
-def _index(threshold: int) -> Column:
-    parts = threshold + 1
-    return F.array(*[_file(k, *_segment(k, parts)) for k in range(1, parts + 1)])
+        gap = F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255)))
+        total = total + F.least(gap, 256 - gap)
+    return total <= 2 * most
+
+
+def allowed(size: Column, threshold: int = THRESHOLD) -> Column:
+    """Edits that link a line of ``size`` code points to one that is not shorter."""
+    return F.least(F.lit(threshold), (size / EACH).cast("int"))
+
+
+def _class(size: Column) -> Column:
+    """Least length of the class: the three highest bits of the length stay."""
+    low = F.greatest(F.length(F.bin(size.cast("long"))) - 3, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", size, low), low)
+
+
+def _filed(least: Column, size: Column, threshold: int) -> Column:
+    """Files of a line in the class of lines of ``least`` code points or more, by the edits that this class allows."""
+    out = F.expr("cast(array() as array<bigint>)")
+    for edits in range(1, threshold + 1):
+        parts = edits + 1
+        width, files = (least / parts).cast("int"), []
+        for k in range(1, parts + 1):
+            before, after = k - 1, parts - k
+            start = width * before + 1 if before <= after else size - width * (after + 1) + 1
+            files += [F.xxhash64(least, F.lit(k), F.substr(F.col("line"), start + move, width)) for move in range(-min(before, after), min(before, after) + 1)]
+        here = allowed(least, threshold)
+        out = F.when(here >= edits if edits == threshold else here == edits, F.array(*files)).otherwise(out)
+    return out
 
 
-def _probes(threshold: int) -> Column:
-    """Where segment k of a line of ``other`` code points, ``shorter`` than this one, can begin in this one: moved by at most
-    k - 1 edits before it, and by as many edits after it as make up the rest of ``shorter``. Null where that is outside."""
-    parts, out, shorter = threshold + 1, [], F.col("shorter")
-    for k in range(1, parts + 1):
-        (at, size), before, after = _segment(k, parts), k - 1, parts - k
-        if before <= after:
-            moves = [(F.lit(m), F.abs(m - shorter) <= after) for m in range(-before, before + 1)]
-        else:
-            moves = [(shorter + m, F.abs(shorter + m) <= before) for m in range(-after, after + 1)]
-        for move, can in moves:
-            fits = can & (at + move >= 1) & (at + move + size - 1 <= F.col("size"))
-            out.append(F.when(fits, _file(k, at + move, size)))
-    return F.array(*out)
+def _files(lines: DataFrame, threshold: int) -> DataFrame:
+    """``lines`` (line, size and more) by ``file``: those of their class, and of that of the shortest line they can link to."""
+    own, lower = _class(F.col("size")), _class(F.col("size") - allowed(F.col("size"), threshold))
+    by_class = lines.select("*", F.explode(F.when(own == lower, F.array(own)).otherwise(F.array(own, lower))).alias("least"))
+    return by_class.select(*lines.columns, F.explode(_filed(F.col("least"), F.col("size"), threshold)).alias("file"))
 
 
 def _common(a: Column, b: Column, most: Column, take) -> Column:
@@ -162,22 +175,75 @@ def _wide(a: Column, b: Column, threshold: int) -> Column:
     )
 
 
+def _linked(a: str, b: str, threshold: int) -> Column:
+    """Whether lines of two sides link: the cheap conditions first."""
+    c = lambda x, name: F.col(f"{x}.{name}")
+    most = allowed(F.least(c(a, "size"), c(b, "size")), threshold)
+    near = (F.abs(c(a, "size") - c(b, "size")) <= most) & _alike(c(a, "letters"), c(b, "letters"), most)
+    return near & (edit_distance(c(a, "line"), c(b, "line"), threshold) <= most)
+
+
+def _edges(met: DataFrame) -> DataFrame:
+    return met.select(*[F.col(f"{x}.key.{y}").alias(f"{x}{y}") for x in "ab" for y in "hg"])
+
+
+def _parts(line: Column, threshold: int) -> Column:
+    """Keys that linked lines of a file share one of: each pair of parts of its letters."""
+    chars, n = F.split(line, ""), 2 * threshold + 2
+    part = lambda r: F.xxhash64(F.array_sort(F.filter(chars, lambda c: F.ascii(c) % n == r)))
+    sums = F.array(*[part(r) for r in range(n)])
+    return let(sums, lambda s: F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.get(s, F.lit(i)), F.get(s, F.lit(j))) for i, j in combinations(range(n), 2)]))
+
+
+def classes(edges: DataFrame) -> DataFrame:
+    """``key`` (h, g) of every line of ``edges`` (ah, ag, bh, bg) and ``root``, a number of its class."""
+    end = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}g").alias("g"))
+    keys = edges.select(end("a").alias("key")).union(edges.select(end("b"))).distinct()
+    numbers = materialize(keys.withColumn("no", F.monotonically_increasing_id()), "numbers")
+    side = lambda x: numbers.select(F.col("key").alias(f"k{x}"), F.col("no").alias(x))
+    both = edges.select(end("a").alias("ka"), end("b").alias("kb")).join(side("a"), "ka").join(side("b"), "kb")
+    return materialize(numbers.join(connected_components(both, "a", "b").withColumnRenamed("node", "no"), "no").select("key", "root"), "roots")
+
+
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs of different texts within ``threshold`` edits among the column ``line``: a, b (the texts) once each."""
-    known = lines.where(F.length("line") >= LEAST).select(_number(F.col("line")).alias("id"), "line")
-    texts = known.groupBy("id").agg(F.collect_set("line").alias("texts"))  # one, but for lines that share a number
-    each = texts.select("id", F.explode("texts").alias("line")).select("id", "line", F.length("line").alias("size"))
-    index = each.withColumn("other", F.col("size")).select(F.col("id").alias("ib"), F.explode(_index(threshold)).alias("file"))
-    lengths = each.select("*", F.explode(F.array(*[F.lit(k) for k in range(threshold + 1)])).alias("shorter")).withColumn("other", F.col("size") - F.col("shorter"))
-    probes = lengths.where(F.col("other") >= LEAST).select(F.col("id").alias("ia"), F.explode(_probes(threshold)).alias("file")).where("file is not null")
-    alike = _alike(F.col("ia"), F.col("ib"), threshold)
-    met = probes.join(index, (probes.file == index.file) & (F.col("ia") != F.col("ib")) & alike)
-    pairs = met.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
-    ends = pairs.select("ia", "ib", F.explode(F.array("ia", "ib")).alias("id"))  # one look at the texts for both ends
-    found = ends.join(texts, "id").groupBy("ia", "ib").agg(*[F.first(F.when(F.col("id") == F.col(i), F.col("texts")), True).alias(t) for i, t in (("ia", "ta"), ("ib", "tb"))])
-    read = found.select(F.explode("ta").alias("a"), "tb").select("a", F.explode("tb").alias("b"))
-    twins = texts.where(F.size("texts") > 1).select(F.explode("texts").alias("a"), F.col("texts").alias("tb")).select("a", F.explode("tb").alias("b")).where("a < b")
-    return read.union(twins).where(edit_distance(F.col("a"), F.col("b"), threshold) <= threshold)
+    """Links among the column ``line`` as hashes of both lines: ah, ag, bh, bg. Not every link is named, but their classes are
+    those of all links.
+
+    Repeated lines count once; nulls, empty and very short lines have no link; of very long ones the whole text is compared.
+    """
+    if not 1 <= threshold <= EACH:
+        raise ValueError(f"classes of length are laid out for 1 to {EACH} edits")
+    key = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).alias("key")
+    known = lines.select("line", F.length("line").alias("size")).where(F.col("size") >= EACH).select(key, "line", "size")
+    filed = _files(known, threshold)
+    shared = filed.groupBy("file").agg(F.min("key.h").alias("lo"), F.max("key.h").alias("hi")).where("lo <> hi").select("file")
+    shared = materialize(shared, "files")
+    if shared.count() <= BROADCAST_FILES:
+        some = filed.join(F.broadcast(shared), "file")
+    else:
+        keys = filed.select("file", "key").join(shared, "file", "left_semi").select("key").distinct()
+        some = _files(known.join(keys, "key"), threshold).join(shared, "file")
+    some = materialize(some.select("file", "key", "line", "size").distinct().withColumn("letters", _letters(F.col("line"))), "met")
+    crowd = some.groupBy("file").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "key").alias("at"), "key", "line", "size", "letters")).alias(f"p{k}") for k in (0, 1)])
+    crowd = materialize(crowd.where("n > 1"), "crowd")
+    few = some.join(crowd.where(F.col("n") <= DENSE).select("file"), "file")
+    near = few.alias("a").join(few.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.key") < F.col("b.key")) & _linked("a", "b", threshold))
+    dense = crowd.where(F.col("n") > DENSE)
+    many = materialize(some.join(dense.select("file"), "file"), "many")
+    heads = dense.select("file", F.explode(F.array("p0", "p1")).alias("p")).select("file", "p.*")
+    star = many.alias("a").join(heads.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.key") != F.col("b.key")) & _linked("a", "b", threshold))
+    first = materialize(_edges(near).union(_edges(star)), "links")
+    if not many.limit(1).count():
+        return first
+    named = many.join(classes(first), "key", "left")
+    main = named.where("root is not null").groupBy("file", "root").count().groupBy("file").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    named = named.join(main, "file", "left").withColumn("done", F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
+    open_ = named.where("not done").select("file").distinct()
+    named = materialize(named.join(open_, "file").withColumn("part", F.explode(_parts(F.col("line"), threshold))), "open")
+    a, b = named.where("not done").alias("a"), named.alias("b")
+    other = (F.col("a.root").isNull() | F.col("b.root").isNull() | (F.col("a.root") != F.col("b.root"))) & (F.col("b.done") | (F.col("a.key") < F.col("b.key")))
+    rest = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.part") == F.col("b.part")) & other & _linked("a", "b", threshold))
+    return materialize(first.union(_edges(rest)), "links", first)
 
 
 def decide(documents: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,24 +252,20 @@ def decide(documents: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
 
     Lines of a class (linked by equality or by edits, over any number of steps) are removed but for the first by id (null
     last), text hash and line number; numbers count all lines from 0. Null and empty texts have no lines. Rows that agree in
-    id and text count as one document and get equal results. Other columns are not read; an empty table gives an empty one.
+    id and text count as one document and get equal results. Very long texts and lines are taken whole. Other columns are not
+    read, whatever their names; an empty table gives an empty one.
     """
     own = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = own.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select("id", "tie", "no", F.trim("raw", F.lit(BLANKS)).alias("line")).where("line <> ''")
     where = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie", "no").alias("at")
     key = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).alias("key")
     seen = materialize(cut.select(key, where), "lines")
-    spark, limit = documents.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    usual = spark.conf.get(limit)
-    spark.conf.set(limit, IN_MEMORY)
-    edges = materialize(links(cut.select("line"), threshold).select(*[F.xxhash64(c).alias(f"{c}h") for c in "ab"], *[F.xxhash64(F.lit(1), c).alias(f"{c}g") for c in "ab"]), "links")
-    spark.conf.set(limit, usual)
-    roots = connected_components(edges, "ah", "bh").select(F.col("node").alias("h"), "root")
-    ends = edges.select(F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")).alias("key")).union(edges.select(F.struct(F.col("bh").alias("h"), F.col("bg").alias("g")).alias("key"))).distinct()
-    named = ends.join(roots, F.col("key.h") == F.col("h")).select("key", F.struct(F.col("root").alias("h"), F.lit(None).cast("long").alias("g")).alias("class"))
+    named = classes(links(cut.select("line"), threshold))
     distinct = seen.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    several = distinct.join(named, "key", "left").where("n > 1 or class is not null")  # others are alone in their class
-    classed = materialize(several.select("key", "first", "n", F.coalesce("class", "key").alias("class")), "classes")
+    several = distinct.join(named, "key", "left").where("n > 1 or root is not null")  # others are alone in their class
+    own_class = F.struct(F.col("key.h").alias("h"), F.col("key.g").alias("g"))
+    in_class = F.struct(F.col("root").alias("h"), F.lit(None).cast("long").alias("g"))
+    classed = materialize(several.select("key", "first", "n", F.when(F.col("root").isNull(), own_class).otherwise(in_class).alias("class")), "classes")
     heads = classed.groupBy("class").agg(F.min("first").alias("head"), F.sum("n").alias("members"), F.min_by("key", "first").alias("head_key")).where("members > 1")
     table = classed.join(heads, "class").select("key", "head", (F.col("head_key") != F.col("key")).alias("near"), "n")
     found = lookup(seen, table, "key", "n")
