@@ -11,6 +11,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)``, with ``value`` computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

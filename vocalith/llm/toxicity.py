@@ -3,9 +3,10 @@
 P(grade > k) = sigmoid(w.x - t_k): one weight vector for all thresholds t_0 < t_1 < ..., which are kept in order by learning
 the logarithms of their gaps. The output is the expected severity, the sum of P(grade > k).
 
-Labels say only toxic or not. Grades come from them: among toxic rows, the number of words that mark toxic rows (a
-log-odds test over the sample) is cut at its thirds, which gives 1 (mild) to 3 (severe); other rows are 0. The fit takes at most
-``SAMPLE_ROWS`` labelled rows and ``MAX_WORDS`` words, both bounds of what reaches the driver.
+Grades are whatever ordered numbers from 0 the labels hold. The query's labels say toxic or not and of good quality or not;
+``graded`` makes 0 (not toxic), 1 (toxic, of low quality) and 2 (toxic, of good quality) of them, from the labels alone: other
+filters catch toxic junk, and toxic prose that reads well does the most harm. The fit takes at
+most ``SAMPLE_ROWS`` labelled rows; features are all words and stems of theirs that tell toxic rows apart by a log-odds test.
 """
 
 from __future__ import annotations
@@ -17,18 +18,18 @@ from math import log1p
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vocalith.llm.labels import sample
-from vocalith.plans.scratch import materialize
+from vocalith.llm.native import unused
 
 SAMPLE_ROWS = 20_000
-MAX_WORDS = 4_096
+#: How rare sides weigh: 0 like all others, 1 as much as the other side in sum.
+BALANCE = 0.25
 #: Besides whole words, their first 4, 6 and 7 letters are features, which meet inflected forms.
 STEMS = (4, 6, 7)
 #: A word or stem is a feature from this standard score of its log-odds, and in this many rows.
 LEAST_Z, LEAST_ROWS = 3.0, 3
-GRADES = 3
 LETTERS = re.compile(r"[^\W\d_]+").findall
 SCORE = "expected_severity double, p_toxic double, grade int"
 
@@ -43,6 +44,12 @@ def counts_of(text: str | None, number: dict[str, int]) -> Counter:
     return found
 
 
+def graded(labels: DataFrame) -> Column:
+    """Severity of the columns ``toxic`` and, if there, ``quality``: 0, 1, or 2 where quality is good. Null for a null ``toxic``."""
+    good = F.coalesce(F.col("quality") == 1, F.lit(False)) if "quality" in labels.columns else F.lit(False)
+    return F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(good, 2).otherwise(1))
+
+
 def _stem(n: int):
     return lambda x: F.concat(F.lit(str(n)), F.left(x, F.lit(n)))
 
@@ -63,10 +70,11 @@ class Model:
 
 
 def marked_words(rows: DataFrame) -> list[tuple[str, float]]:
-    """Words of a bounded sample (text, label 0/1) that tell the labels apart, with their log-odds; ``MAX_WORDS`` at most."""
-    total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
+    """Words of a bounded sample (text, label) that tell labels above 0 apart, with their log-odds."""
+    up = (F.col("label") > 0).cast("int").alias("label")
+    total = rows.agg(F.count("*").alias("n"), F.sum(up).alias("toxic")).first()
     n, toxic = total.n, total.toxic or 0
-    each = rows.select("label", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    each = rows.select(up, F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
     stems = [F.transform("w", _stem(n)) for n in STEMS]
     words = each.select("label", F.explode(F.array_distinct(F.concat("w", *stems))).alias("word"))
     counted = words.groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("both")).where(f"both >= {LEAST_ROWS}")
@@ -74,27 +82,20 @@ def marked_words(rows: DataFrame) -> list[tuple[str, float]]:
     out_a, out_b = F.lit(float(toxic)) + 1 - a, F.lit(float(n - toxic)) + 1 - b
     odds = F.log(a / out_a) - F.log(b / out_b)
     scored = counted.select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b + 1 / out_a + 1 / out_b)).alias("z"))
-    best = scored.where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS)
-    return [(r.word, r.odds) for r in best.collect()]
-
-
-def grades_of(labels: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """0 for label 0; 1 .. GRADES for label 1 by where its number of marking words stands among those rows."""
-    cuts = np.quantile(marks[labels == 1], np.arange(1, GRADES) / GRADES) if (labels == 1).any() else np.zeros(GRADES - 1)
-    return np.where(labels == 1, 1 + (marks[:, None] > cuts[None, :]).sum(axis=1), 0)
+    return sorted((r.word, r.odds) for r in scored.where(F.abs("z") >= LEAST_Z).collect())  # words of SAMPLE_ROWS rows
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, steps: int = 500, l2: float = 2e-5):
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, steps: int = 500, l2: float = 2e-4):
     """Weights and thresholds of sparse rows by full-batch gradient steps (Adam) on the cumulative-link likelihood.
 
     P(grade = j) = a - b with a = P(grade > j - 1) and b = P(grade > j); its logarithm has the slope 1 - a - b in w.x. Rows
-    count by the square root of how rare their side (grade 0 or above) is.
+    count by how rare their side (grade 0 or above) is, to the power ``BALANCE``.
     """
-    n, up = len(grades), grades > 0
+    n, up, levels = len(grades), grades > 0, int(grades.max())
     share = np.where(up, up.mean(), 1 - up.mean())
-    each = np.sqrt(0.5 / share)
+    each = (0.5 / share) ** BALANCE
     each /= each.sum()
-    p = np.concatenate([np.zeros(n_features), [1.0], np.zeros(GRADES - 1)])
+    p = np.concatenate([np.zeros(n_features), [1.0], np.zeros(levels - 1)])
     m, v, row = np.zeros_like(p), np.zeros_like(p), np.arange(n)
     for t in range(1, steps + 1):
         w, gaps = p[:n_features], np.exp(p[n_features + 1 :])
@@ -104,7 +105,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
         a, b = above[row, grades], above[row, grades + 1]
         chance = np.maximum(a - b, 1e-12)
         slope = (1 - a - b) * each
-        by_cut = np.bincount(grades, a * (1 - a) / chance * each, GRADES + 1)[1:] - np.bincount(grades, b * (1 - b) / chance * each, GRADES + 1)[:-1]
+        by_cut = np.bincount(grades, a * (1 - a) / chance * each, levels + 1)[1:] - np.bincount(grades, b * (1 - b) / chance * each, levels + 1)[:-1]
         by_gap = np.cumsum(by_cut[::-1])[::-1][1:] * gaps
         grad = np.concatenate([l2 * w - np.bincount(cols, values * slope[rows], n_features), [by_cut.sum()], by_gap])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -112,40 +113,40 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
-def fit(documents: DataFrame, labels: DataFrame, text_col: str = "text", label: str = "toxic") -> Model:
-    """A model from labelled documents that are not held out. Without toxic or without other rows nothing is rejected."""
-    rows = materialize(sample(documents, labels, label, SAMPLE_ROWS, text_col), "toxicity")
+def fit(documents: DataFrame, labels: DataFrame, text_col: str = "text", grade: str | Column | None = None) -> Model:
+    """A model from labelled documents that are not held out; ``grade`` is a column of ``labels`` or an expression over it,
+    ``graded`` if it is not given. Without rows above 0, or without other rows, nothing is rejected."""
+    rows = sample(documents, labels, graded(labels) if grade is None else grade, SAMPLE_ROWS, text_col)
     marked = marked_words(rows)
-    blank = Model([w for w, _ in marked], np.zeros(len(marked)), np.arange(GRADES) + 50.0)
+    blank = Model([w for w, _ in marked], np.zeros(len(marked)), np.array([50.0]))
     if not marked:
         return blank
-    number, telling = blank.number, {k for k, (_, odds) in enumerate(marked) if odds > 0}
+    number = blank.number
 
-    @F.pandas_udf("struct<cols:array<int>,counts:array<int>,marks:double>")
+    @F.pandas_udf("struct<cols:array<int>,counts:array<int>>")
     def vector(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            c = counts_of(t, number)
-            out.append((list(c), list(c.values()), float(sum(n for k, n in c.items() if k in telling))))
-        return pd.DataFrame(out, columns=["cols", "counts", "marks"])
+        found = [counts_of(t, number) for t in texts]
+        return pd.DataFrame({"cols": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
 
     got = rows.select("label", vector("text").alias("v")).select("label", "v.*").toPandas()  # SAMPLE_ROWS rows at most
-    y = got["label"].to_numpy()
+    y = got["label"].to_numpy().astype(np.int64)
     if not 0 < (y > 0).sum() < len(y):
         return blank
+    y = np.unique(y, return_inverse=True)[1]  # grades that no row has are no thresholds
     at = np.repeat(np.arange(len(got)), got["cols"].map(len))
     cols, counts = (np.concatenate([*got[c], []]) for c in ("cols", "counts"))
-    weights, cuts = fit_ordinal(at, cols.astype(np.int64), np.log1p(counts), grades_of((y > 0).astype(int), got["marks"].to_numpy()), len(marked))
+    weights, cuts = fit_ordinal(at, cols.astype(np.int64), np.log1p(counts), y, len(marked))
     return Model([w for w, _ in marked], weights, cuts)
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """``documents`` with a struct ``out``: expected_severity (0 to ``GRADES``), p_toxic and grade.
+    """``documents`` with a struct ``out``: expected_severity (0 to the number of thresholds), p_toxic and grade.
 
     Null, empty and wordless texts have no features: they get the severity of the thresholds alone, which is near 0. Equal
-    texts score equally; other columns pass through, and ``out`` replaces a column of that name.
+    texts score equally, and long ones are read whole; other columns pass through, and ``out`` replaces a column of that
+    name. An empty table gives an empty one.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS words at most
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # words of SAMPLE_ROWS rows
 
     @F.pandas_udf(SCORE)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -157,9 +158,11 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", out: str =
 
 
 def reject(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """``documents`` without those whose severity is more likely above 0 than not."""
-    found = score(documents, fit(documents, labels, text_col), text_col, "_toxicity")
-    return found.where(F.col("_toxicity.p_toxic") < 0.5).select(*documents.columns)
+    """``documents`` without those whose severity is more likely above 0 than not. Nulls, empty and wordless texts stay, equal
+    rows stay or go together, long texts are read whole, and columns pass through whatever their names."""
+    own = unused("_toxicity", documents.columns)
+    found = score(documents, fit(documents, labels, text_col), text_col, own)
+    return found.where(F.col(f"{own}.p_toxic") < 0.5).select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
