@@ -4,10 +4,11 @@ Rows are numbered 0 to n - 1, the permutation moves number i to p(i), and p(i) n
 slot p(i) div shards. Shard sizes differ by one at most (law ``rows``), slots have no gaps, and ``place_of`` and ``row_at``
 compute a place from a number, or a number from a place, without touching data.
 
-Row numbers need a total order that no machine has to sort alone. Rows fall into buckets by a hash of their key, buckets are
-counted (their counts are all that reaches the driver, and their number is fixed by the row count), and each row's number is
-its bucket's offset plus its rank inside. A repeated key is spread over further buckets by where its rows lie; rows that
-differ in neither id nor text are interchangeable, so the outcome is the same on every run.
+Row numbers need a total order that no machine has to sort alone. Rows fall into buckets by a hash of all their columns,
+buckets are counted (their counts are all that reaches the driver, and their number is fixed by the row count), and each row's
+number is its bucket's offset plus its rank inside. Only rows that are equal in every column share a bucket by need; where
+one has more than a bucket's rows, its copies are dealt over buckets of their own, and no other row moves. As equal rows are
+interchangeable, every row has the same place on every run, however the table lies.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vocalith.llm.native import unused
 from vocalith.plans.scratch import materialize
 
 ROUNDS = 6
 #: Rows of a bucket, about.
 BUCKET_ROWS = 50_000
-#: Copies of one key beyond which its rows are spread.
+#: Copies of one row that are never spread.
 SPREAD = 16
 
 
@@ -85,37 +87,52 @@ def permuted(column: Column, n: int, seed: int) -> Column:
 
 
 def numbered(rows: DataFrame, key: list[str], out: str = "row_number") -> tuple[DataFrame, int]:
-    """``rows`` with a global number 0 .. n - 1 by bucket of the key, then the key; and n."""
+    """``rows`` with a global number 0 .. n - 1 by bucket, then the key, then a hash of all columns; and n.
+
+    Columns of type map cannot be hashed and do not count. No rows: an empty table and 0.
+    """
     found = rows.count()
     buckets = max(16, -(-found // BUCKET_ROWS))
-    spread = F.monotonically_increasing_id() % F.lit(SPREAD)
-    home = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    placed = rows.withColumn("_bucket", home)
-    counts = {r["_bucket"]: r["n"] for r in placed.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
-    crowded = [b for b, n in counts.items() if n > 4 * max(1, found // buckets) and n > SPREAD]
-    if crowded:  # a key with many rows: its bucket's rows are dealt over more, with their own counts
-        extra = F.when(F.col("_bucket").isin(crowded), F.col("_bucket") + buckets * (spread + 1).cast("int")).otherwise(F.col("_bucket"))
-        placed = placed.withColumn("_bucket", extra)
-        counts = {r["_bucket"]: r["n"] for r in placed.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+    most = max(SPREAD, found // buckets)  # rows of a bucket, about
+    digest, bucket, extra, offset, rank = (unused(x, [*rows.columns, out]) for x in ("_digest", "_bucket", "_extra", "_offset", "_rank"))
+    hashed = [c for c, kind in rows.dtypes if not kind.startswith("map")]
+    placed = rows.withColumn(digest, F.xxhash64(*hashed)).withColumn(bucket, F.pmod(digest, F.lit(buckets)).cast("long"))
+    counts = {r[0]: r[1] for r in placed.groupBy(bucket).count().collect()}
+    crowded = [b for b, n in counts.items() if n > 2 * most]
+    if crowded:
+        own = placed.where(F.col(bucket).isin(crowded)).groupBy(digest).count().where(F.col("count") > most)
+        hot = sorted((r[0], r[1]) for r in own.collect())  # as many as buckets at most
+        first, spread = buckets, []
+        for d, n in hot:
+            spread.append((d, first, -(-n // most)))
+            first += -(-n // most)
+        if spread:
+            table = rows.sparkSession.createDataFrame(spread, f"{digest} long, {extra} long, {offset} long")
+            dealt = F.coalesce(F.col(extra) + F.monotonically_increasing_id() % F.col(offset), F.col(bucket))
+            placed = placed.join(F.broadcast(table), digest, "left").withColumn(bucket, dealt).drop(extra, offset)
+            placed = materialize(placed, "numbered")  # copies are dealt once, whatever is computed again
+            counts = {r[0]: r[1] for r in placed.groupBy(bucket).count().collect()}
     offsets, total = {}, 0
     for b in sorted(counts):
         offsets[b], total = total, total + counts[b]
-    table = rows.sparkSession.createDataFrame([(b, o) for b, o in offsets.items()], "_bucket int, _offset long")
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*key)) - 1
-    ranked = placed.withColumn("_rank", rank).join(F.broadcast(table), "_bucket")  # a row a bucket
-    return ranked.withColumn(out, F.col("_offset") + F.col("_rank")).drop("_bucket", "_rank", "_offset"), total
+    table = rows.sparkSession.createDataFrame([(b, o) for b, o in offsets.items()], f"{bucket} long, {offset} long")
+    inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*key, digest)) - 1
+    ranked = placed.withColumn(rank, inside).join(F.broadcast(table), bucket)  # a row a bucket
+    return ranked.withColumn(out, F.col(offset) + F.col(rank)).drop(bucket, rank, offset, digest), total
 
 
 def shard(documents: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with row_number, shard and slot; all columns stay, and columns of these names are replaced.
 
-    Null ids and texts count as values of their own; equal rows get places of their own; texts move with their rows. An
-    empty table gives an empty one.
+    Null ids and texts count as values of their own; equal rows get places of their own; texts, however long, move with
+    their rows. An empty table gives an empty one.
     """
-    keyed = documents.drop("row_number", "shard", "slot").withColumns({"_h": F.xxhash64(text_col)})
-    rows, n = numbered(keyed, [id_col, "_h"])
-    moved = rows.withColumn("_p", permuted(F.col("row_number"), n, seed)).drop("_h")
-    return moved.withColumns({"shard": (F.col("_p") % shards).cast("int"), "slot": F.expr(f"_p div {shards}")}).drop("_p")
+    plain = documents.drop("row_number", "shard", "slot")
+    tie, place = unused("_text", plain.columns), unused("_place", plain.columns)
+    rows, n = numbered(plain.withColumn(tie, F.xxhash64(text_col)), [id_col, tie])
+    moved = rows.withColumn(place, permuted(F.col("row_number"), n, seed)).drop(tie)
+    at = F.col(place)
+    return moved.withColumns({"shard": (at % shards).cast("int"), "slot": F.expr(f"`{place}` div {shards}")}).drop(place)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
