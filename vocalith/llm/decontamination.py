@@ -15,7 +15,10 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from vocalith.llm.native import unused
+from vocalith.plans.scratch import materialize
 
 #: Separators to a space and A-Z to a-z; digits, letters and every byte from 128 are word bytes.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -24,7 +27,7 @@ BROADCAST_WORDS = 300_000
 #: Texts that are searched at once.
 BLOCK = 256
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-FOUND = "n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>"
+FOUND = "n_words long, n_hit long, item_ids array<{}>, spans array<struct<start:long,end:long>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -93,7 +96,8 @@ def find(documents: DataFrame, items: DataFrame, window: int = 10, text_col: str
     """``documents`` with a struct column ``out``: n_words, n_hit, item_ids (sorted) and spans of hit words (end exclusive).
 
     Null and empty texts have no words; null and wordless items have no window; equal windows of several items name all of
-    them; repeated documents are judged each on its own. Other columns pass through; ``out`` replaces a column of that name.
+    them; repeated documents are judged each on its own. Long texts are searched whole; an empty table gives an empty one.
+    Other columns pass through, whatever their names; ``out`` replaces a column of that name.
     """
     held = items.select(F.col(item_id).alias("k"), F.col(item_text).cast("binary").alias("t")).where("k is not null and t is not null")
     n_words = held.select(F.sum(F.octet_length("t") / 2 + 1)).first()[0] or 0  # a word and its separator take two bytes at least
@@ -101,11 +105,11 @@ def find(documents: DataFrame, items: DataFrame, window: int = 10, text_col: str
         return _joined(documents, held, window, text_col, out)
     # the bound holds: these rows have at most ``limit`` words
     shared = documents.sparkSession.sparkContext.broadcast([(r.k, bytes(r.t)) for r in held.collect()])
-    return documents.withColumn(out, _searching(shared, window)(F.col(text_col).cast("binary")))
+    return documents.withColumn(out, _searching(shared, window, dict(held.dtypes)["k"])(F.col(text_col).cast("binary")))
 
 
-def _searching(shared, window: int):
-    @F.pandas_udf(FOUND)
+def _searching(shared, window: int, kind: str):
+    @F.pandas_udf(FOUND.format(kind))
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         windows = Windows(shared.value, window)
         for batch in batches:
@@ -137,36 +141,39 @@ def _joined(documents: DataFrame, held: DataFrame, window: int, text_col: str, o
 
     item = held.select("k", F.explode(windows("t", F.lit(None).cast("array<int>"))).alias("w")).select("k", "w.n", "w.h").distinct()
     lengths = [r.n for r in item.select("n").distinct().collect()]  # at most ``window`` values
-    own = documents.withColumn("_row", F.monotonically_increasing_id())
+    taken = [*documents.columns, out]
+    row, n_col, ids_col, spans_col, hit_col, found_col = (unused(x, taken) for x in ("_row", "_n", "_ids", "_spans", "_hit", "_found"))
+    own = materialize(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")  # three branches see the same numbers
     text = F.col(text_col).cast("binary")
-    seen = own.select("_row", F.explode(windows(text, F.array(*[F.lit(int(n)) for n in lengths]))).alias("w")).select("_row", "w.at", "w.n", "w.h")
+    seen = own.select(F.col(row).alias("_row"), F.explode(windows(text, F.array(*[F.lit(int(n)) for n in lengths]))).alias("w")).select("_row", "w.at", "w.n", "w.h")
     hit = seen.join(item, ["n", "h"])
     names = hit.groupBy("_row").agg(F.sort_array(F.collect_set("k")).alias("item_ids"))
     word = hit.select("_row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("p")).distinct()
-    from pyspark.sql import Window
-
     island = word.withColumn("g", F.col("p") - F.row_number().over(Window.partitionBy("_row").orderBy("p")))
     spans = island.groupBy("_row", "g").agg(F.min("p").alias("start"), (F.max("p") + 1).alias("end"))
     spans = spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
-    empty = "cast(array() as array<long>)", "cast(array() as array<struct<start:long,end:long>>)"
-    names, spans = names.withColumnRenamed("item_ids", "_ids"), spans.withColumnsRenamed({"spans": "_spans", "n_hit": "_hit"})
-    joined = own.withColumn("_n", count(text)).join(names, "_row", "left").join(spans, "_row", "left")
-    found = F.struct(F.col("_n").alias("n_words"), F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_ids", F.expr(empty[0])).alias("item_ids"), F.coalesce("_spans", F.expr(empty[1])).alias("spans"))
-    return joined.withColumn("_found", found).select(*[c for c in documents.columns if c != out], F.col("_found").alias(out))
+    empty = f"cast(array() as array<{dict(held.dtypes)['k']}>)", "cast(array() as array<struct<start:long,end:long>>)"
+    names = names.select(F.col("_row").alias(row), F.col("item_ids").alias(ids_col))
+    spans = spans.select(F.col("_row").alias(row), F.col("spans").alias(spans_col), F.col("n_hit").alias(hit_col))
+    joined = own.withColumn(n_col, count(text)).join(names, row, "left").join(spans, row, "left")
+    found = F.struct(F.col(n_col).alias("n_words"), F.coalesce(hit_col, F.lit(0).cast("long")).alias("n_hit"), F.coalesce(ids_col, F.expr(empty[0])).alias("item_ids"), F.coalesce(spans_col, F.expr(empty[1])).alias("spans"))
+    return joined.withColumn(found_col, found).select(*[c for c in documents.columns if c != out], F.col(found_col).alias(out))
 
 
 def clean(documents: DataFrame, items: DataFrame, drop_share: float = 0.5, window: int = 10, text_col: str = "text") -> DataFrame:
     """``documents`` without benchmark passages: hit words are cut out of a text with what stands between them; a document
-    with at least ``drop_share`` of its words hit is removed. Texts without a hit, and nulls, stay as they are."""
-    found = find(documents, items, window, text_col, out="_found")
-    share = F.col("_found.n_hit") >= drop_share * F.col("_found.n_words")
-    kept = found.where(~((F.col("_found.n_hit") > 0) & share))
+    with at least ``drop_share`` of its words hit is removed. Texts without a hit, and nulls, stay as they are. Long texts are
+    searched whole; no documents give no rows, and no items leave all rows as they are."""
+    own = unused("_found", documents.columns)
+    found = find(documents, items, window, text_col, out=own)
+    share = F.col(f"{own}.n_hit") >= drop_share * F.col(f"{own}.n_words")
+    kept = found.where(~((F.col(f"{own}.n_hit") > 0) & share))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([remove(t, [(s["start"], s["end"]) for s in own]) for t, own in zip(texts, spans, strict=True)])
 
-    text = F.when(F.size("_found.spans") > 0, cut(text_col, "_found.spans")).otherwise(F.col(text_col))
+    text = F.when(F.size(f"{own}.spans") > 0, cut(text_col, f"{own}.spans")).otherwise(F.col(text_col))
     return kept.withColumn(text_col, text).select(*documents.columns)
 
 
