@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from vocalith.plans.scratch import new_path
 
 FRAME_DOCS, FRAME_TOKENS = 64, 1 << 18
-#: Documents of a file, about.
-FILE_DOCS = 20_000
+#: Bytes of text of a file, about.
+FILE_BYTES = 48 << 20
 #: Entries of each of a worker's two caches, about 200 bytes each. A full cache takes no more; frequent words come early.
 CACHE_WORDS = 400_000
 INDEX, SKIPPABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -205,7 +205,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, id_col
     """
     low = -(1 << 63)
     rows = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    files = max(1, -(-documents.count() // FILE_DOCS))
+    files = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0) // FILE_BYTES))
     dealt = rows.repartitionByRange(files, "id").sortWithinPartitions("id", F.xxhash64("text"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
