@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vocalith.llm.native import unused
 from vocalith.llm.sharding import Permutation
 from vocalith.plans.scratch import materialize
 
@@ -181,7 +182,8 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each pass over its source, a document's words that were taken, with its other columns.
 
     A document that is taken whole keeps its text; parts of one keep the text between their words, and parts that do not
-    touch are joined by a line feed. ``n_chars``, if there, is counted again.
+    touch are joined by a line feed. ``n_chars``, if there, is counted again. Null, empty and blank texts have no words and
+    are not in the mix. An empty table gives an empty one. Texts are cut whole, however long.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     found = mix(documents, **options)
@@ -190,17 +192,19 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     keys = found.documents.where("size > 0").select("id", "tie", "source_index", "start", "size")
     planned = materialize(keys.join(by_turn, ["source_index", "start"]).select("id", "tie", "start", "size", "parts"), "planned")
     ranked = planned.withColumn("copy", F.dense_rank().over(twin))
-    same = Window.partitionBy(id_col, "_tie").orderBy(text_col)
-    copies = documents.withColumn("_tie", F.xxhash64(text_col)).withColumn("_copy", F.row_number().over(same))
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("p.id")) & (F.col("d._tie") == F.col("p.tie")) & (F.col("d._copy") - F.col("p.copy") == 0)
-    met = copies.alias("d").join(ranked.alias("p"), on).select("d.*", F.col("p.size").alias("_size"), F.col("p.parts").alias("_parts"))
+    tie, copy, size, parts = (unused(x, documents.columns) for x in ("_tie", "_copy", "_size", "_parts"))
+    whole_row = F.xxhash64(*[c for c, kind in documents.dtypes if not kind.startswith("map")])
+    same = Window.partitionBy(id_col, tie).orderBy(text_col, whole_row)
+    copies = documents.withColumn(tie, F.xxhash64(text_col)).withColumn(copy, F.row_number().over(same))
+    on = F.col(f"d.{id_col}").eqNullSafe(F.col("p.id")) & (F.col(f"d.{tie}") == F.col("p.tie")) & (F.col(f"d.{copy}") - F.col("p.copy") == 0)
+    met = copies.alias("d").join(ranked.alias("p"), on).select("d.*", F.col("p.size").alias(size), F.col("p.parts").alias(parts))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([excerpt(t, [(p["word"], p["n"]) for p in own]) for t, own in zip(texts, parts, strict=True)])
 
-    whole = F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["n"]) == F.col("_size")
-    out = met.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut(text_col, "_parts")))
+    whole = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + p["n"]) == F.col(size)
+    out = met.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut(text_col, parts)))
     out = out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in documents.columns else out
     return out.select(*documents.columns)
 
