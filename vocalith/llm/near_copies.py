@@ -1,9 +1,14 @@
 """Near copies by their sets of five-word shingles: every pair with a Jaccard similarity of 0.8 or more is linked.
 
-Method: an exact prefix-filtered set join. In any one order of all shingles, two sets with a similarity of ``t`` share one of
+First come SimHash fingerprints of the sets: those within two bits meet in the segment-popcount grids of ``simhash``, and are
+verified on the whole sets. That joins most copies. Fingerprints of sets with a similarity of 0.8 can be ten bits apart, where no
+grid is cheap, so a second pass finds what is left.
+
+The second pass is an exact prefix-filtered set join. In any one order of all shingles, two sets with a similarity of ``t`` share one of
 the first ``n - ceil(t * n) + 1`` shingles of each. The order puts shingles that a sample of documents has often last, so
 that most prefixes hold rare shingles; the sample changes how many pairs meet, not which are linked. Pairs that meet and
-pass the filters by size, position and common part of the prefixes are verified on the whole sets, which are made again from the texts of these documents.
+pass the filters by size, position and common part of the prefixes are verified on the whole sets, which are made again from
+the texts of these documents. Pairs that the first pass has joined do not meet again.
 
 Only components are needed, so shingles with more than ``DENSE`` sets (a family of near copies) do not meet pair by pair at
 first: each set is held against two members that are drawn by hash. What is then in one component with most of its shingle
@@ -18,6 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vocalith.llm import simhash
 from vocalith.llm.simhash import LOWER, first_of
 from vocalith.operators.graph import connected_components
 from vocalith.operators.skew import lookup
@@ -51,6 +57,14 @@ def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, last))[: n - (4 * n + 4) // 5 + 1]] if n else s
 
 
+def majority(s: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, as a signed 64-bit integer: bits that are set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), simhash.BLOCK):
+        ones += np.unpackbits(s[at : at + simhash.BLOCK].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s)).view(">i8")[0])
+
+
 def _hashes(text: Column) -> Column:
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
@@ -71,14 +85,14 @@ def _common(documents: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
 
 
 def _sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows as id, tie, fp (a hash of the whole set), size and prefix."""
+    """Rows as id, tie, fp (a hash of the whole set), print (its SimHash), size and prefix."""
     common, rank = _common(documents, text_col)
 
-    @F.pandas_udf("fp long, size int, prefix array<long>")
+    @F.pandas_udf("fp long, print long, size int, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t) for t in texts]
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fp, "size": [len(s) for s in sets], "prefix": [prefix(s, common, rank).view(np.int64) for s in sets]})
+        return pd.DataFrame({"fp": fp, "print": np.array([majority(s) for s in sets], np.int64), "size": [len(s) for s in sets], "prefix": [prefix(s, common, rank).view(np.int64) for s in sets]})
 
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), of(F.col(text_col).cast("binary")).alias("s"))
     return materialize(rows.select("id", "tie", "s.*"), "sets")
@@ -91,6 +105,17 @@ def _can(a: str, b: str) -> Column:
     return (5 * size(a) >= 4 * size(b)) & (5 * size(b) >= 4 * size(a)) & (9 * most >= 4 * (size(a) + size(b)))
 
 
+def _by_print(sets: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of sets: each with the least of its fingerprint, and those of fingerprints within two bits."""
+    known = sets.where("size > 0").select("print", "fp").distinct()
+    heads = materialize(known.groupBy("print").agg(F.min("fp").alias("head"), F.count("*").alias("n")), "heads")
+    twins = known.join(heads.where("n > 1"), "print").where("fp <> head").select(F.col("head").alias("src"), F.col("fp").alias("dst"))
+    near = simhash.links(heads.select(F.col("print").alias("fp")))
+    head = lambda x: heads.select(F.col("print").alias(x), F.col("head").alias(f"h{x}"))
+    met = near.join(head("src"), "src").join(head("dst"), "dst").select(F.least("hsrc", "hdst").alias("src"), F.greatest("hsrc", "hdst").alias("dst"))
+    return twins.union(met).distinct()
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("a.fp", "b.fp").alias("src"), F.greatest("a.fp", "b.fp").alias("dst")).distinct()
 
@@ -120,31 +145,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, text_col:
 
 def links(sets: DataFrame, documents: DataFrame, text_col: str = "text") -> DataFrame:
     """Edges (src, dst) of hashes of sets whose components are those of all pairs of a similarity of 0.8 or more."""
+    copies = _verified(_by_print(sets), sets, documents, text_col)
     rows = sets.select("fp", "size", F.posexplode("prefix").alias("pos", "s"))
     shared = rows.groupBy("s").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("s")
-    met = materialize(rows.join(shared, "s").select("s", "fp", "size", "pos").distinct(), "met")
-    crowd = met.groupBy("s").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp", "size", "pos")).alias(f"p{k}") for k in (0, 1)])
+    met = _rooted(rows.join(shared, "s").select("s", "fp", "size", "pos").distinct(), copies, "met")
+    crowd = met.groupBy("s").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp", "size", "pos", "root")).alias(f"p{k}") for k in (0, 1)])
     crowd = materialize(crowd, "crowd")
+    apart = (F.col("a.s") == F.col("b.s")) & (F.col("a.root") != F.col("b.root")) & _can("a", "b")
     few = met.join(crowd.where(F.col("n") <= DENSE).select("s"), "s")
     many = materialize(met.join(crowd.where(F.col("n") > DENSE).select("s"), "s"), "many")
-    near = _pairs(few.alias("a").join(few.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.fp") < F.col("b.fp")) & _can("a", "b")))
-    heads = crowd.where(F.col("n") > DENSE).select("s", F.explode(F.array("p0", "p1")).alias("p")).select("s", "p.fp", "p.size", "p.pos")
-    stars = _pairs(many.alias("a").join(heads.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.fp") != F.col("b.fp")) & _can("a", "b")))
-    first = _verified(near.union(stars).distinct(), sets, documents, text_col)
+    near = _pairs(few.alias("a").join(few.alias("b"), apart & (F.col("a.fp") < F.col("b.fp"))))
+    heads = crowd.where(F.col("n") > DENSE).select("s", F.explode(F.array("p0", "p1")).alias("p")).select("s", "p.fp", "p.size", "p.pos", "p.root")
+    stars = _pairs(many.alias("a").join(heads.alias("b"), apart))
+    first = copies.union(_verified(near.union(stars).distinct(), sets, documents, text_col))
     if not many.limit(1).count():
         return first
-    roots = connected_components(first).withColumnRenamed("node", "fp")
-    named = many.join(roots, "fp", "left").select("s", "fp", "size", "pos", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "named")
+    named = _rooted(many.drop("root"), first, "named")
     parts = named.groupBy("s", "root").count().groupBy("s").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).where("n > 1").select("s", "main")
     left = named.join(parts, "s").where("root <> main")
-    others = _pairs(left.alias("a").join(named.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.root") != F.col("b.root")) & _can("a", "b")))
+    others = _pairs(left.alias("a").join(named.alias("b"), apart))
     return first.union(_verified(others, sets, documents, text_col))
 
 
+def _rooted(rows: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
+    """``rows`` with ``root``, the least set that ``fp`` is connected to."""
+    roots = connected_components(edges).withColumnRenamed("node", "fp")
+    return materialize(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), tag)
+
+
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with one row of each component of near copies: the one with its smallest id, then with the smallest hash
-    of its text. Null, empty and blank texts are copies of each other. Columns, rows and texts are otherwise as they came.
+    of its text. Null, empty and blank texts are copies of each other; of equal rows one stays; long texts are compared whole.
+    Columns, rows and texts are otherwise as they came, whatever the columns' names. An empty table gives an empty one.
     """
     sets = _sets(documents, id_col, text_col)
     nodes = sets.groupBy("fp").agg(F.count("*").alias("n"))

@@ -22,6 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vocalith.llm.native import unused
 from vocalith.operators.graph import connected_components
 from vocalith.operators.skew import lookup
 from vocalith.plans.scratch import materialize
@@ -134,12 +135,14 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of(documents: DataFrame, found: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``documents`` with one row of each ``root`` of ``found`` (id, tie, root), for ``keep_first``."""
     best = found.groupBy("root").agg(F.min_by(F.struct("id", "tie"), F.struct(F.col("id").isNull(), "id", "tie")).alias("k"))
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("k.k.id")) & (F.col("d._tie") == F.col("k.k.tie"))
-    kept = documents.withColumn("_tie", F.xxhash64(text_col)).alias("d").join(best.alias("k"), on, "left_semi")
+    tie, rank = (unused(x, documents.columns) for x in ("_tie", "_rank"))
+    on = F.col(f"d.{id_col}").eqNullSafe(F.col("k.k.id")) & (F.col(f"d.{tie}") == F.col("k.k.tie"))
+    kept = documents.withColumn(tie, F.xxhash64(text_col)).alias("d").join(best.alias("k"), on, "left_semi")
     if not prints.groupBy("id", "tie").count().where("count > 1").limit(1).count():
         return kept.select(*documents.columns)
-    order = Window.partitionBy(id_col, "_tie").orderBy(text_col)  # only where rows repeat: a second shuffle
-    return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*documents.columns)
+    whole = F.xxhash64(*[c for c, kind in documents.dtypes if not kind.startswith("map")])  # equal in id and text: the first by all columns
+    order = Window.partitionBy(id_col, tie).orderBy(text_col, whole)  # only where rows repeat: a second shuffle
+    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
