@@ -13,6 +13,9 @@ LONG = "very long text of many words, line after line.\n" * 4_000
 TEXTS = [(1, "one text of its own"), (1, "one text of its own"), (2, None), (None, "no id at all"), (None, None), (3, ""), (4, " \n\t "), (5, LONG), (6, "x" * 50_000), (7, "one text of its own")]
 CLASH = {"fp": 1, "id": 2, "tie": 3, "_tie": 4, "_t": 5, "size": 6, "row_number": 7, "shard": 8, "slot": 9, "found": 10, "spans": 11, "score": 12, "toxicity": 13, "removed": 14, "n_words": 15, "root": 16, "bucket": 17, "start": 18, "line": 19}
 
+#: Names that operators have used for columns of their own.
+EXTRA = ["_copy", "_found", "_row", "_p", "_h", "_toxicity", "_bucket", "_rank", "_offset", "_digest", "_extra", "_parts", "_size", "_text", "_place", "_n", "_ids", "_spans", "_hit"]
+
 
 @pytest.fixture(scope="module")
 def odd(spark):
@@ -68,8 +71,19 @@ def test_stages_take_odd_rows_and_none(spark, odd, none, k):
     n = out.count()
     assert n == {0: 10, 1: 5, 2: 10, 4: 10}.get(k, n) and n > 0
     assert stage(spark, none.select(columns), SMALL).count() == 0
-    if k in (0, 1, 2):
-        assert stage(spark, odd, SMALL).columns == odd.columns
+    clash = odd.withColumns({c: F.lit(f"{c}!") for c in EXTRA})
+    out = stage(spark, clash, SMALL)
+    rows = out.collect()
+    assert len(rows) == n and [c for c in out.columns if c in clash.columns or k < 4] == [c for c in clash.columns if k < 4 or c not in ("row_number", "shard", "slot")] + ["row_number", "shard", "slot"] * (k == 4)
+    for r in rows:
+        assert all(r[c] == f"{c}!" for c in EXTRA) and all(r[c] == v for c, v in CLASH.items() if k < 4 or c not in ("row_number", "shard", "slot"))
+
+
+@pytest.mark.parametrize("name", ["toxicity", "sharding", "quality", "decontamination", "decontamination_join"])
+def test_other_columns_keep_their_values(spark, odd, name):
+    clash = odd.withColumns({c: F.lit(f"{c}!") for c in EXTRA}).drop("row_number", "shard", "slot", "score", "toxicity", "found")
+    for r in ops(spark)[name](clash).collect():
+        assert all(r[c] == (CLASH.get(c) or f"{c}!") for c in clash.columns[5:])
 
 
 def test_pipeline(spark):
