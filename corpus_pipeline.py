@@ -9,8 +9,9 @@ from vocalith.llm import decontamination, mixing, near_copies, sharding, toxicit
 from vocalith.plans.scratch import materialize
 
 SHARDS = 24
-#: Rows that a Python worker gets at once, which bounds its memory where texts are long.
-ARROW_ROWS = 1_000
+#: Rows that a Python worker gets at once, which bounds its memory where texts are long. Stages are lazy, so this setting of the
+#: session stays after them.
+ARROW_ROWS = 500
 
 
 def bounded(stage):
@@ -25,27 +26,47 @@ def bounded(stage):
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose severity is more likely 0 than above, by a model of the labelled ones among them."""
+    """Documents whose severity is more likely 0 than above, by a model of the labelled ones among them.
+
+    Null, empty and wordless texts stay; equal rows stay or go together; without labels all stay. No documents: no rows. Texts
+    are read whole; columns pass through whatever their names.
+    """
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of texts with a five-word similarity of 0.8 or more."""
+    """One document, that of the smallest id, of each component of texts with a five-word similarity of 0.8 or more.
+
+    Null, empty and blank texts are one component; null ids come last in theirs; of equal rows one stays. No documents: no
+    rows. Texts are compared whole; columns pass through whatever their names.
+    """
     return near_copies.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the ten-word windows of the benchmark; those that are mostly benchmark go."""
+    """Documents without the ten-word windows of the benchmark; those that are mostly benchmark go.
+
+    Null, empty and clean texts stay as they are; equal rows are cut alike; an empty benchmark changes nothing. No documents:
+    no rows. Texts are searched whole; columns pass through whatever their names.
+    """
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each pass over its source, the words of each document that the mix takes."""
+    """For each pass over its source, the words of each document that the mix takes.
+
+    Null, empty and blank texts have no words to take; null sources are one source; equal rows are taken one by one. No
+    documents: no rows. Texts are cut whole; columns pass through whatever their names, and ``n_chars`` is counted again.
+    """
     return mixing.mixed_documents(docs)
 
 
 def shuffle(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Row number, shard and slot of each document."""
+    """Row number, shard and slot of each document.
+
+    Nulls are values of their own; equal rows get places of their own. No documents: no rows. Columns pass through whatever
+    their names, but for these three.
+    """
     return sharding.shard(docs, SHARDS)
 
 
