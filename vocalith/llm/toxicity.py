@@ -26,6 +26,8 @@ from vocalith.llm.native import unused
 SAMPLE_ROWS = 20_000
 #: How rare sides weigh: 0 like all others, 1 as much as the other side in sum.
 BALANCE = 0.25
+#: Rows whose words a step of the fit holds at once.
+PART = 1_000
 #: Besides whole words, their first 4, 6 and 7 letters are features, which meet inflected forms.
 STEMS = (4, 6, 7)
 #: A word or stem is a feature from this standard score of its log-odds, and in this many rows.
@@ -86,7 +88,7 @@ def marked_words(rows: DataFrame) -> list[tuple[str, float]]:
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, steps: int = 500, l2: float = 2e-4):
-    """Weights and thresholds of sparse rows by full-batch gradient steps (Adam) on the cumulative-link likelihood.
+    """Weights and thresholds of sparse rows (``rows`` ascending) by full-batch gradient steps (Adam) on the cumulative-link likelihood.
 
     P(grade = j) = a - b with a = P(grade > j - 1) and b = P(grade > j); its logarithm has the slope 1 - a - b in w.x. Rows
     count by how rare their side (grade 0 or above) is, to the power ``BALANCE``.
@@ -96,18 +98,21 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     each = (0.5 / share) ** BALANCE
     each /= each.sum()
     p = np.concatenate([np.zeros(n_features), [1.0], np.zeros(levels - 1)])
+    ends = np.searchsorted(rows, np.arange(0, n + PART, PART))  # rows ascend; a part at a time bounds what a step holds
+    parts = [(rows[a:b] - at, cols[a:b], values[a:b], min(PART, n - at)) for at, a, b in zip(range(0, n, PART), ends, ends[1:])]
     m, v, row = np.zeros_like(p), np.zeros_like(p), np.arange(n)
     for t in range(1, steps + 1):
         w, gaps = p[:n_features], np.exp(p[n_features + 1 :])
         cuts = p[n_features] + np.concatenate([[0], np.cumsum(gaps)])
-        linear = np.bincount(rows, values * w[cols], n)
+        linear = np.concatenate([np.bincount(r, v * w[c], k) for r, c, v, k in parts])
         above = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(linear[:, None] - cuts, -40, 40))), np.zeros((n, 1))], axis=1)
         a, b = above[row, grades], above[row, grades + 1]
         chance = np.maximum(a - b, 1e-12)
         slope = (1 - a - b) * each
         by_cut = np.bincount(grades, a * (1 - a) / chance * each, levels + 1)[1:] - np.bincount(grades, b * (1 - b) / chance * each, levels + 1)[:-1]
         by_gap = np.cumsum(by_cut[::-1])[::-1][1:] * gaps
-        grad = np.concatenate([l2 * w - np.bincount(cols, values * slope[rows], n_features), [by_cut.sum()], by_gap])
+        by_word = sum(np.bincount(c, v * slope[at : at + PART][r], n_features) for at, (r, c, v, _) in zip(range(0, n, PART), parts, strict=True))
+        grad = np.concatenate([l2 * w - by_word, [by_cut.sum()], by_gap])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         p -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
@@ -123,19 +128,19 @@ def fit(documents: DataFrame, labels: DataFrame, text_col: str = "text", grade:
         return blank
     number = blank.number
 
-    @F.pandas_udf("struct<cols:array<int>,counts:array<int>>")
+    @F.pandas_udf("struct<cols:binary,counts:binary>")
     def vector(texts: pd.Series) -> pd.DataFrame:
         found = [counts_of(t, number) for t in texts]
-        return pd.DataFrame({"cols": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
+        return pd.DataFrame({"cols": [np.array(list(c), "<i4").tobytes() for c in found], "counts": [np.log1p(np.array(list(c.values()), "<f4")).tobytes() for c in found]})
 
     got = rows.select("label", vector("text").alias("v")).select("label", "v.*").toPandas()  # SAMPLE_ROWS rows at most
     y = got["label"].to_numpy().astype(np.int64)
     if not 0 < (y > 0).sum() < len(y):
         return blank
     y = np.unique(y, return_inverse=True)[1]  # grades that no row has are no thresholds
-    at = np.repeat(np.arange(len(got)), got["cols"].map(len))
-    cols, counts = (np.concatenate([*got[c], []]) for c in ("cols", "counts"))
-    weights, cuts = fit_ordinal(at, cols.astype(np.int64), np.log1p(counts), y, len(marked))
+    at = np.repeat(np.arange(len(got), dtype=np.int32), got["cols"].map(len) // 4)
+    cols, counts = np.frombuffer(b"".join(got["cols"]), "<i4"), np.frombuffer(b"".join(got["counts"]), "<f4")
+    weights, cuts = fit_ordinal(at, cols, counts, y, len(marked))
     return Model([w for w, _ in marked], weights, cuts)
 
 
