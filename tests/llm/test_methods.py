@@ -223,7 +223,9 @@ def test_large_benchmarks_take_the_join_with_equal_results(spark):
 def test_clean_cuts_passages_and_leaves_the_rest(spark):
     passage = " ".join(f"word{k}" for k in range(12))
     d = spark.createDataFrame([(1, f"Début, here it is: {passage}! and after. " + "filler text " * 10), (2, passage), (3, "nothing to see"), (4, None)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in decontamination.clean(d, spark.createDataFrame([(1, passage.upper())], "item_id long, text string")).collect()}
+    items = spark.createDataFrame([(1, passage.upper())], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontamination.clean(d, items).collect()}
+    assert got == {r.doc_id: r.text for r in decontamination.clean(d, items, limit=1).collect()}
     assert got == {1: "Début, here it is: ! and after. " + "filler text " * 10, 3: "nothing to see", 4: None}
 
 

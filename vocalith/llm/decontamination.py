@@ -100,14 +100,19 @@ def find(documents: DataFrame, items: DataFrame, window: int = 10, text_col: str
     Other columns pass through, whatever their names; ``out`` replaces a column of that name.
     """
     held = items.select(F.col(item_id).alias("k"), F.col(item_text).cast("binary").alias("t")).where("k is not null and t is not null")
-    n_words = held.select(F.sum(F.octet_length("t") / 2 + 1)).first()[0] or 0  # a word and its separator take two bytes at least
-    if n_words > limit:
+    shared = _shared(held, limit)
+    if shared is None:
         return _joined(documents, held, window, text_col, out)
-    # the bound holds: these rows have at most ``limit`` words
-    shared = documents.sparkSession.sparkContext.broadcast([(r.k, bytes(r.t)) for r in held.collect()])
     return documents.withColumn(out, _searching(shared, window, dict(held.dtypes)["k"])(F.col(text_col).cast("binary")))
 
 
+def _shared(held: DataFrame, limit: int):
+    """The items as a broadcast, if they have at most ``limit`` words; a word and its separator take two bytes at least."""
+    if (held.select(F.sum(F.octet_length("t") / 2 + 1)).first()[0] or 0) > limit:
+        return None
+    return held.sparkSession.sparkContext.broadcast([(r.k, bytes(r.t)) for r in held.collect()])
+
+
 def _searching(shared, window: int, kind: str):
     @F.pandas_udf(FOUND.format(kind))
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -160,21 +165,40 @@ def _joined(documents: DataFrame, held: DataFrame, window: int, text_col: str, o
     return joined.withColumn(found_col, found).select(*[c for c in documents.columns if c != out], F.col(found_col).alias(out))
 
 
-def clean(documents: DataFrame, items: DataFrame, drop_share: float = 0.5, window: int = 10, text_col: str = "text") -> DataFrame:
+def _cleaning(shared, window: int):
+    @F.pandas_udf("n_words long, n_hit long, text string")
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        windows = Windows(shared.value, window)
+        for batch in batches:
+            rows = []
+            for part in (list(batch[at : at + BLOCK]) for at in range(0, len(batch), BLOCK)):
+                rows += [(n, int(mark.sum()), remove(bytes(t).decode(), runs(mark)) if own else None) for t, (n, mark, own) in zip(part, windows.search(part), strict=True)]
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "text"])
+
+    return cleaned
+
+
+def clean(documents: DataFrame, items: DataFrame, drop_share: float = 0.5, window: int = 10, text_col: str = "text", limit: int = BROADCAST_WORDS) -> DataFrame:
     """``documents`` without benchmark passages: hit words are cut out of a text with what stands between them; a document
     with at least ``drop_share`` of its words hit is removed. Texts without a hit, and nulls, stay as they are. Long texts are
     searched whole; no documents give no rows, and no items leave all rows as they are."""
     own = unused("_found", documents.columns)
-    found = find(documents, items, window, text_col, out=own)
-    share = F.col(f"{own}.n_hit") >= drop_share * F.col(f"{own}.n_words")
-    kept = found.where(~((F.col(f"{own}.n_hit") > 0) & share))
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([remove(t, [(s["start"], s["end"]) for s in own]) for t, own in zip(texts, spans, strict=True)])
-
-    text = F.when(F.size(f"{own}.spans") > 0, cut(text_col, f"{own}.spans")).otherwise(F.col(text_col))
-    return kept.withColumn(text_col, text).select(*documents.columns)
+    held = items.select(F.col("item_id").alias("k"), F.col("text").cast("binary").alias("t")).where("k is not null and t is not null")
+    shared = _shared(held, limit)
+    if shared is None:
+        found = _joined(documents, held, window, text_col, own)
+
+        @F.pandas_udf("string")
+        def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+            return pd.Series([remove(t, [(s["start"], s["end"]) for s in own]) for t, own in zip(texts, spans, strict=True)])
+
+        text = cut(text_col, f"{own}.spans")
+    else:  # one worker a task searches and cuts
+        found = documents.withColumn(own, _cleaning(shared, window)(F.col(text_col).cast("binary")))
+        text = F.col(f"{own}.text")
+    hit = F.col(f"{own}.n_hit") > 0
+    kept = found.where(~(hit & (F.col(f"{own}.n_hit") >= drop_share * F.col(f"{own}.n_words"))))
+    return kept.withColumn(text_col, F.when(hit, text).otherwise(F.col(text_col))).select(*documents.columns)
 
 
 def remove(text: str | None, spans: list[tuple[int, int]]) -> str | None:

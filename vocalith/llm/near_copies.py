@@ -34,8 +34,8 @@ WORDS = 5
 SAMPLE, COMMON, OFTEN = 10_000, 20_000, 3
 #: Sets of a shingle that meet pair by pair at once.
 DENSE = 16
-#: Sets whose texts are found by a broadcast; beyond it by a shuffle.
-BROADCAST_SETS = 1_000_000
+#: Sets whose texts, and shingles whose sets, are found by a broadcast; beyond it by a shuffle.
+BROADCAST_SETS, BROADCAST_SHINGLES = 1_000_000, 2_000_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -148,6 +148,8 @@ def links(sets: DataFrame, documents: DataFrame, text_col: str = "text") -> Data
     copies = _verified(_by_print(sets), sets, documents, text_col)
     rows = sets.select("fp", "size", F.posexplode("prefix").alias("pos", "s"))
     shared = rows.groupBy("s").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("s")
+    shared = materialize(shared, "shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_SHINGLES else shared
     met = _rooted(rows.join(shared, "s").select("s", "fp", "size", "pos").distinct(), copies, "met")
     crowd = met.groupBy("s").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp", "size", "pos", "root")).alias(f"p{k}") for k in (0, 1)])
     crowd = materialize(crowd, "crowd")
