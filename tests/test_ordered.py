@@ -1,6 +1,7 @@
 """Operators with the semantics of a loop, against the loop."""
 
 import random
+import re
 
 import pytest
 from conftest import SMALL
@@ -74,8 +75,9 @@ def test_admission_replay(spark):
         want[i] = len(run) < 4
         if want[i]:
             run.append(b)
-    got = service.admission(spark.createDataFrame(rows, "g long, id long, a double, b double"), "g", "a", "b", "id", 4)
-    assert {r.id: r.admitted for r in got.collect()} == want
+    for step in (100_000, 7):  # a period in one step, and in many
+        got = service.admission(spark.createDataFrame(rows, "g long, id long, a double, b double"), "g", "a", "b", "id", 4, step)
+        assert {r.id: r.admitted for r in got.collect()} == want
 
 
 def test_playback_clock(spark):
@@ -165,10 +167,75 @@ def test_near_texts_need_time_and_ratio(spark):
     assert {(r.a, r.b) for r in got} == {(1, 2)}
 
 
-def test_streamed_segments_equal_the_batch_twin(spark):
-    stream = jobs.run(jobs.segmenter(jobs.conversations(spark, SMALL)), "append")
-    batch = jobs.segmenter_batch(spark.read.parquet(f"{SMALL}/conversations.parquet"))
-    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect())) != []
+def pieces(text):
+    """The pieces of a reply by character, independent of the streamed job."""
+    out, at = [], 0
+    while at < len(text):
+        rest, end = text[at:], 0
+        for k, c in enumerate(rest):
+            follows = rest[k + 1 : k + 2]
+            spaced = follows.isspace()
+            if c in "।?!" and (spaced or not follows) or c == "." and spaced:
+                word = rest[: k + 1].strip()
+                bare = c == "." and (word[:-1].isdigit() or (2 <= len(word) <= 4 and not any(x.isspace() for x in word)))
+                if not bare and (out or k + 1 >= 12):
+                    end = k + 1
+            elif c == "," and spaced and k + 1 >= (40 if out else 12):
+                end = k + 1
+            if end:
+                break
+        if not end and " " in rest[119:]:
+            end = rest.index(" ", 119) + 1
+        piece = rest[: end or len(rest)]
+        lines = [re.sub(r"^\s*(?:[-•]|[0-9]+[.)])\s+", "", x) for x in piece.split("\n")]
+        clean = " ".join("".join(c for c in "\n".join(lines) if c not in "*#`" and not 0x1F000 <= ord(c) <= 0x1FAFF).split())
+        if any(c.isalnum() or c == "_" for c in clean):
+            out.append(clean)
+        at += end or len(rest)
+    return out
+
+
+def test_streamed_segments(spark):
+    rows = jobs.run(jobs.segmenter(jobs.deltas(spark, SMALL)), "append").orderBy("no").collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.conv_id, r.turn), []).append(r.segment)
+    text = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
+    want = {}
+    for k, t in text.items():  # deltas can end a piece at a mark that only a space would end later, so cut as they came
+        buffer, started, out, n = "", False, [], len(t)
+        for j in range(3):
+            buffer, started, more = jobs.feed(buffer, started, t[n * j // 3 : n * (j + 1) // 3], j == 2)
+            out += more
+        if out:
+            want[k] = out
+    assert got == want and any(len(v) > 1 for v in want.values())
+
+
+def test_pieces_of_replies():
+    for t in ["this is a clause; and more", "**bold** point here. And so on, then", "This is the last reply", "1. one item\n2. another item of the list. Done! 😀", "Dr. Rao said, in a long and winding sentence, that 3.5 is not 1,000. Yes?", "word " * 60, "", "***", "नमस्ते दुनिया, यह एक वाक्य है। और दूसरा।"]:
+        _, _, got = jobs.feed("", False, t, True)
+        assert got == pieces(t), t
+    assert jobs.feed("", False, "**bold** point here. x", True)[2] == ["bold point here.", "x"]
+    assert jobs.feed("", False, "this is a clause; and more", True)[2] == ["this is a clause; and more"]
+
+
+def test_composed_and_decomposed_texts_are_equal(spark):
+    import unicodedata
+
+    texts = ["\u0915\u093c\u0932", "\u0958\u0932", "caf\u00e9", "cafe\u0301", "\u0929", "\u0928\u093c", "\u0939\u0901\u0938", "\u0939\u0902\u0938", "\u1112\u1161\u11ab", "\ud55c", "\u00c5", "\u212b", "a\u0323\u0307", "a\u0307\u0323", "plain, text!", "", "\u091c\u094d\u093c", None]
+
+    def clean(t, marks):
+        t = unicodedata.normalize("NFC", t.lower()).replace("\u093c", "").replace("\u0901", "\u0902")
+        return "".join(c for c in t if unicodedata.category(c)[0] in ("LMN" if marks else "LN"))
+
+    def canon(t):
+        t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).replace("\u093c", "")).replace("\u0901", "\u0902").lower()
+        return " ".join("".join(" " if unicodedata.category(c)[0] in "PSZC" else c for c in t).split())
+
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in d.select("t", T.cer_clean(F.col("t")).alias("a"), T.cer_clean_legacy(F.col("t")).alias("b"), T.canon(F.col("t")).alias("c")).collect():
+        assert (r.a, r.b, r.c) == ((None,) * 3 if r.t is None else (clean(r.t, True), clean(r.t, False), canon(r.t))), r.t
 
 
 def test_streamed_rate_limit_equals_the_replay(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -20,19 +21,54 @@ def n_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, NOT_WORD, ""))
 
 
+#: Devanagari letters that hold a nukta, and the letters without it.
+NUKTA_LETTERS = "\u0929\u0931\u0934\u0958\u0959\u095a\u095b\u095c\u095d\u095e\u095f", "\u0928\u0930\u0933\u0915\u0916\u0917\u091c\u0921\u0922\u092b\u092f"
+
+
+@functools.cache
+def unstable() -> str:
+    """A pattern for text that composition can change: letters that it replaces, marks that it joins to a letter before them, and
+    marks in a row, whose order it can change."""
+    found: set[int] = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # parts of Hangul syllables
+    for c in range(0x300, 0x30000):
+        parts = unicodedata.decomposition(chr(c))
+        if parts and parts[0] != "<":
+            found |= {int(x, 16) for x in parts.split()[1:]}
+            if unicodedata.normalize("NFC", chr(c)) != chr(c):
+                found.add(c)
+    runs: list[list[int]] = []
+    for c in sorted(found):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + r"]|\p{M}\p{M}"
+
+
+def nfc(text: Column) -> Column:
+    """Unicode composition. Spark has no function for it, so texts that it can change, and only those, go through Python."""
+
+    @F.pandas_udf("string")
+    def composed(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return F.coalesce(composed(F.when(text.rlike(unstable()), text)), text)
+
+
 def cer_clean(text: Column) -> Column:
-    """Lower case, without nukta, candrabindu as anusvara; letters, marks and digits only, no spaces."""
-    return F.regexp_replace(F.replace(F.replace(F.lower(text), F.lit("़"), F.lit("")), F.lit("ँ"), F.lit("ं")), NOT_WORD, "")
+    """Composed lower case, without nukta, candrabindu as anusvara; letters, marks and digits only, no spaces."""
+    return F.regexp_replace(F.replace(F.replace(nfc(F.lower(text)), F.lit("़"), F.lit("")), F.lit("ँ"), F.lit("ं")), NOT_WORD, "")
 
 
 def cer_clean_legacy(text: Column) -> Column:
     """As ``cer_clean``, without combining marks."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(F.replace(nfc(F.lower(text)), F.lit("़"), F.lit("")), r"[^\p{L}\p{N}]", "")
 
 
 def canon(text: Column) -> Column:
-    """Lower case; punctuation, symbols, separators and controls become one space."""
-    folded = F.replace(F.replace(F.lower(text), F.lit("़"), F.lit("")), F.lit("ँ"), F.lit("ं"))
+    """Composed lower case without nukta, candrabindu as anusvara; punctuation, symbols, separators and controls become one space."""
+    bare = F.replace(F.translate(text, *NUKTA_LETTERS), F.lit("़"), F.lit(""))
+    folded = F.lower(F.replace(nfc(bare), F.lit("ँ"), F.lit("ं")))
     return F.trim(F.regexp_replace(folded, r"[\p{P}\p{S}\p{Z}\p{C}]+", " "))
 
 
@@ -55,12 +91,3 @@ def error_rate(ref: Column, hyp: Column) -> Column:
 def bounded_error(ref: Column, hyp: Column) -> Column:
     """Edit distance over the reference's length, between 0 and 1."""
     return F.least(F.lit(1.0), F.levenshtein(ref, hyp) / F.greatest(F.lit(1), F.length(ref)))
-
-
-def nfc(text: Column) -> Column:
-    """Unicode composition, applied only to rows that hold a combining mark; Spark has no function for it."""
-    @F.pandas_udf("string")
-    def composed(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-    return F.when(text.rlike(r"\p{M}"), composed(text)).otherwise(text)

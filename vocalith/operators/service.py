@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vocalith.plans.scratch import materialize
+
 
 def pct_index(rows: DataFrame, value: str, qs: list[float], by: list[str] = ()) -> DataFrame:
     """Percentiles by position: the sorted value number min(n - 1, int(q n)), from 0. Ranks come from counts by value, so no
@@ -102,26 +107,40 @@ def active(intervals: DataFrame, by: str, start: str, end: str) -> DataFrame:
     return steps.withColumn("n", n).groupBy(by).agg(F.max("n").alias("peak"), F.min_by("at", F.struct(-F.col("n"), "at")).alias("first_at"))
 
 
-def admission(intervals: DataFrame, by: str, start: str, end: str, id_col: str, most: int) -> DataFrame:
+def admission(intervals: DataFrame, by: str, start: str, end: str, id_col: str, most: int, rows: int = 100_000) -> DataFrame:
     """``intervals`` with ``admitted``: a start is refused while ``most`` admitted ones run; refused ones hold no place.
 
-    Periods in which offered intervals overlap are independent of each other, so each is replayed by a fold of its own; the
-    state is the ends of those that run, ``most`` at the most.
+    Periods in which offered intervals overlap are independent of each other and replayed side by side. A period of more than
+    ``rows`` starts is replayed in as many steps, so that no task holds a whole one; what a step hands on is the ends of those
+    that run, ``most`` at the most, in a written table. Ids order starts of the same time. No rows: an empty table.
     """
     w = Window.partitionBy(by).orderBy(start, id_col)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     period = F.sum(F.when(F.col(start) < before, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    busy = intervals.withColumn("_p", period).groupBy(by, "_p").agg(F.sort_array(F.collect_list(F.struct(F.col(start).cast("double").alias("a"), F.col(id_col).alias("id"), F.col(end).cast("double").alias("b")))).alias("s"))
-    id_type = dict(intervals.dtypes)[id_col]
-    zero = F.struct(F.expr("cast(array() as array<double>)").alias("run"), F.expr(f"cast(array() as array<struct<id:{id_type},ok:boolean>>)").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        run = F.filter(acc["run"], lambda e: e > x["a"])
-        ok = F.size(run) < most
-        return F.struct(F.when(ok, F.concat(run, F.array(x["b"]))).otherwise(run).alias("run"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), ok.alias("ok")))).alias("out"))
-
-    each = busy.select(by, F.explode(F.aggregate("s", zero, add, lambda acc: acc["out"])).alias("o"))
-    return each.select(by, F.col("o.id").alias(id_col), F.col("o.ok").alias("admitted"))
+    plain = intervals.select(by, F.col(id_col).alias("id"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b"), period.alias("period"))
+    inside = F.row_number().over(Window.partitionBy(by, "period").orderBy("a", "id")) - 1
+    known = materialize(plain.withColumn("step", F.floor(inside / rows)), "offered")
+    kinds = dict(known.dtypes)
+
+    def replay(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["a", "id"])
+        run, out = list(part["run"].iloc[0]) if part["run"].iloc[0] is not None else [], []
+        heapify(run)
+        for a, b in zip(part["a"], part["b"], strict=True):
+            while run and run[0] <= a:
+                heappop(run)
+            out.append(len(run) < most)
+            if out[-1]:
+                heappush(run, b)
+        return pd.DataFrame({by: part[by].to_numpy(), "period": part["period"].to_numpy(), "id": part["id"].to_numpy(), "admitted": out, "run": [None] * (len(out) - 1) + [run]})
+
+    found, running = None, known.select(by, "period").where("false").withColumn("run", F.expr("cast(null as array<double>)"))
+    for k in range((known.agg(F.max("step")).first()[0] or 0) + 1):
+        now = known.where(F.col("step") == k).join(running, [by, "period"], "left")
+        done = materialize(now.groupBy(by, "period").applyInPandas(replay, f"{by} {kinds[by]}, period long, id {kinds['id']}, admitted boolean, run array<double>"), "admitted")
+        running = done.where("run is not null").select(by, "period", "run")
+        found = done if found is None else found.union(done)
+    return found.select(by, F.col("id").alias(id_col), "admitted")
 
 
 def rate_limit(hits: DataFrame, key: str, at: str, id_col: str, limit: int, window: float) -> DataFrame:

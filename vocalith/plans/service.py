@@ -176,7 +176,7 @@ def stream_turn_sessions(spark, d):
 
 @book.add("stream_segmenter")
 def stream_segmenter(spark, d):
-    return J.run(J.segmenter(J.conversations(spark, d)), "append")
+    return J.run(J.segmenter(J.deltas(spark, d)), "append")
 
 
 @book.add("stream_rate_limit")

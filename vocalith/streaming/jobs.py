@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,11 +22,6 @@ def events(spark: SparkSession, sf_dir: str, late: str = "1 day") -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "conv_id long, turn long, role string, text string"
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
-
-
 def run(stream: DataFrame, mode: str) -> DataFrame:
     """The stream's result once all input is taken. ``complete`` results replace each other; others are added up."""
     spark, out, state = stream.sparkSession, new_path(stream.sparkSession, "stream"), new_path(stream.sparkSession, "progress")
@@ -73,68 +69,81 @@ def last_values(rows: DataFrame, key: Column, keep: int = 2_000) -> DataFrame:
     return keyed.groupBy("key").applyInPandasWithState(step, "key string, n long, p50 double, p95 double, p99 double", "t array<long>, v array<double>", "update", "NoTimeout")
 
 
-def cut_at(buffer: str, first: bool) -> int:
-    """Where the next segment of a buffer ends, 0 if none is ready.
-
-    A sentence mark that white space follows ends one at once (the first from 12 characters on); a comma does from 40
-    characters on (the first from 12), a space from 120. A bare list number or a short word with a dot waits.
-    """
-    least, comma_from, best = (12 if first else 1), (12 if first else 40), 0
-    for k, c in enumerate(buffer):
-        ended = c in "।?!" and (k + 1 == len(buffer) or buffer[k + 1].isspace()) or c == "." and k + 1 < len(buffer) and buffer[k + 1].isspace()
-        head = buffer[: k + 1].strip()
-        waits = c == "." and (head[:-1].isdigit() or (len(head) <= 4 and not any(x.isspace() for x in head)))
-        if ended and k + 1 >= least and not waits:
-            best = k + 1
-            break
-        if c in ",;" and k + 1 >= comma_from and k + 1 < len(buffer) and buffer[k + 1].isspace():
-            best = k + 1
-            break
-    space = buffer.find(" ", 119)
-    return best or (space + 1 if space > 0 else 0)
-
-
-def feed(buffer: str, sent: bool, delta: str) -> tuple[str, bool, list[str]]:
-    """The rest of the buffer, whether anything was said yet, and the segments that a delta completes."""
-    buffer, out = buffer + delta, []
-    while end := cut_at(buffer, not sent):
-        piece, buffer = buffer[:end].strip(), buffer[end:]
-        if any(c.isalnum() for c in piece):
-            out.append(" ".join(piece.split()))
-            sent = True
-    return buffer, sent, out
-
-
-SEGMENTS = "conv_id long, segment string"
-
+#: Marks that can end a piece of a reply, and what a voice does not say.
+MARK = re.compile(r"[।?!](?=\s|\Z)|[.,](?=\s)")
+WAITS = re.compile(r"\d+\.|\S{1,3}\.")
+LIST_MARK = re.compile(r"^\s*(?:[-•]|\d+[.)])\s+", re.MULTILINE)
+UNSAID = re.compile("[*#`\U0001F000-\U0001FAFF☀-➿⬀-⯿️]")
 
-def segmenter(rows: DataFrame, last: str = "assistant") -> DataFrame:
-    """Segments of each conversation's turns as they come: (conv_id, segment). The buffer carries over between turns and batches;
-    what is left at the end stays in the state."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        buffer, sent = state.get if state.exists else ("", False)
-        out = []
-        for text in pd.concat(list(parts)).sort_values("turn")["text"]:
-            buffer, sent, more = feed(buffer, sent, (text or "") + " ")
-            out += more
-        state.update((buffer, sent))
-        yield pd.DataFrame({"conv_id": [key[0]] * len(out), "segment": out})
+def cut_at(buffer: str, first: bool) -> int:
+    """Where the next piece of a buffer ends, 0 if none is ready.
 
-    return rows.groupBy("conv_id").applyInPandasWithState(step, SEGMENTS, "buffer string, sent boolean", "append", "NoTimeout")
+    The first mark that can end one does: a sentence mark at once (in the first piece from 12 characters on), a comma from 40
+    characters on (in the first piece from 12). White space must follow, or, but for dots and commas, nothing. A bare list
+    number and a short word with a dot wait for more. Without such a mark, a space from character 120 on ends a piece.
+    """
+    for m in MARK.finditer(buffer):
+        if m.group() == ",":
+            ready = m.end() >= (12 if first else 40)
+        else:
+            ready = (not first or m.end() >= 12) and not WAITS.fullmatch(buffer[: m.end()].strip())
+        if ready:
+            return m.end()
+    return buffer.find(" ", 119) + 1
 
 
-def segmenter_batch(rows: DataFrame) -> DataFrame:
-    """The batch twin of ``segmenter``: a conversation is a group."""
+def said(piece: str) -> str:
+    """A piece as it is spoken: without list marks, markdown signs and emoji, on one line; empty if no word is left."""
+    bare = " ".join(UNSAID.sub("", LIST_MARK.sub("", piece)).split())
+    return bare if re.search(r"\w", bare) else ""
 
-    def whole(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        buffer, sent, out = "", False, []
-        for text in part.sort_values("turn")["text"]:
-            buffer, sent, more = feed(buffer, sent, (text or "") + " ")
-            out += more
-        return pd.DataFrame({"conv_id": [key[0]] * len(out), "segment": out})
 
-    return rows.groupBy("conv_id").applyInPandas(whole, SEGMENTS)
+def feed(buffer: str, started: bool, delta: str, done: bool) -> tuple[str, bool, list[str]]:
+    """The rest of the buffer, whether anything was said yet, and the pieces that a delta completes; ``done`` says the rest too."""
+    buffer, out = buffer + delta, []
+    while end := cut_at(buffer, not started):
+        piece, buffer = said(buffer[:end]), buffer[end:]
+        if piece:
+            out.append(piece)
+            started = True
+    if done and (piece := said(buffer)):
+        out.append(piece)
+    return "" if done else buffer, started, out
+
+
+SEGMENTS = "conv_id long, turn long, no int, segment string"
+
+
+def segmenter(deltas: DataFrame) -> DataFrame:
+    """Pieces of each reply (conv_id, turn) as its deltas come: no, segment. ``deltas`` has part, text and done, which is true for
+    the last part of a reply: it says what is left and ends the state. The buffer carries over between batches; parts of a
+    reply are to come in their order, and within a batch are put in it. Null texts are empty."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        buffer, started, no = state.get if state.exists else ("", False, 0)
+        out, over = [], False
+        for text, done in pd.concat(list(frames)).sort_values("part")[["text", "done"]].itertuples(index=False):
+            buffer, started, more = feed(buffer, started, text or "", bool(done))
+            out, over = out + more, over or bool(done)
+        if over:
+            state.remove()
+        else:
+            state.update((buffer, started, no + len(out)))
+        yield pd.DataFrame({"conv_id": [key[0]] * len(out), "turn": [key[1]] * len(out), "no": range(no, no + len(out)), "segment": out})
+
+    return deltas.groupBy("conv_id", "turn").applyInPandasWithState(step, SEGMENTS, "buffer string, started boolean, no int", "append", "NoTimeout")
+
+
+def deltas(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
+    """All turns of the conversations as a stream of ``parts`` deltas each, in files that come one after the other."""
+    at = F.expr("cast(length(text) as int)") / parts
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    path = new_path(spark, "deltas")
+    for k in range(parts):
+        lo, hi = F.floor(at * k).cast("int"), F.floor(at * (k + 1)).cast("int")
+        rows.select("conv_id", "turn", F.lit(k).alias("part"), F.substr("text", lo + 1, hi - lo).alias("text"), F.lit(k == parts - 1).alias("done")).write.mode("append").parquet(path)
+    return spark.readStream.schema("conv_id long, turn long, part int, text string, done boolean").option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def rate_limit(rows: DataFrame, key: str, limit: int, window: float) -> DataFrame:
