@@ -10,7 +10,11 @@ that most prefixes hold rare shingles; the sample changes how many pairs meet, n
 pass the filters by size, position and common part of the prefixes are verified on the whole sets, which are made again from
 the texts of these documents. Pairs that the first pass has joined do not meet again.
 
-Only components are needed, so shingles with more than ``DENSE`` sets (a family of near copies) do not meet pair by pair at
+A set with so many shingles of its own that the rest can't make up four fifths of it has no partner and is left out before any
+join. Shingles are looked up for that in one part of the hash space (``BAND``), where their sets are counted over all documents:
+one aggregation, and exact, as shingles elsewhere only count as shared.
+
+Shingles that are in the very same sets meet as one. Only components are needed, so shingles with more than ``DENSE`` sets (a family of near copies) do not meet pair by pair at
 first: each set is held against two members that are drawn by hash. What is then in one component with most of its shingle
 is done; the others meet every set of another component at that shingle. Nothing is dropped: each pair that is
 similar enough is either verified or already connected.
@@ -32,10 +36,14 @@ from vocalith.plans.scratch import materialize
 WORDS = 5
 #: Documents whose shingles are counted, and shingles that are put last: they bound what reaches the driver.
 SAMPLE, COMMON, OFTEN = 10_000, 20_000, 3
+#: Part of the hash space whose shingles are looked up: it holds a good deal more than the fifth that a set may have of its own.
+BAND = 3 / 8
+#: Shingles at which a set first meets one other.
+FIRST = 4
 #: Sets of a shingle that meet pair by pair at once.
 DENSE = 16
-#: Sets whose texts, and shingles whose sets, are found by a broadcast; beyond it by a shuffle.
-BROADCAST_SETS, BROADCAST_SHINGLES = 1_000_000, 2_000_000
+#: Sets whose texts are found by a broadcast; beyond it by a shuffle.
+BROADCAST_SETS = 1_000_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -47,14 +55,17 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
 
 
-def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles of which similar sets share one: those not in ``common`` (ascending) first, then by ``rank``."""
+def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, in the order of those not in ``common`` (ascending) by hash, then by ``rank``, and how many
+    of them are the set's whole share of the band. They are the band, or as many of which similar sets share one, if these are more.
+    """
     last = np.zeros(len(s), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         last = np.where(common[at] == s, rank[at], 0)
     n = len(s)
-    return s[np.lexsort((s, last))[: n - (4 * n + 4) // 5 + 1]] if n else s
+    band = int(((last == 0) & (s < np.uint64(BAND * 2**64))).sum())
+    return s[np.lexsort((s, last))[: max(band, n - (4 * n + 4) // 5 + 1)]] if n else s, band
 
 
 def majority(s: np.ndarray) -> int:
@@ -85,14 +96,15 @@ def _common(documents: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
 
 
 def _sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows as id, tie, fp (a hash of the whole set), print (its SimHash), size and prefix."""
+    """Rows as id, tie, fp (a hash of the whole set), print (its SimHash), size, prefix and band (see ``prefix``)."""
     common, rank = _common(documents, text_col)
 
-    @F.pandas_udf("fp long, print long, size int, prefix array<long>")
+    @F.pandas_udf("fp long, print long, size int, prefix array<long>, band int")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t) for t in texts]
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fp, "print": np.array([majority(s) for s in sets], np.int64), "size": [len(s) for s in sets], "prefix": [prefix(s, common, rank).view(np.int64) for s in sets]})
+        firsts = [prefix(s, common, rank) for s in sets]
+        return pd.DataFrame({"fp": fp, "print": np.array([majority(s) for s in sets], np.int64), "size": [len(s) for s in sets], "prefix": [f.view(np.int64) for f, _ in firsts], "band": [n for _, n in firsts]})
 
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), of(F.col(text_col).cast("binary")).alias("s"))
     return materialize(rows.select("id", "tie", "s.*"), "sets")
@@ -143,14 +155,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, text_col:
     return materialize(both.where(enough).select("src", "dst"), "links")
 
 
+def _own(sets: DataFrame, found: Column) -> DataFrame:
+    """Per set, ``found`` of its shingles ``s`` in the band that no other set has."""
+    looked = sets.select("fp", F.explode(F.slice("prefix", F.lit(1), F.col("band"))).alias("s"))
+    alone = looked.groupBy("s").agg(F.min("fp").alias("fp"), F.max("fp").alias("hi")).where("fp = hi")
+    return materialize(alone.groupBy("fp").agg(found.alias("own")), "own")
+
+
+def _open(sets: DataFrame) -> DataFrame:
+    """Sets that may have a partner, once each, with the shared shingles of which they and it have one first (``prefix``), and
+    how many places are before these (``own``).
+
+    What a set has in common only with sets that are out counts as its own as well, so the second look is at the rest alone.
+    """
+    most = F.col("size") - F.floor((4 * F.col("size") + 4) / 5).cast("int")
+    rows = sets.where("size > 0").join(_own(sets, F.count("*")), "fp", "left").where(F.coalesce("own", F.lit(0)) <= most)
+    left = materialize(rows.select("fp", "size", "prefix", "band").dropDuplicates(["fp"]), "left")
+    rows = left.join(_own(left, F.collect_list("s")), "fp", "left").withColumn("own", F.coalesce("own", F.expr("cast(array() as array<long>)")))
+    firsts = F.slice(F.array_except("prefix", "own"), F.lit(1), most + 1 - F.size("own"))
+    return materialize(rows.where(F.size("own") <= most).select("fp", "size", firsts.alias("prefix"), F.size("own").alias("own")), "open")
+
+
+def _first_met(rows: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of the sets of ``rows`` (s, fp, size, pos, own) and one other, drawn by hash, at each of their ``FIRST``
+    first shingles."""
+    rows = rows.where(F.col("pos") < F.col("own") + FIRST)
+    heads = rows.groupBy("s").agg(F.min(F.struct(F.xxhash64("s", "fp").alias("h"), "fp", "size", "pos")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    heads = heads.select("s", "p.fp", "p.size", "p.pos")
+    return _pairs(rows.alias("a").join(heads.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.fp") != F.col("b.fp")) & _can("a", "b")))
+
+
+def _files(rows: DataFrame) -> DataFrame:
+    """``rows`` (s, fp, size, pos, root) with shingles of the same sets put together, at the first place of each; shingles of one
+    component are left out. Different shingles that fall together by their hashes only make more sets meet."""
+    each = rows.groupBy("s").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("fp")), F.bit_xor(F.xxhash64(F.lit(1), "fp"))).alias("file"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    named = rows.join(each.where("lo <> hi").select("s", "file"), "s")
+    return materialize(named.groupBy(F.col("file").alias("s"), "fp", "size", "root").agg(F.min("pos").alias("pos")), "files")
+
+
 def links(sets: DataFrame, documents: DataFrame, text_col: str = "text") -> DataFrame:
     """Edges (src, dst) of hashes of sets whose components are those of all pairs of a similarity of 0.8 or more."""
     copies = _verified(_by_print(sets), sets, documents, text_col)
-    rows = sets.select("fp", "size", F.posexplode("prefix").alias("pos", "s"))
-    shared = rows.groupBy("s").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("s")
-    shared = materialize(shared, "shared")
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_SHINGLES else shared
-    met = _rooted(rows.join(shared, "s").select("s", "fp", "size", "pos").distinct(), copies, "met")
+    rows = _open(sets).select("fp", "size", "own", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos") + F.col("own"))
+    copies = copies.union(_verified(_first_met(rows), sets, documents, text_col))
+    met = _files(_rooted(rows.drop("own"), copies, "met"))
     crowd = met.groupBy("s").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp", "size", "pos", "root")).alias(f"p{k}") for k in (0, 1)])
     crowd = materialize(crowd, "crowd")
     apart = (F.col("a.s") == F.col("b.s")) & (F.col("a.root") != F.col("b.root")) & _can("a", "b")
