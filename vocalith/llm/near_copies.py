@@ -14,10 +14,12 @@ A set with so many shingles of its own that the rest can't make up four fifths o
 join. Shingles are looked up for that in one part of the hash space (``BAND``), where their sets are counted over all documents:
 one aggregation, and exact, as shingles elsewhere only count as shared.
 
-Shingles that are in the very same sets meet as one. Only components are needed, so shingles with more than ``DENSE`` sets (a family of near copies) do not meet pair by pair at
-first: each set is held against two members that are drawn by hash. What is then in one component with most of its shingle
-is done; the others meet every set of another component at that shingle. Nothing is dropped: each pair that is
-similar enough is either verified or already connected.
+Shingles that are in the very same sets meet as one. Only components are needed, so shingles with more than ``DENSE`` sets (a
+family of near copies, a passage that many documents share) do not meet pair by pair at first: each set is held against
+``DRAWN`` members, drawn anew for each shingle. What is then in one component with most of its shingle is done; the others
+meet every set of another component at that shingle. There a lower bound comes before any row: the hash space is cut into
+``SEGMENTS`` segments, and each holds whether its count of shingles is odd; two sets are at least as many shingles apart as
+these differ in segments. Nothing is dropped: each pair that is similar enough is either verified or already connected.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ BAND = 3 / 8
 FIRST = 4
 #: Sets of a shingle that meet pair by pair at once.
 DENSE = 16
+#: Members of such a shingle that its other sets meet first.
+DRAWN = 4
+#: Segments of the hash space, a multiple of 64.
+SEGMENTS = 512
 #: Sets whose texts are found by a broadcast; beyond it by a shuffle.
 BROADCAST_SETS = 1_000_000
 
@@ -76,6 +82,11 @@ def majority(s: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(s)).view(">i8")[0])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether each segment of the hash space holds an odd number of the set, as ``SEGMENTS`` bits in longs."""
+    return np.packbits(np.bincount((s % np.uint64(SEGMENTS)).astype(np.int64), minlength=SEGMENTS) & 1).view(np.int64)
+
+
 def _hashes(text: Column) -> Column:
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
@@ -96,15 +107,16 @@ def _common(documents: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
 
 
 def _sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows as id, tie, fp (a hash of the whole set), print (its SimHash), size, prefix and band (see ``prefix``)."""
+    """Rows as id, tie, fp (a hash of the whole set), print (its SimHash), size, parity, prefix and band (see ``prefix``)."""
     common, rank = _common(documents, text_col)
 
-    @F.pandas_udf("fp long, print long, size int, prefix array<long>, band int")
+    @F.pandas_udf("fp long, print long, size int, parity array<long>, prefix array<long>, band int")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t) for t in texts]
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
         firsts = [prefix(s, common, rank) for s in sets]
-        return pd.DataFrame({"fp": fp, "print": np.array([majority(s) for s in sets], np.int64), "size": [len(s) for s in sets], "prefix": [f.view(np.int64) for f, _ in firsts], "band": [n for _, n in firsts]})
+        out = {"fp": fp, "print": np.array([majority(s) for s in sets], np.int64), "size": [len(s) for s in sets], "parity": [parity(s) for s in sets]}
+        return pd.DataFrame(out | {"prefix": [f.view(np.int64) for f, _ in firsts], "band": [n for _, n in firsts]})
 
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), of(F.col(text_col).cast("binary")).alias("s"))
     return materialize(rows.select("id", "tie", "s.*"), "sets")
@@ -117,6 +129,12 @@ def _can(a: str, b: str) -> Column:
     return (5 * size(a) >= 4 * size(b)) & (5 * size(b) >= 4 * size(a)) & (9 * most >= 4 * (size(a) + size(b)))
 
 
+def _near_enough(a: str, b: str) -> Column:
+    """Whether the segments that differ leave room for the similarity: similar sets are a ninth of their sizes apart at most."""
+    differ = sum(F.bit_count(F.col(f"{a}.parity")[k].bitwiseXOR(F.col(f"{b}.parity")[k])) for k in range(SEGMENTS // 64))
+    return 9 * differ <= F.col(f"{a}.size") + F.col(f"{b}.size")
+
+
 def _by_print(sets: DataFrame) -> DataFrame:
     """Pairs (src, dst) of sets: each with the least of its fingerprint, and those of fingerprints within two bits."""
     known = sets.where("size > 0").select("print", "fp").distinct()
@@ -199,14 +217,16 @@ def links(sets: DataFrame, documents: DataFrame, text_col: str = "text") -> Data
     rows = _open(sets).select("fp", "size", "own", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos") + F.col("own"))
     copies = copies.union(_verified(_first_met(rows), sets, documents, text_col))
     met = _files(_rooted(rows.drop("own"), copies, "met"))
-    crowd = met.groupBy("s").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp", "size", "pos", "root")).alias(f"p{k}") for k in (0, 1)])
-    crowd = materialize(crowd, "crowd")
+    crowd = materialize(met.groupBy("s").agg(F.count("*").alias("n")), "crowd")
     apart = (F.col("a.s") == F.col("b.s")) & (F.col("a.root") != F.col("b.root")) & _can("a", "b")
     few = met.join(crowd.where(F.col("n") <= DENSE).select("s"), "s")
-    many = materialize(met.join(crowd.where(F.col("n") > DENSE).select("s"), "s"), "many")
     near = _pairs(few.alias("a").join(few.alias("b"), apart & (F.col("a.fp") < F.col("b.fp"))))
-    heads = crowd.where(F.col("n") > DENSE).select("s", F.explode(F.array("p0", "p1")).alias("p")).select("s", "p.fp", "p.size", "p.pos", "p.root")
-    stars = _pairs(many.alias("a").join(heads.alias("b"), apart))
+    marks = sets.select("fp", "parity").dropDuplicates(["fp"])
+    many = materialize(met.join(crowd.where(F.col("n") > DENSE).select("s"), "s").join(marks, "fp"), "many")
+    apart = apart & _near_enough("a", "b")
+    member = F.struct("fp", "size", "pos", "root", "parity")
+    drawn = many.groupBy("s").agg(F.array(*[F.min_by(member, F.xxhash64(F.lit(k), "s", "fp")) for k in range(DRAWN)]).alias("p"))
+    stars = _pairs(many.alias("a").join(drawn.select("s", F.explode("p").alias("p")).select("s", "p.*").alias("b"), apart))
     first = copies.union(_verified(near.union(stars).distinct(), sets, documents, text_col))
     if not many.limit(1).count():
         return first
