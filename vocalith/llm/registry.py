@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vocalith.llm import decontamination, lexical_search, line_dedup, minhash, mixing, pii, quality_knn, quality_rules, sharding, simhash, token_files, toxicity
+from vocalith.llm import decontamination, hard_negatives, lexical_search, line_dedup, minhash, mixing, pii, quality_knn, quality_rules, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
     "op11_lexical_search": lexical_search.query,
     "op12_minhash": minhash.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 ORACLES = {
     "op5_decontamination": decontamination.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
     "op11_lexical_search": lexical_search.ORACLE,
     "op12_minhash": minhash.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
