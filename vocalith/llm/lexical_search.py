@@ -70,17 +70,17 @@ def unpacked(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << (7 * at), starts)
 
 
-def posting_rows(segment: int, ids: list, lengths: np.ndarray, words: list[bytes], code: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> pa.Table:
+def posting_rows(segment: int, ids: list, lengths: np.ndarray, words: list[bytes], code: np.ndarray, doc: np.ndarray, tf: np.ndarray, size: int = BLOCK) -> pa.Table:
     """The index rows of a segment, from its postings in any order: number of the term in ``words``, document, occurrences."""
     order = np.lexsort((doc, code))
     code, doc, tf = code[order], doc[order], tf[order]
     n = len(code)
     head = np.flatnonzero(np.diff(code, prepend=-1)) if n else np.zeros(0, np.int64)  # of lists
-    size = np.diff(head, append=n)
-    inside = np.arange(n) - np.repeat(head, size)
-    first = np.flatnonzero(inside % BLOCK == 0)  # of blocks
+    df = np.diff(head, append=n)
+    inside = np.arange(n) - np.repeat(head, df)
+    first = np.flatnonzero(inside % size == 0)  # of blocks
     in_block = np.diff(first, append=n)
-    gaps = np.where(inside % BLOCK == 0, doc, np.diff(doc, prepend=0))
+    gaps = np.where(inside % size == 0, doc, np.diff(doc, prepend=0))
     data, ends = packed(np.stack([gaps, tf], axis=1).ravel())
     byte_end = ends[1::2][first + in_block - 1] if n else np.zeros(0, np.int64)
     block = np.repeat(np.arange(len(first)), in_block)
@@ -95,7 +95,7 @@ def posting_rows(segment: int, ids: list, lengths: np.ndarray, words: list[bytes
     impact_at = np.concatenate([[0], np.cumsum(fronts)])[offsets].astype(np.int32)
     stop = np.concatenate([[0], byte_end[np.cumsum(per_list) - 1]]).astype(np.int32) if n else np.zeros(1, np.int32)
     columns = {
-        "segment": pa.array(np.full(len(head), segment)), "term": pa.array([words[c] for c in code[head]], pa.binary()).cast(pa.string()), "n": pa.array(size.astype(np.int32)), "total": pa.nulls(len(head), pa.int64()),
+        "segment": pa.array(np.full(len(head), segment)), "term": pa.array([words[c] for c in code[head]], pa.binary()).cast(pa.string()), "n": pa.array(df.astype(np.int32)), "total": pa.nulls(len(head), pa.int64()),
         "lasts": ints(doc[first + in_block - 1]), "ends": ints(byte_end - base), "fronts": ints(fronts), "impacts": pa.ListArray.from_arrays(pa.array(impact_at), pa.array((tf[front] << 32) | lengths[doc[front]])),
         "data": pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(stop), pa.py_buffer(data)]), "ids": pa.nulls(len(head), pa.list_(pa.int64())),
     }
@@ -104,8 +104,8 @@ def posting_rows(segment: int, ids: list, lengths: np.ndarray, words: list[bytes
     return pa.concat_tables([pa.table(about, schema=lists.schema), lists])
 
 
-def index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written index of all rows of ``documents``. Ids are integers."""
+def index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_docs: int = SEGMENT_DOCS, block: int = BLOCK) -> DataFrame:
+    """The written index of all rows of ``documents``, null and empty texts included. Ids are integers. No documents: no rows."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), count()
@@ -114,7 +114,7 @@ def index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         def rows() -> Iterator[pa.RecordBatch]:
             join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield from posting_rows((task << 32) | next(number), ids, np.array(lengths, np.int64), list(vocabulary), join(code), join(doc), join(tf)).to_batches(max_chunksize=1 << 14)
+            yield from posting_rows((task << 32) | next(number), ids, np.array(lengths, np.int64), list(vocabulary), join(code), join(doc), join(tf), block).to_batches(max_chunksize=1 << 14)
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -126,7 +126,7 @@ def index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ids.append(key)
                 lengths.append(len(found))
                 size += len(text.as_py() or b"")
-                if len(ids) >= SEGMENT_DOCS or size >= SEGMENT_BYTES:
+                if len(ids) >= segment_docs or size >= SEGMENT_BYTES:
                     yield from rows()
                     ids, lengths, vocabulary, code, doc, tf, size = fresh()
         if ids:
