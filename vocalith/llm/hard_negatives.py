@@ -85,7 +85,7 @@ def packed(rows: DataFrame, id_col: str, vector: str, label: str) -> tuple[DataF
         x = np.zeros((len(tile), width), np.int32)
         for k, vec in enumerate(tile["v"]):
             x[k, : len(vec)] = vec
-        ids, row, out = tile["id"].fillna(NO_ID).to_numpy(np.int64), tile["row"].to_numpy(np.int64), []
+        ids, row, out = tile["id"].to_numpy(np.int64), tile["row"].to_numpy(np.int64), []
         for name, picked in tile.groupby("label", sort=True).indices.items():
             picked = runs(x, np.sort(picked), [a for a in axes[2:] if a < width])
             for k in range(0, len(picked), LEAF * FAN):
@@ -95,7 +95,7 @@ def packed(rows: DataFrame, id_col: str, vector: str, label: str) -> tuple[DataF
                 out.append((name, np.diff(heads, append=len(some)), lo, hi, ids[some], row[some], x[some].tobytes()))
         return pd.DataFrame(out, columns=["label", "sizes", "lo", "hi", "ids", "rows", "x"])
 
-    nodes = tiled.select("slab", "tile", "part", "row", "id", "label", "v").groupBy("slab", "tile", "part").applyInPandas(pack, NODE.format(label=kind))
+    nodes = tiled.select("slab", "tile", "part", "row", F.coalesce("id", F.lit(int(NO_ID))).alias("id"), "label", "v").groupBy("slab", "tile", "part").applyInPandas(pack, NODE.format(label=kind))
     return v, materialize(nodes, "nodes"), width
 
 

@@ -132,7 +132,7 @@ def index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield from rows()
 
-    return materialize(documents.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(build, INDEX), "postings")
+    return materialize(documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))), F.col(text_col).cast("binary")).mapInArrow(build, INDEX), "postings")
 
 
 def part(tf: np.ndarray, length: np.ndarray, docs: int, total: int) -> np.ndarray:
@@ -220,7 +220,7 @@ def _searcher(queries: list[list[int]], weights: dict[int, int], docs: int, tota
             for r in batch.itertuples(index=False):
                 if r.segment != now:
                     through(seg)
-                    ids = np.array([NO_ID if x is None or x != x else x for x in r.ids], np.int64)
+                    ids = np.asarray(r.ids, np.int64)
                     seg, now = Segment(np.frombuffer(r.data, np.int64), ids, docs, total), r.segment
                 else:
                     seg.add(int(r.t), weights[int(r.t)], r.lasts, r.ends, r.fronts, r.impacts, r.data)

@@ -8,9 +8,9 @@ verified on the whole sets. Sets that are equal meet once.
 
 Only components are needed. A bucket of more than ``DENSE`` sets (a family of near copies) doesn't meet pair by pair at first:
 each set is held against ``DRAWN`` members of the bucket, drawn anew for each. What is then in one component with the
-bucket's largest part is done. Sets elsewhere in it meet every set of another component, but for those with so many shingles of
-their own (in no other set of such buckets) that the rest can't make up four fifths: these have no partner there. No bucket or
-set is capped or dropped. Links become components by alternating large-star and small-star rounds.
+bucket's largest part is done. Sets elsewhere in it meet sets of other components, of sizes that leave room for the similarity: what a set has of its
+own (shingles in no other set of such buckets) it shares with no partner, so texts of one template that are not similar don't meet, however
+many. No bucket or set is capped or dropped. Links become components by alternating large-star and small-star rounds.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ WORDS, ROWS, BANDS = 4, 6, 40
 SKETCH, APART = 256, 50
 #: Sets of a bucket that meet pair by pair at once, and members of a larger one that its other sets meet first.
 DENSE, DRAWN = 16, 2
+#: Ratio of neighbouring classes of sizes.
+CLASS = 1.05
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 #: Shingles whose hashes are computed at once.
@@ -136,12 +138,24 @@ def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, rows: DataFrame, documents: DataFrame, text_col: str, words: int) -> DataFrame:
-    """Fingerprints of ``members`` that can have a partner among them: without those whose own shingles are too many."""
+    """Per fingerprint of ``members``, how many of its shingles others of them ``share``; only those that can have a partner."""
     sets = _sets(members, rows, documents, text_col, words)
     alone = sets.select("fp", F.explode("s").alias("s")).groupBy("s").agg(F.min("fp").alias("fp"), F.max("fp").alias("hi")).where("fp = hi")
     own = alone.groupBy("fp").agg(F.count("*").alias("own"))
-    left = sets.select("fp", F.size("s").alias("n")).join(own, "fp", "left")
-    return materialize(left.where(5 * (F.col("n") - F.coalesce("own", F.lit(0))) >= 4 * F.col("n")).select("fp"), "open")
+    left = sets.select("fp", F.size("s").alias("n")).join(own, "fp", "left").select("fp", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("share"))
+    return materialize(left.where(5 * F.col("share") >= 4 * F.col("n")).select("fp", "share"), "open")
+
+
+def _apart(split: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of ``split`` (key, fp, size, sketch, root, main, share): sets outside the main part of a bucket and those of other
+    components in it, if sizes, shared shingles and sketches leave room. Similar sets have 4 / 9 of their sizes in common, so a partner's
+    size is at most 9 / 4 of what is shared less the own size: sets meet by classes of sizes."""
+    of = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS))).cast("int")
+    near = F.sequence(of(0.8 * F.col("size") - 0.001), of(2.25 * F.col("share") - F.col("size") + 0.001))
+    a = split.where("root <> main").withColumn("class", F.explode(near)).alias("a")
+    b = split.withColumn("class", of(F.col("size"))).alias("b")
+    room = 9 * F.least("a.share", "b.share") >= 4 * (F.col("a.size") + F.col("b.size"))
+    return _pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & room & _alike("a", "b")))
 
 
 def links(rows: DataFrame, documents: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -169,10 +183,8 @@ def links(rows: DataFrame, documents: DataFrame, text_col: str = "text", words:
     split = materialize(named.join(parts, "key"), "split")
     if not split.limit(1).count():
         return first
-    split = split.join(_open(split.select("fp").distinct(), rows, documents, text_col, words), "fp", "left_semi")
-    split = materialize(split, "split")
-    others = split.where("root <> main").alias("a").join(split.alias("b"), same & (F.col("a.root") != F.col("b.root")))
-    return first.union(check(_pairs(others)))
+    split = split.join(_open(split.select("fp").distinct(), rows, documents, text_col, words), "fp")
+    return first.union(check(_apart(materialize(split, "split"))))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
