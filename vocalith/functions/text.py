@@ -16,6 +16,14 @@ def text_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), NOT_WORD, " "), r"\s+", " "))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_chars(text: Column) -> Column:
     """Letters, digits and marks."""
     return F.length(F.regexp_replace(text, NOT_WORD, ""))

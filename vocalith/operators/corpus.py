@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
 #: Classes of non-standard words, in the order in which they are taken and masked; boundaries are spelled out,
 #: as not every engine has look-around.
 NSW = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("url", r"https?://[^ \n]+"),
+    ("url", r"https?://[^ \n<>\"]+"),
     ("version", r"v?[0-9]+\.[0-9]+\.[0-9]+(\.[0-9]+)*"),
+    ("glued_id", r"(^|[^A-Za-z0-9_])([A-Z]+[0-9]|[0-9]+[A-Z])[A-Z0-9]*"),
     ("date_iso", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"),
     ("date_dmy", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"),
+    ("date_named", rf"[0-9]{{1,2}}(st|nd|rd|th)? ({MONTHS})(,? [0-9]{{4}}|[^A-Za-z]|$)|({MONTHS}) [0-9]{{1,2}}(st|nd|rd|th)?(,? [0-9]{{4}})?"),
     ("clock", r"[0-9]{1,2}:[0-9]{2}"),
     ("phone", r"\+[0-9][0-9 ()-]{6,}[0-9]"),
     ("percent", r"[0-9]+(\.[0-9]+)? ?%"),
+    ("scaled", r"([$€£₹] ?)?[0-9][0-9,.]* ?(lakh|lac|crore|cr|k|million|billion)([^A-Za-z]|$)"),
     ("currency", r"[$€£₹] ?[0-9][0-9,.]*"),
     ("range", r"[0-9]+-[0-9]+"),
     ("fraction", r"[0-9]+/[0-9]+"),
@@ -24,10 +28,12 @@ NSW = [
     ("number", r"[0-9]+"),
     ("acronym", r"[A-Z]{2,}"),
 ]
-#: Number words below a hundred come from these by rule, then the Indian scale.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
-SCALE = [(10_000_000, "crore"), (100_000, "lakh"), (1_000, "thousand"), (100, "hundred")]
+# Words before, and after, which a long clause is cut, and after which it is if nothing better is near.
+BREAK_BEFORE = "और लेकिन क्योंकि जहाँ जहां जो कि तो या अगर जब ताकि and but because so or".split()
+BREAK_AFTER = "है हैं था थी थे हूँ हूं".split()
+WEAK_AFTER = "में पर से को ने तक लिए पास बाद mein par se ko tak liye".split()
+#: Characters that a word of these, and the spaces beside it, take.
+LONGEST = 2 + max(map(len, BREAK_BEFORE))
 #: What can follow a piece's last mark.
 GAPS = [("ellipsis", r"(\.\.\.|…)$"), ("sentence", r"[.।]$"), ("question", r"\?$"), ("exclaim", r"!$"), ("comma", r",$"), ("colon", r"[;:]$"), ("dash", r"[-–—]$")]
 CLOSERS = "\"'”’»)]}"
@@ -38,47 +44,27 @@ def fold_digits(text: Column, first: int = 0x966) -> Column:
     return F.translate(text, "".join(chr(first + k) for k in range(10)), "0123456789")
 
 
-def nsw_counts(text: Column) -> dict[str, Column]:
-    """Occurrences by class; what an earlier class has taken is masked for the later ones."""
-    out = {}
-    for name, pattern in NSW:
-        out[name] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, "\x01")
-    return out
+def nsw_counts(text: Column) -> Column:
+    """Occurrences by class, in the order of ``NSW``; what an earlier class has taken is masked for the later ones. The text goes
+    through the classes in one fold, and one that it has no match of costs a single look."""
+    start = F.struct(text.alias("t"), F.expr("cast(array() as array<int>)").alias("n"))
+
+    def take(acc: Column, k: Column) -> Column:
+        out = F
+        for at, (_, pattern) in enumerate(NSW):
+            masked = F.struct(F.regexp_replace(acc["t"], pattern, "\x01").alias("t"), F.concat(acc["n"], F.array(F.regexp_count(acc["t"], F.lit(pattern)))).alias("n"))
+            none = F.struct(acc["t"].alias("t"), F.concat(acc["n"], F.array(F.lit(0))).alias("n"))
+            out = out.when(k == at, F.when(acc["t"].rlike(pattern), masked).otherwise(none))
+        return out
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(NSW) - 1)), start, take, lambda acc: acc["n"])
 
 
 def nsw_profile(rows: DataFrame, text: str, *by: str) -> DataFrame:
-    """Occurrences of each class by group, as rows; each class is masked before the next one is looked for."""
-    step, found = rows.select(*by, F.col(text).alias("_t")), []
-    for name, pattern in NSW:
-        step = step.withColumns({f"n_{name}": F.regexp_count("_t", F.lit(pattern)), "_t": F.regexp_replace("_t", pattern, "\x01")})
-        found.append(f"n_{name}")
-    sums = step.groupBy(*by).agg(*[F.sum(c).cast("long").alias(c[2:]) for c in found])
-    return sums.unpivot([F.col(b) for b in by], [c[2:] for c in found], "class", "n")
-
-
-def spoken(number: Column) -> Column:
-    """Words of a number below a hundred crore on the Indian scale; digit by digit beyond nine digits or with a leading zero."""
-    under = [ONES[n] if n < 20 else TENS[n // 10] + (f" {ONES[n % 10]}" if n % 10 else "") for n in range(100)]
-    table = F.array(*[F.lit(w) for w in under])
-    digits = F.array_join(F.transform(F.filter(F.split(number, ""), lambda c: c != ""), lambda c: F.get(table, c.cast("int"))), " ")
-    n = F.when(F.length(number) <= 9, number).otherwise("0").cast("long")
-    parts, rest = [], n
-    for size, name in SCALE:
-        k = F.floor(rest / size).cast("int")
-        parts.append(F.when(k > 0, F.concat(F.get(table, F.least(k, F.lit(99))), F.lit(f" {name}"))))
-        rest = rest % size
-    parts.append(F.when((rest > 0) | (n == 0), F.get(table, rest.cast("int"))))
-    return F.when((F.length(number) > 9) | ((F.length(number) > 1) & number.startswith("0")), digits).otherwise(F.concat_ws(" ", *parts))
-
-
-def verbalize(rows: DataFrame, text: str, out: str = "spoken") -> DataFrame:
-    """``rows`` with a text whose digit runs, percent signs and common currency signs are words, and how many of each there were."""
-    spaced = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text), r"\$ ?([0-9]+)", "$1 dollars "), r"([0-9])%", "$1 percent "), r"([0-9]+)", "\x01$1\x01")
-    pieces = F.split(spaced, "\x01")
-    worded = F.array_join(F.transform(pieces, lambda x, k: F.when(k % 2 == 1, spoken(x)).otherwise(x)), "")
-    hits = F.create_map(F.lit("number"), F.regexp_count(text, F.lit("[0-9]+")), F.lit("percent"), F.regexp_count(text, F.lit("[0-9]%")), F.lit("currency"), F.regexp_count(text, F.lit(r"\$ ?[0-9]+")))
-    return rows.withColumns({out: worded, "hits": hits})
+    """Occurrences of each class by group, as rows, in one scan. Null texts count nothing."""
+    counts = rows.where(F.col(text).isNotNull()).select(*by, nsw_counts(F.col(text)).alias("_n"))
+    sums = counts.groupBy(*by).agg(*[F.sum(F.get("_n", F.lit(k))).cast("long").alias(name) for k, (name, _) in enumerate(NSW)])
+    return sums.unpivot([F.col(b) for b in by], [name for name, _ in NSW], "class", "n")
 
 
 def tokens(rows: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -110,26 +96,91 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[।.?!])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def chunks(text: Column, most: int) -> Column:
-    """Pieces of at most ``most`` characters: whole sentences while they fit, else cut at commas, else at spaces, else hard.
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def phrase_cut(text: Column, most: Column) -> Column:
+    """Where a text that is longer than ``most`` is best cut: after the last strong break that ends in the second half of ``most``
+    characters, else the last weak one there, else the last space; 0 if there is none. Strong breaks stand after a comma, a semicolon or a verb that
+    ends a clause and before a conjunction, weak ones after a postposition."""
+    n, half = most.cast("string"), F.floor(most / 2).cast("int").cast("string")
+    head = F.substr(text, F.lit(1), most + LONGEST)
+
+    def upto(low: Column, mark: str) -> Column:
+        return F.length(F.call_function("regexp_extract", head, F.concat(F.lit("(?s)^(.{"), low, F.lit(","), n, F.lit("})(?= )" + mark)), F.lit(1)))
+
+    ends = lambda words: rf"(?<=(?:^|[ ])(?:{'|'.join(words)}))"
+    strong = upto(half, rf"(?:(?<=[,;])|{ends(BREAK_AFTER)}|(?= (?:{'|'.join(BREAK_BEFORE)})(?: |$)))")
+    return F.coalesce(F.nullif(strong, F.lit(0)), F.nullif(upto(half, ends(WEAK_AFTER)), F.lit(0)), upto(F.lit("1"), ""))
+
+
+def _cut(part: Column, most: Column) -> Column:
+    """Pieces of a part that is too long: cut by ``phrase_cut``, else hard, until the rest fits."""
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), part.alias("rest"))
 
-    Sentences are cut to clauses, clauses that are too long to words, and words that are too long to slices; a fold then packs
-    the parts in order. Only the piece being filled and those done are its state.
+    def step(acc: Column, _: Column) -> Column:
+        def at(k: Column) -> Column:
+            head = F.trim(F.substr(acc["rest"], F.lit(1), F.when(k > 0, k).otherwise(most)))
+            rest = F.trim(F.substr(acc["rest"], F.when(k > 0, k + 2).otherwise(most + 1), F.length(acc["rest"])))
+            return F.struct(F.concat(acc["done"], F.array(head)).alias("done"), rest.alias("rest"))
+
+        return F.when(F.length(acc["rest"]) <= most, acc).otherwise(_let(phrase_cut(acc["rest"], most), at))
+
+    steps = F.size(F.split(part, " ")) + F.floor(F.length(part) / most).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: F.concat(acc["done"], F.array(acc["rest"])))
+
+
+def chunks(text: Column, most) -> Column:
+    """Pieces of at most ``most`` characters: whole sentences while they fit, else cut at commas, then at phrase breaks, then at spaces, then hard.
+
+    A sentence that is too long is cut into clauses, and a clause that is too long into pieces; a fold packs the parts in their order. The rest of
+    a long clause can be joined by what follows it. Null texts give null, blank ones no pieces.
     """
+    most = F.lit(most) if isinstance(most, int) else most
     clause = lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(F.split(s, r"(?<=[,;])\s+"))
-    sliced = lambda w: F.when(F.length(w) <= most, F.array(w)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / most).cast("int")), lambda k: F.substr(w, k * most + 1, F.lit(most))))
-    word = lambda c: F.when(F.length(c) <= most, F.array(c)).otherwise(F.flatten(F.transform(F.split(c, r"\s+"), sliced)))
-    parts = F.filter(F.flatten(F.transform(F.flatten(F.transform(sentences(text), clause)), word)), lambda p: p != "")
+    parts = F.flatten(F.transform(sentences(text), clause))
     start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("cur"))
 
     def add(acc: Column, p: Column) -> Column:
         fits = (acc["cur"] == "") | (F.length(acc["cur"]) + F.length(p) + 1 <= most)
-        grown = F.struct(acc["done"].alias("done"), F.when(acc["cur"] == "", p).otherwise(F.concat_ws(" ", acc["cur"], p)).alias("cur"))
-        return F.when(fits, grown).otherwise(F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), p.alias("cur")))
+        grown = F.struct(acc["done"].alias("done"), F.trim(F.concat(acc["cur"], F.lit(" "), p)).alias("cur"))
+        packed = F.when(fits, grown).otherwise(F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), p.alias("cur")))
+        before = F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
+        long = _let(_cut(p, most), lambda cut: F.struct(F.concat(before, F.slice(cut, F.lit(1), F.size(cut) - 1)).alias("done"), F.element_at(cut, -1).alias("cur")))
+        return F.when(F.length(p) > most, long).otherwise(packed)
 
     return F.aggregate(parts, start, add, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
 
 
+def stream_chunks(text: Column, most: int = 120, first: int = 60) -> Column:
+    """Pieces of a reply as a voice takes them: each sentence on its own, in ``chunks``; the first piece is cut again to ``first`` characters,
+    and what follows a first piece that ends no sentence to three times its length and 20. Pieces without a letter or digit join the one
+    before, or go if there is none."""
+
+    def opened(all_: Column) -> Column:
+        one = F.get(all_, F.lit(0))
+        rest = F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 1, F.lit(0)))
+        short = lambda head: F.when(F.size(head) > 1, F.concat(F.slice(head, F.lit(1), F.lit(1)), F.array(F.array_join(F.slice(head, F.lit(2), F.size(head)), " ")), rest)).otherwise(F.concat(head, rest))
+        return F.when(F.length(one) > first, _let(chunks(one, first), short)).otherwise(all_)
+
+    def second(all_: Column) -> Column:
+        one, two = F.get(all_, F.lit(0)), F.get(all_, F.lit(1))
+        room = 3 * F.length(one) + 20
+        rest = F.slice(all_, F.lit(3), F.greatest(F.size(all_) - 2, F.lit(0)))
+        halved = lambda k: F.when(k > 0, F.concat(F.array(one, F.substr(two, F.lit(1), k), F.substr(two, k + 2, F.length(two))), rest)).otherwise(all_)
+        long = (F.size(all_) > 1) & ~one.rlike(r"[।.?!][^\p{L}\p{N}_]*$") & (F.length(two) > room)
+        return F.when(long, _let(phrase_cut(two, room), halved)).otherwise(all_)
+
+    def glued(acc: Column, c: Column) -> Column:
+        last = F.concat(F.element_at(acc, -1), F.lit(" "), c)
+        joined = F.when(F.size(acc) > 0, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(last))).otherwise(acc)
+        return F.when(c.rlike(r"[\p{L}\p{N}]"), F.concat(acc, F.array(c))).otherwise(joined)
+
+    every = F.flatten(F.transform(sentences(text), lambda s: chunks(s, most)))
+    return F.aggregate(_let(_let(every, opened), second), F.expr("cast(array() as array<string>)"), glued)
+
+
 def gap_class(text: Column) -> Column:
     """Class of a piece by its last mark, closing quotes and brackets aside."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\s+$", ""), f"[{CLOSERS}]+$".replace("]}", r"\]}"), ""), r"\s+$", "")

@@ -109,16 +109,14 @@ def _trigrams(text: str) -> list[str]:
     return [t[k : k + 3] for k in range(len(t) - 2)]
 
 
-def trigram_counts(text, dim: int = 1024):
-    """Column of hashed trigram counts, a map from place to count; the hash is CRC32 of a trigram's UTF-8."""
-    import zlib
-    from collections import Counter
-
-    @F.pandas_udf("map<int,int>")
-    def of(s: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else dict(Counter(zlib.crc32(g.encode()) % dim for g in _trigrams(t))) for t in s])
-
-    return of(text)
+def trigram_counts(rows: DataFrame, id_col: str, text: str, dim: int = 1024) -> DataFrame:
+    """Per id (unique) a map ``vector`` from place to count of hashed trigrams; the hash is CRC32 of a trigram's UTF-8. Null texts have none."""
+    letters = F.split(F.concat(F.lit("  "), F.col(text), F.lit(" ")), "")
+    grams = F.transform(F.sequence(F.lit(0), F.size("_l") - 3), lambda k: F.concat(F.get("_l", k), F.get("_l", k + 1), F.get("_l", k + 2)))
+    each = rows.select(id_col, letters.alias("_l")).where("size(_l) >= 3").select(id_col, F.explode(grams).alias("g"))
+    counts = each.groupBy(id_col, (F.crc32(F.col("g").cast("binary")) % dim).cast("int").alias("k")).agg(F.count("*").cast("int").alias("n"))
+    vectors = counts.groupBy(id_col).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("vector"))  # dim entries at most
+    return rows.select(id_col).join(vectors, id_col, "left")
 
 
 def near_texts(rows: DataFrame, id_col: str, speaker: str, key: str, duration: str, least: float = 0.92, cosine: float = 0.8, tolerance: float = 0.1, bands: int = 24, size: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vocalith.functions import text as T
-from vocalith.operators import corpus as C, dedup as D
+from vocalith.operators import corpus as C, dedup as D, normalize as N
 from vocalith.plans.base import Book, table
 
 book = Book()
@@ -29,19 +29,42 @@ def digit_fold(spark, d):
 def _nsw_sql() -> str:
     text, out = "text", []
     for name, pattern in C.NSW:
-        out.append(f"select lang, '{name}' as class, sum(len(regexp_extract_all({text}, '{pattern}')))::bigint as n from documents group by 1")
+        out.append(f"select grp, '{name}' as class, sum(len(regexp_extract_all({text}, '{pattern}')))::bigint as n from t group by 1")
         text = f"regexp_replace({text}, '{pattern}', chr(1), 'g')"
-    return " union all ".join(out)
+    return "with t as (select lang as grp, text from documents union all select 'pages', html from pages) " + " union all ".join(out)
 
 
 @book.add("nsw_profile", _nsw_sql())
 def nsw_profile(spark, d):
-    return C.nsw_profile(docs(spark, d), "text", "lang")
+    rows = docs(spark, d).select(F.col("lang").alias("grp"), "text").union(table(spark, d, "pages").select(F.lit("pages"), "html"))
+    return C.nsw_profile(rows, "text", "grp")
 
 
 @book.add("verbalize_corpus")
 def verbalize_corpus(spark, d):
-    return C.verbalize(docs(spark, d), "text").select("doc_id", "spoken", "hits")
+    return N.verbalize(docs(spark, d), "text").select("doc_id", "spoken", "hits")
+
+
+_UNDER = "(string_split('" + N.UNDER_100 + "', ' '))"
+
+
+def _small(n: str) -> str:
+    """Words of a number below 10^7 in DuckDB."""
+    parts = [f"case when ({n}) {m} // {size} > 0 then {_UNDER}[({n}) {m} // {size} + 1] || ' {name}' end" for m, size, name in (("% 10000000", 100_000, N.LAKH), ("% 100000", 1_000, N.THOUSAND), ("% 1000", 100, N.HUNDRED))]
+    return f"concat_ws(' ', {', '.join(parts)}, case when ({n}) % 100 > 0 or ({n}) % 10000000 = 0 then {_UNDER}[({n}) % 100 + 1] end)"
+
+
+_PAISE = "cast(round(o_totalprice * 100) as bigint)"
+_WHOLE = f"{_PAISE} // 100"
+
+
+@book.add("verbalize_numbers", f"""select o_orderkey, case when {_WHOLE} >= 10000000 then concat_ws(' ', {_small(f'{_WHOLE} // 10000000')}, '{N.CRORE}', case when {_WHOLE} % 10000000 > 0 then {_small(_WHOLE)} end) else {_small(_WHOLE)} end as whole,
+ {_small(_WHOLE)} || ' दशमलव ' || {_UNDER}[{_PAISE} // 10 % 10 + 1] || ' ' || {_UNDER}[{_PAISE} % 10 + 1] as decimals,
+ case when year(o_orderdate) between 1100 and 1999 then concat_ws(' ', {_UNDER}[year(o_orderdate) // 100 + 1], '{N.HUNDRED}', case when year(o_orderdate) % 100 > 0 then {_UNDER}[year(o_orderdate) % 100 + 1] end) else {_small('year(o_orderdate)')} end as in_year from orders""")
+def verbalize_numbers(spark, d):
+    paise = F.round(F.col("o_totalprice") * 100).cast("long")
+    written = F.concat(F.floor(paise / 100).cast("string"), F.lit("."), F.lpad((paise % 100).cast("string"), 2, "0"))
+    return table(spark, d, "orders").select("o_orderkey", N.count(F.floor(paise / 100)).alias("whole"), N.spoken(written).alias("decimals"), N.year(F.year("o_orderdate").cast("string")).alias("in_year"))
 
 
 def lexicon(spark, d):
@@ -93,7 +116,7 @@ def romanized_sentences(spark, d):
 
 @book.add("chunk_corpus")
 def chunk_corpus(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(C.chunks(F.col("text"), 200)).alias("pos", "chunk"))
+    return docs(spark, d).select("doc_id", F.posexplode(C.stream_chunks(F.col("text"))).alias("pos", "chunk"))
 
 
 @book.add("gap_class", r"""with b as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\s+$', ''), '["''”’»)\]}]+$', ''), '\s+$', '') as b from documents)
@@ -123,7 +146,7 @@ def rewrite_rules(spark, d):
 
 @book.add("trigram_vector")
 def trigram_vector(spark, d):
-    return docs(spark, d).select("doc_id", D.trigram_counts(T.text_key(F.col("text"))).alias("vector"))
+    return D.trigram_counts(docs(spark, d).select("doc_id", T.text_key(F.col("text")).alias("key")), "doc_id", "key")
 
 
 @book.add("phoneme_list_filter", """with k as (select doc_id, source, n_chars, regexp_replace(lower(text), '[^a-eou-z]', '', 'g') as kept from documents), f as (select * from k where n_chars <= 2000 and length(kept) >= 5), s as (select source, row_number() over (order by min(doc_id)) - 1 as speaker_no from f group by 1)
