@@ -161,31 +161,35 @@ def test_near_texts_need_time_and_ratio(spark):
     assert {(r.a, r.b) for r in got} == {(1, 2)}
 
 
-def pieces(text):
-    """The pieces of a reply by character, independent of the streamed job."""
-    out, at = [], 0
-    while at < len(text):
-        rest, end = text[at:], 0
-        for k, c in enumerate(rest):
-            follows = rest[k + 1 : k + 2]
-            spaced = follows.isspace()
-            if c in "।?!" and (spaced or not follows) or c == "." and spaced:
-                word = rest[: k + 1].strip()
-                bare = c == "." and (word[:-1].isdigit() or (2 <= len(word) <= 4 and not any(x.isspace() for x in word)))
-                if not bare and (out or k + 1 >= 12):
-                    end = k + 1
-            elif c == "," and spaced and k + 1 >= (40 if out else 12):
-                end = k + 1
-            if end:
-                break
-        if not end and " " in rest[119:]:
-            end = rest.index(" ", 119) + 1
-        piece = rest[: end or len(rest)]
-        lines = [re.sub(r"^\s*(?:[-•]|[0-9]+[.)])\s+", "", x) for x in piece.split("\n")]
-        clean = " ".join("".join(c for c in "\n".join(lines) if c not in "*#`" and not 0x1F000 <= ord(c) <= 0x1FAFF).split())
-        if any(c.isalnum() or c == "_" for c in clean):
-            out.append(clean)
-        at += end or len(rest)
+def first_end(rest, said):
+    """Characters of the first piece of a buffer, 0 if it waits; by character, independent of the streamed job."""
+    for k, c in enumerate(rest):
+        follows = rest[k + 1 : k + 2]
+        spaced = follows.isspace()
+        if c in "।?!" and (spaced or not follows) or c == "." and spaced:
+            word = rest[: k + 1].strip()
+            bare = c == "." and (word[:-1].isdigit() or (2 <= len(word) <= 4 and not any(x.isspace() for x in word)))
+            if not bare and (said or k + 1 >= 12):
+                return k + 1
+        elif c == "," and spaced and k + 1 >= (40 if said else 12):
+            return k + 1
+    return rest.index(" ", 119) + 1 if " " in rest[119:] else 0
+
+
+def bare(piece):
+    lines = re.sub(r"^\s*(?:[-•]|[0-9]+[.)])\s+", "", piece, flags=re.MULTILINE)
+    clean = " ".join("".join(c for c in lines if c not in "*#`" and not 0x1F000 <= ord(c) <= 0x1FAFF).split())
+    return clean if any(c.isalnum() or c == "_" for c in clean) else ""
+
+
+def pieces(*parts):
+    """The pieces of a reply that comes in parts."""
+    out, rest = [], ""
+    for n, part in enumerate(parts, 1):
+        rest += part
+        while end := first_end(rest, bool(out)) or (len(rest) if n == len(parts) else 0):
+            piece, rest = bare(rest[:end]), rest[end:]
+            out += [piece] * bool(piece)
     return out
 
 
@@ -195,23 +199,22 @@ def test_streamed_segments(spark):
     for r in rows:
         got.setdefault((r.conv_id, r.turn), []).append(r.segment)
     text = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
-    want = {}
-    for k, t in text.items():  # deltas can end a piece at a mark that only a space would end later, so cut as they came
-        buffer, started, out, n = "", False, [], len(t)
-        for j in range(3):
-            buffer, started, more = jobs.feed(buffer, started, t[n * j // 3 : n * (j + 1) // 3], j == 2)
-            out += more
-        if out:
-            want[k] = out
-    assert got == want and any(len(v) > 1 for v in want.values())
+    want = {k: pieces(*(t[len(t) * j // 3 : len(t) * (j + 1) // 3] for j in range(3))) for k, t in text.items()}
+    assert got == {k: v for k, v in want.items() if v} and any(len(v) > 1 for v in want.values())
 
 
 def test_pieces_of_replies():
-    for t in ["this is a clause; and more", "**bold** point here. And so on, then", "This is the last reply", "1. one item\n2. another item of the list. Done! 😀", "Dr. Rao said, in a long and winding sentence, that 3.5 is not 1,000. Yes?", "word " * 60, "", "***", "नमस्ते दुनिया, यह एक वाक्य है। और दूसरा।"]:
-        _, _, got = jobs.feed("", False, t, True)
-        assert got == pieces(t), t
-    assert jobs.feed("", False, "**bold** point here. x", True)[2] == ["bold point here.", "x"]
-    assert jobs.feed("", False, "this is a clause; and more", True)[2] == ["this is a clause; and more"]
+    fixed = ["this is a clause; and more", "**bold** point here. And so on, then", "This is the last reply", "1. one item\n2. another item of the list. Done! 😀", "Dr. Rao said, in a long and winding sentence, that 3.5 is not 1,000. Yes?", "word " * 60, "", "***", "नमस्ते दुनिया, यह एक वाक्य है। और दूसरा।", "wait... what?! yes", "-\nnext - x", "Dr . no"]
+    rng = random.Random(9)
+    made = ["".join(rng.choices(["a", "bc ", "def", ". ", ".", ", ", "? ", "!", " ", "12", "\n- ", "\n3) ", "* ", "।", "😀", "word " * 9], k=rng.randint(1, 40))) for _ in range(800)]
+    for t in fixed + made:
+        cuts = sorted(rng.randint(0, len(t)) for _ in range(2))
+        for parts in ([t], [t[: cuts[0]], t[cuts[0] : cuts[1]], t[cuts[1] :]]):
+            reply = jobs.Reply()
+            got = [p for n, part in enumerate(parts, 1) for p in reply.take(part, n == len(parts))]
+            assert got == pieces(*parts), parts
+    assert jobs.Reply().take("**bold** point here. x", True) == ["bold point here.", "x"]
+    assert jobs.Reply().take("this is a clause; and more", True) == ["this is a clause; and more"]
 
 
 def test_composed_and_decomposed_texts_are_equal(spark):

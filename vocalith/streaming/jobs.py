@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,47 +68,68 @@ def last_values(rows: DataFrame, key: Column, keep: int = 2_000) -> DataFrame:
     return keyed.groupBy("key").applyInPandasWithState(step, "key string, n long, p50 double, p95 double, p99 double", "t array<long>, v array<double>", "update", "NoTimeout")
 
 
-#: Marks that can end a piece of a reply, and what a voice does not say.
-MARK = re.compile(r"[।?!](?=\s|\Z)|[.,](?=\s)")
-WAITS = re.compile(r"\d+\.|\S{1,3}\.")
-LIST_MARK = re.compile(r"^\s*(?:[-•]|\d+[.)])\s+", re.MULTILINE)
-UNSAID = re.compile("[*#`\U0001F000-\U0001FAFF☀-➿⬀-⯿️]")
+#: From how many characters on a mark of a kind ends a piece, for the first piece and for later ones; lengths of words
+#: whose dot is no end.
+LEAST = {"sentence": (12, 1), "comma": (12, 40), "space": (120, 120)}
+SHORT_WORD = 3
+KIND = {"।": "sentence", "?": "sentence", "!": "sentence", ".": "sentence", ",": "comma", " ": "space"}
 
 
-def cut_at(buffer: str, first: bool) -> int:
-    """Where the next piece of a buffer ends, 0 if none is ready.
+class Reply:
+    """A reply as its deltas come: the text that waits, how many of its characters hold no end for now, and whether anything was said.
 
-    The first mark that can end one does: a sentence mark at once (in the first piece from 12 characters on), a comma from 40
-    characters on (in the first piece from 12). White space must follow, or, but for dots and commas, nothing. A bare list
-    number and a short word with a dot wait for more. Without such a mark, a space from character 120 on ends a piece.
+    Every character is looked at once, in the order of the text. One is an end if its kind (``KIND``) has room for it (``LEAST``), a comma or dot has
+    white space after it, another mark has white space or nothing, and a dot does not stand after a bare number or a short word alone. Marks go
+    before spaces: a space ends a piece only where no mark in what has come does.
     """
-    for m in MARK.finditer(buffer):
-        if m.group() == ",":
-            ready = m.end() >= (12 if first else 40)
-        else:
-            ready = (not first or m.end() >= 12) and not WAITS.fullmatch(buffer[: m.end()].strip())
-        if ready:
-            return m.end()
-    return buffer.find(" ", 119) + 1
-
-
-def said(piece: str) -> str:
-    """A piece as it is spoken: without list marks, markdown signs and emoji, on one line; empty if no word is left."""
-    bare = " ".join(UNSAID.sub("", LIST_MARK.sub("", piece)).split())
-    return bare if re.search(r"\w", bare) else ""
-
 
-def feed(buffer: str, started: bool, delta: str, done: bool) -> tuple[str, bool, list[str]]:
-    """The rest of the buffer, whether anything was said yet, and the pieces that a delta completes; ``done`` says the rest too."""
-    buffer, out = buffer + delta, []
-    while end := cut_at(buffer, not started):
-        piece, buffer = said(buffer[:end]), buffer[end:]
-        if piece:
-            out.append(piece)
-            started = True
-    if done and (piece := said(buffer)):
-        out.append(piece)
-    return "" if done else buffer, started, out
+    def __init__(self, text: str = "", started: bool = False):
+        self.text, self.started = text, started
+
+    def _end(self) -> int:
+        """Characters of the next piece, 0 while it waits."""
+        room = {k: n[self.started] for k, n in LEAST.items()}
+        spaces = 0
+        for k, c in enumerate(self.text, 1):
+            kind = KIND.get(c)
+            if kind == "space":
+                spaces = spaces or (k if k > room[kind] - 1 else 0)
+            elif kind and k >= room[kind] and self._closed(k, c) and not (c == "." and self._part_of_word(k)):
+                return k
+        return spaces
+
+    def _closed(self, k: int, mark: str) -> bool:
+        return self.text[k].isspace() if k < len(self.text) else mark not in ".,"
+
+    def _part_of_word(self, k: int) -> bool:
+        word = self.text[: k - 1].lstrip()
+        return bool(word) and (word.isdecimal() or len(word) <= SHORT_WORD and not any(c.isspace() for c in word))
+
+    def take(self, delta: str, last: bool = False) -> list[str]:
+        """The pieces that a delta completes; the last one says the rest too."""
+        self.text += delta
+        out = []
+        while end := self._end() or (len(self.text) if last else 0):
+            piece, self.text = spoken(self.text[:end]), self.text[end:]
+            out += [piece] if piece else []
+            self.started = self.started or bool(piece)
+        return out
+
+
+def _unsaid(c: str) -> bool:
+    """Markdown signs, emoji, pictures and arrows, and the mark that makes one of a letter."""
+    return c in "*#`\ufe0f" or 0x1F000 <= ord(c) <= 0x1FAFF or 0x2600 <= ord(c) <= 0x27BF or 0x2B00 <= ord(c) <= 0x2BFF
+
+
+def spoken(piece: str) -> str:
+    """A piece without list marks at the start of its lines, signs and pictures, on one line; empty if it has no letter or digit."""
+    words, lines = [], piece.split("\n")
+    for k, line in enumerate(lines, 1):
+        head, *rest = line.split() or [""]
+        bullet = head in ("-", "•") or head[:-1].isdecimal() and head[-1] in ".)"
+        words += rest if bullet and (rest or k < len(lines) or line[-1:].isspace()) else [head, *rest]
+    bare = " ".join("".join(c for c in " ".join(words) if not _unsaid(c)).split())
+    return bare if any(c.isalnum() or c == "_" for c in bare) else ""
 
 
 SEGMENTS = "conv_id long, turn long, no int, segment string"
@@ -121,15 +141,14 @@ def segmenter(deltas: DataFrame) -> DataFrame:
     reply are to come in their order, and within a batch are put in it. Null texts are empty."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        buffer, started, no = state.get if state.exists else ("", False, 0)
-        out, over = [], False
-        for text, done in pd.concat(list(frames)).sort_values("part")[["text", "done"]].itertuples(index=False):
-            buffer, started, more = feed(buffer, started, text or "", bool(done))
-            out, over = out + more, over or bool(done)
+        text, started, no = state.get if state.exists else ("", False, 0)
+        reply, out, over = Reply(text, started), [], False
+        for delta, done in pd.concat(list(frames)).sort_values("part")[["text", "done"]].itertuples(index=False):
+            out, over = out + reply.take(delta or "", bool(done)), over or bool(done)
         if over:
             state.remove()
         else:
-            state.update((buffer, started, no + len(out)))
+            state.update((reply.text, reply.started, no + len(out)))
         yield pd.DataFrame({"conv_id": [key[0]] * len(out), "turn": [key[1]] * len(out), "no": range(no, no + len(out)), "segment": out})
 
     return deltas.groupBy("conv_id", "turn").applyInPandasWithState(step, SEGMENTS, "buffer string, started boolean, no int", "append", "NoTimeout")
