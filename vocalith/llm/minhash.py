@@ -6,11 +6,12 @@ sets share none of the bands five times in a million, and less often above. Pair
 ``SKETCH`` bits, one a minimum, of which two similar sets differ in a tenth on average and in ``APART`` next to never. What is left is
 verified on the whole sets. Sets that are equal meet once.
 
-Only components are needed. A bucket of more than ``DENSE`` sets (a family of near copies) doesn't meet pair by pair at first:
-each set is held against ``DRAWN`` members of the bucket, drawn anew for each. What is then in one component with the
-bucket's largest part is done. Sets elsewhere in it meet sets of other components, of sizes that leave room for the similarity: what a set has of its
-own (shingles in no other set of such buckets) it shares with no partner, so texts of one template that are not similar don't meet, however
-many. No bucket or set is capped or dropped. Links become components by alternating large-star and small-star rounds.
+Only components are needed. A bucket of more than ``DENSE`` sets (a family of near copies) doesn't meet pair by pair at first: each set is held
+against ``DRAWN`` members, drawn by hash, of each of its ``FIRST`` largest buckets. What is then in one component with a bucket's largest part
+is done there. Sets elsewhere meet sets of other components, of sizes that leave room for the similarity: what a set has of its own (shingles in
+no other set of such buckets) it shares with no partner, so texts of one template that are not similar don't meet, however many. A
+bound comes before any row: the hash space has ``SEGMENTS`` segments, each of which holds an odd or an even number of the set's shingles; two sets
+are at least as many shingles apart as these differ in. No bucket or set is capped or dropped. Links become components by alternating large-star and small-star rounds.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vocalith.llm.simhash import LOWER, first_of
+from vocalith.llm.simhash import LOWER, first_of, majority
 from vocalith.operators.graph import connected_components
 from vocalith.operators.skew import lookup
 from vocalith.plans.scratch import materialize
@@ -29,8 +30,10 @@ WORDS, ROWS, BANDS = 4, 6, 40
 #: Bits of a sketch, the low bit of each minimum, and of these how many may differ: 24 do on average at a similarity of 0.8,
 #: and 50 are more than five deviations beyond.
 SKETCH, APART = 256, 50
-#: Sets of a bucket that meet pair by pair at once, and members of a larger one that its other sets meet first.
-DENSE, DRAWN = 16, 2
+#: Sets of a bucket that meet pair by pair at once; members of a larger one that its other sets meet first, and in how many buckets.
+DENSE, DRAWN, FIRST = 16, 4, 6
+#: Segments of the hash space, a multiple of 64.
+SEGMENTS = 1024
 #: Ratio of neighbouring classes of sizes.
 CLASS = 1.05
 #: Words whose hashes a worker keeps.
@@ -83,10 +86,11 @@ def _whole(text: Column, words: int) -> Column:
     return of(text.cast("binary"))
 
 
-def signatures(documents: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """Per row: id, tie (a hash of the text), fp (a hash of the set, null for an empty one), size, sketch and a key a band."""
+def signatures(documents: DataFrame, id_col: str, text_col: str, words: int = WORDS, prints: bool = False) -> DataFrame:
+    """Per row: id, tie (a hash of the text), fp (a hash of the set, null for an empty one), size, sketch, a key a band, and print, the
+    set's SimHash (null if not asked for by ``prints``)."""
 
-    @F.pandas_udf("fp long, size long, sketch array<long>, bands array<long>")
+    @F.pandas_udf("fp long, size long, sketch array<long>, bands array<long>, print long")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
@@ -96,10 +100,10 @@ def signatures(documents: DataFrame, id_col: str, text_col: str, words: int = WO
                 bits = np.zeros(SKETCH, np.uint8)
                 bits[: len(low)] = low & np.uint64(1)
                 keys = np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
-                out.append((xxhash.xxh64_intdigest(s.tobytes()) - 2**63, len(s), np.packbits(bits).view(np.int64), keys.view(np.int64)))
+                out.append((xxhash.xxh64_intdigest(s.tobytes()) - 2**63, len(s), np.packbits(bits).view(np.int64), keys.view(np.int64), majority(s) if prints else None))
             else:
-                out.append((None, 0, [], []))
-        return pd.DataFrame(out, columns=["fp", "size", "sketch", "bands"]).astype({"fp": "Int64"})
+                out.append((None, 0, [], [], None))
+        return pd.DataFrame(out, columns=["fp", "size", "sketch", "bands", "print"]).astype({"fp": "Int64", "print": "Int64"})
 
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), of(F.col(text_col).cast("binary")).alias("s"))
     return materialize(rows.select("id", "tie", "s.*"), "signatures")
@@ -138,16 +142,23 @@ def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, rows: DataFrame, documents: DataFrame, text_col: str, words: int) -> DataFrame:
-    """Per fingerprint of ``members``, how many of its shingles others of them ``share``; only those that can have a partner."""
+    """Per fingerprint of ``members``, how many of its shingles others of them ``share``, and the parity of each segment; only those that can
+    have a partner."""
+
+    @F.pandas_udf("array<long>")
+    def parity(of: pd.Series) -> pd.Series:
+        odd = (np.bincount(s.astype(np.int64) & (SEGMENTS - 1), minlength=SEGMENTS) & 1 for s in of)
+        return pd.Series([np.packbits(o.astype(np.uint8)).view(np.int64) for o in odd], dtype=object)
+
     sets = _sets(members, rows, documents, text_col, words)
     alone = sets.select("fp", F.explode("s").alias("s")).groupBy("s").agg(F.min("fp").alias("fp"), F.max("fp").alias("hi")).where("fp = hi")
     own = alone.groupBy("fp").agg(F.count("*").alias("own"))
-    left = sets.select("fp", F.size("s").alias("n")).join(own, "fp", "left").select("fp", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("share"))
-    return materialize(left.where(5 * F.col("share") >= 4 * F.col("n")).select("fp", "share"), "open")
+    left = sets.select("fp", F.size("s").alias("n"), parity("s").alias("parity")).join(own, "fp", "left").withColumn("share", F.col("n") - F.coalesce("own", F.lit(0)))
+    return materialize(left.where(5 * F.col("share") >= 4 * F.col("n")).select("fp", "share", "parity"), "open")
 
 
 def _apart(split: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of ``split`` (key, fp, size, sketch, root, main, share): sets outside the main part of a bucket and those of other
+    """Pairs (src, dst) of ``split`` (key, fp, size, sketch, root, main, share, parity): sets outside the main part of a bucket and those of other
     components in it, if sizes, shared shingles and sketches leave room. Similar sets have 4 / 9 of their sizes in common, so a partner's
     size is at most 9 / 4 of what is shared less the own size: sets meet by classes of sizes."""
     of = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS))).cast("int")
@@ -155,12 +166,14 @@ def _apart(split: DataFrame) -> DataFrame:
     a = split.where("root <> main").withColumn("class", F.explode(near)).alias("a")
     b = split.withColumn("class", of(F.col("size"))).alias("b")
     room = 9 * F.least("a.share", "b.share") >= 4 * (F.col("a.size") + F.col("b.size"))
+    differ = sum(F.bit_count(F.col("a.parity")[k].bitwiseXOR(F.col("b.parity")[k])) for k in range(SEGMENTS // 64))
+    room &= 9 * differ <= F.col("a.size") + F.col("b.size")  # similar sets are a ninth of their sizes apart at most
     return _pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & room & _alike("a", "b")))
 
 
-def links(rows: DataFrame, documents: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """Edges (src, dst) of fingerprints whose components are those of all similar pairs that share a band; ``rows`` comes from
-    ``signatures`` of ``documents``. Every edge is a verified pair."""
+def links(rows: DataFrame, documents: DataFrame, text_col: str = "text", words: int = WORDS, also: DataFrame | None = None) -> DataFrame:
+    """Edges (src, dst) of fingerprints whose components are those of all similar pairs that share a band or are in ``also`` (src, dst);
+    ``rows`` comes from ``signatures`` of ``documents``. Every edge is a verified pair."""
     check = lambda pairs: _verified(pairs, rows, documents, text_col, words)
     keyed = rows.where("fp is not null").select("fp", "bands").dropDuplicates(["fp"]).select("fp", F.explode("bands").alias("key"))
     keyed = materialize(keyed, "keys")
@@ -168,23 +181,30 @@ def links(rows: DataFrame, documents: DataFrame, text_col: str = "text", words:
     some = materialize(keyed.join(crowd, "key"), "some")
     about = rows.join(some.select("fp").distinct(), "fp", "left_semi").select("fp", "size", "sketch").dropDuplicates(["fp"])
     met = materialize(some.join(about, "fp"), "met")
-    few, many = met.where(F.col("n") <= DENSE), met.where(F.col("n") > DENSE)
     same = (F.col("a.key") == F.col("b.key")) & _alike("a", "b")
+    few, many = met.where(F.col("n") <= DENSE), met.where(F.col("n") > DENSE)
     near = _pairs(few.alias("a").join(few.alias("b"), same & (F.col("a.fp") < F.col("b.fp"))))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("n"), "key"))  # of at most BANDS rows
     member = F.struct("fp", "size", "sketch")
     drawn = many.groupBy("key").agg(F.array(*[F.min_by(member, F.xxhash64(F.lit(k), "key", "fp")) for k in range(DRAWN)]).alias("p"))
     drawn = drawn.select("key", F.explode("p").alias("p")).select("key", "p.*")
-    stars = _pairs(many.alias("a").join(drawn.alias("b"), same & (F.col("a.fp") != F.col("b.fp"))))
-    first = check(near.union(stars))
+    largest = many.withColumn("place", place).where(F.col("place") <= FIRST)
+    near = near if also is None else near.union(also)
+    found = check(near.union(_pairs(largest.alias("a").join(drawn.alias("b"), same & (F.col("a.fp") != F.col("b.fp"))))))
     if not many.limit(1).count():
-        return first
-    named = _rooted(many, first)
-    parts = named.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
-    split = materialize(named.join(parts, "key"), "split")
+        return found
+    named = _rooted(many, found)
+    split = materialize(named.join(_mains(named), "key"), "split")
     if not split.limit(1).count():
-        return first
+        return found
     split = split.join(_open(split.select("fp").distinct(), rows, documents, text_col, words), "fp")
-    return first.union(check(_apart(materialize(split, "split"))))
+    return found.union(check(_apart(materialize(split, "split"))))
+
+
+def _mains(named: DataFrame) -> DataFrame:
+    """The largest component (``main``) of each bucket that has more than one."""
+    parts = named.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
+    return parts.where("parts > 1").select("key", "main")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -51,6 +51,14 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(shingles)).view(">i8")[0])
 
 
+def majority(s: np.ndarray) -> int:
+    """SimHash of an array of 64-bit hashes, as a signed integer: bits that are set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), BLOCK):
+        ones += np.unpackbits(s[at : at + BLOCK].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s)).view(">i8")[0])
+
+
 def fingerprint_column(text, words: int = 3):
     """Column of fingerprints (long) of a text column: nulls, empty and blank texts give 0."""
 
