@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from conftest import SMALL
 
-from vocalith.llm import near_copies
+from vocalith.llm import minhash
 
 
 def grams(text):
@@ -32,8 +32,7 @@ def kept_by_all_pairs(texts):
 
 @pytest.mark.parametrize("dense", [16, 2])
 def test_stage_keeps_one_of_each_component_of_similar_texts(spark, monkeypatch, dense):
-    monkeypatch.setattr(near_copies, "DENSE", dense)
-    monkeypatch.setattr(near_copies, "OFTEN", 10)
+    monkeypatch.setattr(minhash, "DENSE", dense)
     random.seed(11)
     word = lambda: f"w{random.randrange(3000)}"
     passage, texts = [word() for _ in range(60)], []

@@ -1,246 +1,33 @@
-"""Near copies by their sets of five-word shingles: every pair with a Jaccard similarity of 0.8 or more is linked.
+"""Near copies by their sets of five-word shingles: pairs with a Jaccard similarity of 0.8 or more are linked.
 
-First come SimHash fingerprints of the sets: those within two bits meet in the segment-popcount grids of ``simhash``, and are
-verified on the whole sets. That joins most copies. Fingerprints of sets with a similarity of 0.8 can be ten bits apart, where no
-grid is cheap, so a second pass finds what is left.
-
-The second pass is an exact prefix-filtered set join. In any one order of all shingles, two sets with a similarity of ``t`` share one of
-the first ``n - ceil(t * n) + 1`` shingles of each. The order puts shingles that a sample of documents has often last, so
-that most prefixes hold rare shingles; the sample changes how many pairs meet, not which are linked. Pairs that meet and
-pass the filters by size, position and common part of the prefixes are verified on the whole sets, which are made again from
-the texts of these documents. Pairs that the first pass has joined do not meet again.
-
-A set with so many shingles of its own that the rest can't make up four fifths of it has no partner and is left out before any
-join. Shingles are looked up for that in one part of the hash space (``BAND``), where their sets are counted over all documents:
-one aggregation, and exact, as shingles elsewhere only count as shared.
-
-Shingles that are in the very same sets meet as one. Only components are needed, so shingles with more than ``DENSE`` sets (a
-family of near copies, a passage that many documents share) do not meet pair by pair at first: each set is held against
-``DRAWN`` members, drawn anew for each shingle. What is then in one component with most of its shingle is done; the others
-meet every set of another component at that shingle. There a lower bound comes before any row: the hash space is cut into
-``SEGMENTS`` segments, and each holds whether its count of shingles is odd; two sets are at least as many shingles apart as
-these differ in segments. Nothing is dropped: each pair that is similar enough is either verified or already connected.
+SimHash fingerprints of the sets come first: those within two bits meet in the segment-popcount grids of ``simhash``, and are verified on the
+whole sets. That joins most copies, but fingerprints of sets with a similarity of 0.8 can be ten bits apart, where no grid is cheap. So the
+sets also meet by the bands of ``minhash``, with the same verification; its crowded buckets, templates and skew are handled there. A
+similar pair shares neither a grid cell nor a band five times in a million at a similarity of 0.8, and less often above.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from vocalith.llm import simhash
-from vocalith.llm.simhash import LOWER, first_of
+from vocalith.llm import minhash, simhash
+from vocalith.llm.simhash import first_of
 from vocalith.operators.graph import connected_components
 from vocalith.operators.skew import lookup
 from vocalith.plans.scratch import materialize
 
 WORDS = 5
-#: Documents whose shingles are counted, and shingles that are put last: they bound what reaches the driver.
-SAMPLE, COMMON, OFTEN = 10_000, 20_000, 3
-#: Part of the hash space whose shingles are looked up: it holds a good deal more than the fifth that a set may have of its own.
-BAND = 3 / 8
-#: Shingles at which a set first meets one other.
-FIRST = 4
-#: Sets of a shingle that meet pair by pair at once.
-DENSE = 16
-#: Members of such a shingle that its other sets meet first.
-DRAWN = 4
-#: Segments of the hash space, a multiple of 64.
-SEGMENTS = 512
-#: Sets whose texts are found by a broadcast; beyond it by a shuffle.
-BROADCAST_SETS = 1_000_000
-
-
-def shingles(text: bytes | None) -> np.ndarray:
-    """Hashes of the distinct five-word shingles, ascending; a text of fewer words is one shingle, a blank one has none."""
-    w = text.translate(LOWER).split() if text else []
-    if not w:
-        return np.empty(0, np.uint64)
-    found = set(map(b" ".join, zip(*(w[k:] for k in range(WORDS))))) if len(w) >= WORDS else {b" ".join(w)}
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
-
-
-def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first shingles of a set, in the order of those not in ``common`` (ascending) by hash, then by ``rank``, and how many
-    of them are the set's whole share of the band. They are the band, or as many of which similar sets share one, if these are more.
-    """
-    last = np.zeros(len(s), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        last = np.where(common[at] == s, rank[at], 0)
-    n = len(s)
-    band = int(((last == 0) & (s < np.uint64(BAND * 2**64))).sum())
-    return s[np.lexsort((s, last))[: max(band, n - (4 * n + 4) // 5 + 1)]] if n else s, band
-
-
-def majority(s: np.ndarray) -> int:
-    """SimHash of a set of shingle hashes, as a signed 64-bit integer: bits that are set in over half of them."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(s), simhash.BLOCK):
-        ones += np.unpackbits(s[at : at + simhash.BLOCK].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(s)).view(">i8")[0])
-
-
-def parity(s: np.ndarray) -> np.ndarray:
-    """Whether each segment of the hash space holds an odd number of the set, as ``SEGMENTS`` bits in longs."""
-    return np.packbits(np.bincount((s % np.uint64(SEGMENTS)).astype(np.int64), minlength=SEGMENTS) & 1).view(np.int64)
-
-
-def _hashes(text: Column) -> Column:
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
-
-    return of(text.cast("binary"))
-
-
-def _common(documents: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are in ``OFTEN`` or more documents of a sample, ascending, and their ranks by count, from 1."""
-    every = max(1, documents.count() // SAMPLE)
-    some = documents.where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0)
-    counts = some.select(F.explode(_hashes(F.col(text_col))).alias("s")).groupBy("s").count().where(F.col("count") >= OFTEN)
-    found = sorted((r["count"], r.s) for r in counts.orderBy(F.desc("count"), "s").limit(COMMON).collect())
-    values = np.array([s for _, s in found], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    return values[order], order + 1
-
-
-def _sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows as id, tie, fp (a hash of the whole set), print (its SimHash), size, parity, prefix and band (see ``prefix``)."""
-    common, rank = _common(documents, text_col)
-
-    @F.pandas_udf("fp long, print long, size int, parity array<long>, prefix array<long>, band int")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t) for t in texts]
-        fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        firsts = [prefix(s, common, rank) for s in sets]
-        out = {"fp": fp, "print": np.array([majority(s) for s in sets], np.int64), "size": [len(s) for s in sets], "parity": [parity(s) for s in sets]}
-        return pd.DataFrame(out | {"prefix": [f.view(np.int64) for f, _ in firsts], "band": [n for _, n in firsts]})
-
-    rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), of(F.col(text_col).cast("binary")).alias("s"))
-    return materialize(rows.select("id", "tie", "s.*"), "sets")
-
-
-def _can(a: str, b: str) -> Column:
-    """Whether the sizes, and the places of a shingle that is the first in common, leave room for the similarity."""
-    size = lambda x: F.col(f"{x}.size")
-    most = F.least(size(a) - F.col(f"{a}.pos"), size(b) - F.col(f"{b}.pos"))
-    return (5 * size(a) >= 4 * size(b)) & (5 * size(b) >= 4 * size(a)) & (9 * most >= 4 * (size(a) + size(b)))
 
 
-def _near_enough(a: str, b: str) -> Column:
-    """Whether the segments that differ leave room for the similarity: similar sets are a ninth of their sizes apart at most."""
-    differ = sum(F.bit_count(F.col(f"{a}.parity")[k].bitwiseXOR(F.col(f"{b}.parity")[k])) for k in range(SEGMENTS // 64))
-    return 9 * differ <= F.col(f"{a}.size") + F.col(f"{b}.size")
-
-
-def _by_print(sets: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of sets: each with the least of its fingerprint, and those of fingerprints within two bits."""
-    known = sets.where("size > 0").select("print", "fp").distinct()
+def _by_print(rows: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of sets: each with the least of its fingerprint, and the least ones of fingerprints within two bits."""
+    known = rows.where("print is not null").select("print", "fp").distinct()
     heads = materialize(known.groupBy("print").agg(F.min("fp").alias("head"), F.count("*").alias("n")), "heads")
     twins = known.join(heads.where("n > 1"), "print").where("fp <> head").select(F.col("head").alias("src"), F.col("fp").alias("dst"))
     near = simhash.links(heads.select(F.col("print").alias("fp")))
     head = lambda x: heads.select(F.col("print").alias(x), F.col("head").alias(f"h{x}"))
     met = near.join(head("src"), "src").join(head("dst"), "dst").select(F.least("hsrc", "hdst").alias("src"), F.greatest("hsrc", "hdst").alias("dst"))
-    return twins.union(met).distinct()
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("a.fp", "b.fp").alias("src"), F.greatest("a.fp", "b.fp").alias("dst")).distinct()
-
-
-def _hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose prefixes have enough in common: what the one that ends first has in it is all there is of that part."""
-    ends = pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct()
-    heads = materialize(sets.join(ends, "fp", "left_semi").select("fp", "size", "prefix").dropDuplicates(["fp"]), "heads")
-    side = lambda x, fp: heads.select(F.col("fp").alias(fp), F.col("size").alias(f"n{x}"), F.col("prefix").alias(x))
-    both = pairs.join(side("a", "src"), "src").join(side("b", "dst"), "dst")
-    most = F.size(F.array_intersect("a", "b")) + F.greatest(F.col("na") - F.size("a"), F.col("nb") - F.size("b"))
-    return materialize(both.where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("src", "dst"), "hopeful")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (src, dst) whose whole sets have a similarity of 0.8 or more."""
-    pairs = _hopeful(materialize(pairs, "pairs"), sets)
-    ends = pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct()
-    some = materialize(sets.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("tie").alias("tie")), "some")
-    texts = documents.select(F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(some) if some.count() <= BROADCAST_SETS else some, "tie")
-    whole = materialize(texts.select("fp", _hashes(F.col("text")).alias("s")).dropDuplicates(["fp"]), "whole")
-    both = pairs.join(whole.select(F.col("fp").alias("src"), F.col("s").alias("a")), "src").join(whole.select(F.col("fp").alias("dst"), F.col("s").alias("b")), "dst")
-    enough = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
-    return materialize(both.where(enough).select("src", "dst"), "links")
-
-
-def _own(sets: DataFrame, found: Column) -> DataFrame:
-    """Per set, ``found`` of its shingles ``s`` in the band that no other set has."""
-    looked = sets.select("fp", F.explode(F.slice("prefix", F.lit(1), F.col("band"))).alias("s"))
-    alone = looked.groupBy("s").agg(F.min("fp").alias("fp"), F.max("fp").alias("hi")).where("fp = hi")
-    return materialize(alone.groupBy("fp").agg(found.alias("own")), "own")
-
-
-def _open(sets: DataFrame) -> DataFrame:
-    """Sets that may have a partner, once each, with the shared shingles of which they and it have one first (``prefix``), and
-    how many places are before these (``own``).
-
-    What a set has in common only with sets that are out counts as its own as well, so the second look is at the rest alone.
-    """
-    most = F.col("size") - F.floor((4 * F.col("size") + 4) / 5).cast("int")
-    rows = sets.where("size > 0").join(_own(sets, F.count("*")), "fp", "left").where(F.coalesce("own", F.lit(0)) <= most)
-    left = materialize(rows.select("fp", "size", "prefix", "band").dropDuplicates(["fp"]), "left")
-    rows = left.join(_own(left, F.collect_list("s")), "fp", "left").withColumn("own", F.coalesce("own", F.expr("cast(array() as array<long>)")))
-    firsts = F.slice(F.array_except("prefix", "own"), F.lit(1), most + 1 - F.size("own"))
-    return materialize(rows.where(F.size("own") <= most).select("fp", "size", firsts.alias("prefix"), F.size("own").alias("own")), "open")
-
-
-def _first_met(rows: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of the sets of ``rows`` (s, fp, size, pos, own) and one other, drawn by hash, at each of their ``FIRST``
-    first shingles."""
-    rows = rows.where(F.col("pos") < F.col("own") + FIRST)
-    heads = rows.groupBy("s").agg(F.min(F.struct(F.xxhash64("s", "fp").alias("h"), "fp", "size", "pos")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    heads = heads.select("s", "p.fp", "p.size", "p.pos")
-    return _pairs(rows.alias("a").join(heads.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.fp") != F.col("b.fp")) & _can("a", "b")))
-
-
-def _files(rows: DataFrame) -> DataFrame:
-    """``rows`` (s, fp, size, pos, root) with shingles of the same sets put together, at the first place of each; shingles of one
-    component are left out. Different shingles that fall together by their hashes only make more sets meet."""
-    each = rows.groupBy("s").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("fp")), F.bit_xor(F.xxhash64(F.lit(1), "fp"))).alias("file"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    named = rows.join(each.where("lo <> hi").select("s", "file"), "s")
-    return materialize(named.groupBy(F.col("file").alias("s"), "fp", "size", "root").agg(F.min("pos").alias("pos")), "files")
-
-
-def links(sets: DataFrame, documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """Edges (src, dst) of hashes of sets whose components are those of all pairs of a similarity of 0.8 or more."""
-    copies = _verified(_by_print(sets), sets, documents, text_col)
-    rows = _open(sets).select("fp", "size", "own", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos") + F.col("own"))
-    copies = copies.union(_verified(_first_met(rows), sets, documents, text_col))
-    met = _files(_rooted(rows.drop("own"), copies, "met"))
-    crowd = materialize(met.groupBy("s").agg(F.count("*").alias("n")), "crowd")
-    apart = (F.col("a.s") == F.col("b.s")) & (F.col("a.root") != F.col("b.root")) & _can("a", "b")
-    few = met.join(crowd.where(F.col("n") <= DENSE).select("s"), "s")
-    near = _pairs(few.alias("a").join(few.alias("b"), apart & (F.col("a.fp") < F.col("b.fp"))))
-    marks = sets.select("fp", "parity").dropDuplicates(["fp"])
-    many = materialize(met.join(crowd.where(F.col("n") > DENSE).select("s"), "s").join(marks, "fp"), "many")
-    apart = apart & _near_enough("a", "b")
-    member = F.struct("fp", "size", "pos", "root", "parity")
-    drawn = many.groupBy("s").agg(F.array(*[F.min_by(member, F.xxhash64(F.lit(k), "s", "fp")) for k in range(DRAWN)]).alias("p"))
-    stars = _pairs(many.alias("a").join(drawn.select("s", F.explode("p").alias("p")).select("s", "p.*").alias("b"), apart))
-    first = copies.union(_verified(near.union(stars).distinct(), sets, documents, text_col))
-    if not many.limit(1).count():
-        return first
-    named = _rooted(many.drop("root"), first, "named")
-    parts = named.groupBy("s", "root").count().groupBy("s").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).where("n > 1").select("s", "main")
-    left = named.join(parts, "s").where("root <> main")
-    others = _pairs(left.alias("a").join(named.alias("b"), apart))
-    return first.union(_verified(others, sets, documents, text_col))
-
-
-def _rooted(rows: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
-    """``rows`` with ``root``, the least set that ``fp`` is connected to."""
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
-    return materialize(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), tag)
+    return twins.union(met)
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,9 +35,9 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of its text. Null, empty and blank texts are copies of each other; of equal rows one stays; long texts are compared whole.
     Columns, rows and texts are otherwise as they came, whatever the columns' names. An empty table gives an empty one.
     """
-    sets = _sets(documents, id_col, text_col)
-    nodes = sets.groupBy("fp").agg(F.count("*").alias("n"))
-    roots = connected_components(links(sets, documents, text_col)).withColumnRenamed("node", "fp")
+    rows = minhash.signatures(documents, id_col, text_col, WORDS, prints=True)
+    roots = connected_components(minhash.links(rows, documents, text_col, WORDS, _by_print(rows))).withColumnRenamed("node", "fp")
+    prints = rows.select("id", "tie", F.coalesce("fp", F.lit(0)).alias("fp"))
+    nodes = prints.groupBy("fp").agg(F.count("*").alias("n"))
     table = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n")
-    prints = sets.select("id", "tie", "fp")
     return first_of(documents, lookup(prints, table, "fp", "n"), prints, id_col, text_col)
