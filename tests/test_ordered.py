@@ -154,6 +154,56 @@ def test_near_vectors_find_every_pair(spark):
     assert {(r.a, r.b) for r in dedup.near_vectors(rows, "id", "v").collect()} == want and len(want) >= 10
 
 
+@pytest.mark.parametrize("size", [7, 1000])
+def test_overlaps_by_ranges(spark, size):
+    random.seed(size)
+    rows = [(random.choice("aaab"), random.randrange(200), random.randrange(1, 60)) for _ in range(300)]
+    got = service.active(spark.createDataFrame([(k, float(a), float(a + n)) for k, a, n in rows], "k string, a double, b double").repartition(3), "k", "a", "b", size)
+    for r in got.collect():
+        n = {t: sum(a <= t < a + m for k, a, m in rows if k == r.k) for t in range(260)}
+        assert r.peak == max(n.values()) and r.first_at == min(t for t in n if n[t] == r.peak)
+    empty = spark.createDataFrame([], "k string, a double, b double")
+    assert service.active(empty, "k", "a", "b").count() == 0 and service.admission(empty.withColumn("id", F.lit(1)), "k", "a", "b", "id", 2).count() == 0
+
+
+def test_near_texts_are_those_of_all_pairs(spark):
+    import zlib
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefgh    ", k=rng.randint(40, 150))).strip() for _ in range(60)]
+    texts = base + [t[:k] + rng.choice(["x", "yy", ""]) + t[k + 1 :] for t in base for k in [rng.randrange(len(t))]] + [t + " end" for t in base[:20]]
+    rows = [(i, "s" if i % 3 else "t", t, float(len(t))) for i, t in enumerate(texts)]
+    gram = lambda t: Counter(zlib.crc32(f"  {t} "[k : k + 3].encode()) % 1024 for k in range(len(t) + 1))
+    size = lambda u: sum(x * x for x in u.values()) ** 0.5
+    want = set()
+    for a, sa, ta, da in rows:
+        for b, sb, tb, db in rows[a + 1 :]:
+            if sa == sb and ta != tb and abs(da - db) <= 0.1 * max(da, db):
+                u, v = gram(ta), gram(tb)
+                if sum(u[k] * v[k] for k in u) >= 0.8 * size(u) * size(v) and SequenceMatcher(None, ta, tb).ratio() >= 0.92:
+                    want.add((a, b))
+    got = dedup.near_texts(spark.createDataFrame(rows, "id long, sp string, key string, dur double"), "id", "sp", "key", "dur").collect()
+    assert {(r.a, r.b) for r in got} == want and len(want) > 20
+
+
+def test_near_vectors_have_time_and_reason(spark):
+    rows = [(1, [1.0, 0.0, 0.1], 10.0, "x"), (2, [1.0, 0.01, 0.1], 10.5, "x"), (3, [1.0, 0.0, 0.11], 10.2, "y"), (4, [1.0, 0.0, 0.1], 20.0, "x"), (5, [-1.0, 0.0, 0.5], 10.0, "x"), (6, None, 1.0, "x"), (7, [-1.0, 0.0, 0.5], None, "x")]
+    d = spark.createDataFrame(rows, "id long, v array<double>, s double, who string")
+    got = dedup.near_vectors(d, "id", "v", 0.97, "s", 0.1, "who").collect()
+    assert {(r.a, r.b, r.reason) for r in got} == {(1, 2, "near_duplicate_audio"), (1, 3, "speaker_leak_audio"), (2, 3, "speaker_leak_audio")}
+    assert dedup.near_vectors(d.where("false"), "id", "v", speaker="who").count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_overlap_by_hashes_or_by_shuffle(spark, limit):
+    evals = spark.createDataFrame([(1, "a b c d e f".split()), (2, "q r s".split()), (3, "x y z w v u".split()), (4, [])], "id long, words array<string>")
+    train = spark.createDataFrame([(10, "0 b c d e f 0".split()), (11, "b c d e f".split()), (12, "q r s".split()), (13, []), (14, "x y z w".split())], "line long, words array<string>")
+    got = {tuple(r) for r in dedup.overlap(evals, train, 5, limit).select("id", "line", "kind").collect()}
+    assert got == {(1, 10, "ngram"), (2, 12, "exact"), (4, 13, "exact")}
+
+
 def test_near_texts_need_time_and_ratio(spark):
     long = "the quick brown fox jumps over the lazy dog again and again until night"
     rows = [(1, "s", long, 10.0), (2, "s", long.replace("night", "nights"), 10.5), (3, "s", long.replace("lazy", "lazi"), 30.0), (4, "t", long + "!", 10.0), (5, "s", "something else entirely was said here", 10.0)]

@@ -7,6 +7,7 @@ from heapq import heapify, heappop, heappush
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vocalith.operators.ranges import ranged, running
 from vocalith.plans.scratch import materialize
 
 
@@ -100,45 +101,54 @@ def outcomes(requests: DataFrame, cancels: DataFrame) -> DataFrame:
     return out.select("conn", "id", "start", F.coalesce("cancelled_at", "end").alias("end"), F.col("cancelled_at").isNotNull().alias("cancelled"), F.when(F.col("cancelled_at").isNull(), F.col("code")).alias("code"))
 
 
-def active(intervals: DataFrame, by: str, start: str, end: str) -> DataFrame:
-    """Per group the greatest number of intervals that overlap, and when it is first reached; an end frees its place first."""
+def active(intervals: DataFrame, by: str, start: str, end: str, rows: int = 100_000) -> DataFrame:
+    """Per group the greatest number of intervals that overlap, and when it is first reached; an end frees its place first. Running sums are taken
+    by ranges of about ``rows`` steps, so a group may be of any size."""
     steps = intervals.select(by, F.col(start).alias("at"), F.lit(1).alias("d")).union(intervals.select(by, end, F.lit(-1)))
-    n = F.sum("d").over(Window.partitionBy(by).orderBy("at", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return steps.withColumn("n", n).groupBy(by).agg(F.max("n").alias("peak"), F.min_by("at", F.struct(-F.col("n"), "at")).alias("first_at"))
+    counted = running(ranged(steps, by, ["at", "d"], rows), by, ["at", "d"], {"n": F.col("d")})
+    return counted.groupBy(by).agg(F.max("n").alias("peak"), F.min_by("at", F.struct(-F.col("n"), "at")).alias("first_at"))
 
 
 def admission(intervals: DataFrame, by: str, start: str, end: str, id_col: str, most: int, rows: int = 100_000) -> DataFrame:
     """``intervals`` with ``admitted``: a start is refused while ``most`` admitted ones run; refused ones hold no place.
 
-    Periods in which offered intervals overlap are independent of each other and replayed side by side. A period of more than
-    ``rows`` starts is replayed in as many steps, so that no task holds a whole one; what a step hands on is the ends of those
-    that run, ``most`` at the most, in a written table. Ids order starts of the same time. No rows: an empty table.
+    Periods in which offered intervals overlap are independent of each other and replayed side by side, many short ones in one task. They are found
+    by running maxima over ranges of about ``rows`` starts, so no task holds a whole key. A period of more than ``rows`` starts is replayed in as
+    many steps; what a step hands on is the ends of those that run, ``most`` at the most, in a written table. Ids order starts of the same time. No
+    rows: an empty table.
     """
-    w = Window.partitionBy(by).orderBy(start, id_col)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    period = F.sum(F.when(F.col(start) < before, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    plain = intervals.select(by, F.col(id_col).alias("id"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b"), period.alias("period"))
-    inside = F.row_number().over(Window.partitionBy(by, "period").orderBy("a", "id")) - 1
-    known = materialize(plain.withColumn("step", F.floor(inside / rows)), "offered")
+    plain = intervals.select(by, F.col(id_col).alias("id"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b"))
+    order = ["a", "id"]
+    offered = running(ranged(plain, by, order, rows), by, order, {"pos": F.lit(1)}, {"busy": F.col("b")})
+    fresh = F.when(F.col("a") < F.col("busy"), F.lit(None)).otherwise(F.col("pos"))
+    offered = materialize(offered.withColumn("fresh", fresh), "offered")
+    offered = running(offered, by, order, {}, {"period": F.col("fresh")}).withColumn("period", F.coalesce("fresh", "period"))
+    known = materialize(offered.select(by, "id", "a", "b", "period", F.floor((F.col("pos") - F.col("period")) / rows).alias("step"), F.floor(F.col("period") / rows).alias("task")), "periods")
     kinds = dict(known.dtypes)
 
     def replay(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["a", "id"])
-        run, out = list(part["run"].iloc[0]) if part["run"].iloc[0] is not None else [], []
-        heapify(run)
-        for a, b in zip(part["a"], part["b"], strict=True):
+        part = part.sort_values(["period", "a", "id"])
+        last, run, out, held = None, [], [], []
+        for period, a, b, was in zip(part["period"], part["a"], part["b"], part["run"], strict=True):
+            if period != last:
+                if held:
+                    held[-1] = run
+                last, run = period, list(was) if was is not None else []
+                heapify(run)
             while run and run[0] <= a:
                 heappop(run)
             out.append(len(run) < most)
             if out[-1]:
                 heappush(run, b)
-        return pd.DataFrame({by: part[by].to_numpy(), "period": part["period"].to_numpy(), "id": part["id"].to_numpy(), "admitted": out, "run": [None] * (len(out) - 1) + [run]})
+            held.append(None)
+        held[-1] = run
+        return pd.DataFrame({by: part[by].to_numpy(), "period": part["period"].to_numpy(), "id": part["id"].to_numpy(), "admitted": out, "run": held})
 
-    found, running = None, known.select(by, "period").where("false").withColumn("run", F.expr("cast(null as array<double>)"))
+    found, left = None, known.select(by, "period").where("false").withColumn("run", F.expr("cast(null as array<double>)"))
     for k in range((known.agg(F.max("step")).first()[0] or 0) + 1):
-        now = known.where(F.col("step") == k).join(running, [by, "period"], "left")
-        done = materialize(now.groupBy(by, "period").applyInPandas(replay, f"{by} {kinds[by]}, period long, id {kinds['id']}, admitted boolean, run array<double>"), "admitted")
-        running = done.where("run is not null").select(by, "period", "run")
+        now = known.where(F.col("step") == k).join(left, [by, "period"], "left")
+        done = materialize(now.groupBy(by, "task").applyInPandas(replay, f"{by} {kinds[by]}, period long, id {kinds['id']}, admitted boolean, run array<double>"), "admitted")
+        left = done.where("run is not null").select(by, "period", "run")
         found = done if found is None else found.union(done)
     return found.select(by, F.col("id").alias(id_col), "admitted")
 
