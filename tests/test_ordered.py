@@ -292,14 +292,56 @@ def test_streamed_rate_limit_equals_the_replay(spark):
     assert {r.event_id: r.allowed for r in stream.collect()} == {r.event_id: r.allowed for r in batch.collect()}
 
 
-def test_late_rows_are_counted(spark):
-    take, counts = jobs.late_counter("1 hour")
-    kept = []
-    day = lambda *ts: spark.createDataFrame([(t,) for t in ts], "ts string").select(F.to_timestamp("ts").alias("ts"))
-    save = lambda df: kept.append(df.count())
-    take(day("2024-01-01 10:00:00", "2024-01-01 12:00:00"), 0, save)
-    take(day("2024-01-01 10:30:00", "2024-01-01 11:30:00", "2024-01-01 13:00:00"), 1, save)
-    assert kept == [2, 2] and counts == [(0, 0), (1, 1)]
+def test_late_rows_are_kept_and_counted_over_a_restart(spark):
+    from vocalith.plans.scratch import new_path
+
+    rng = random.Random(12)
+    batches = [[(k * 100 + i, rng.randrange(0, 40) + k * 5) for i in range(20)] for k in range(5)]
+    source, state, out = (new_path(spark, x) for x in ("source", "state", "late"))
+    schema = "id long, ts timestamp"
+    ledger = jobs.LateLedger(spark, out, "15 minutes")
+    assert ledger.counts().count() == 0
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id long, m int").selectExpr("id", "timestamp_seconds(m * 60) as ts").coalesce(1).write.mode("append").parquet(source)
+        if k in (1, 4):
+            jobs.run_late(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), jobs.LateLedger(spark, out, "15 minutes"), state)
+    until, want = None, {}
+    for rows in batches:
+        want |= {i: until is not None and m < until - 15 for i, m in rows}
+        until = max([m for _, m in rows] + ([until] if until is not None else []))
+    got = {r.id: r.late for r in ledger.rows(f"{schema}, late boolean, batch long").collect()}
+    assert got == want and 0 < sum(want.values()) == sum(r.n_late for r in ledger.counts().collect())
+    ledger(spark.read.schema(schema).parquet(source).where("id >= 400"), 4)  # a batch that is run again
+    assert ledger.rows(f"{schema}, late boolean, batch long").count() == 100 and ledger.counts().count() == 5
+
+
+def test_pair_cosines_by_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = [(i, f"v{i % 3}", i % 4, rng.normal(size=5).tolist()) for i in range(30)] + [(90, "v0", 1, [0.0] * 5), (91, "v0", 1, None)]
+    d = spark.createDataFrame(rows, "id long, v string, s int, e array<double>")
+    u = [(v, s, np.array(e) / np.linalg.norm(e)) for _, v, s, e in rows[:30]]
+    pairs = [(a, b) for k, a in enumerate(u) for b in u[:k]]
+    for block in (4, 1024):
+        got = {(r.kind, r.pair): r for r in evaluation.pair_cosines(d, "id", "v", "s", "e", block).collect()}
+        for kind, ok in (("same", lambda a, b: a[0] == b[0] and a[1] != b[1]), ("different", lambda a, b: a[0] != b[0] and a[1] == b[1])):
+            c = [float(a[2] @ b[2]) for a, b in pairs if ok(a, b)]
+            r = got[kind, "all"]
+            assert r.n == len(c) and abs(r.mean - sum(c) / len(c)) < 1e-9 and abs(r.lo - min(c)) < 1e-9 and abs(r.hi - max(c)) < 1e-9
+        c = [float(a[2] @ b[2]) for a, b in pairs if {a[0], b[0]} == {"v0", "v2"} and a[1] == b[1]]
+        assert got["pair", "v0|v2"].n == len(c) and abs(got["pair", "v0|v2"].mean - sum(c) / len(c)) < 1e-9 and len(got) == 5
+
+
+def test_a_changed_corpus_is_refused(spark):
+    from vocalith.sources import manifests
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string")
+    found = manifests.fingerprint(rows).first()
+    assert manifests.pinned(rows, ["k", "t"], found.n, int(found.checksum)).count() == 2
+    for other, columns in ((rows.where("k = 1"), ["k", "t"]), (rows.withColumn("t", F.upper("t")), ["k", "t"]), (rows.union(rows), ["k", "t"]), (rows, ["k"])):
+        with pytest.raises(ValueError):
+            manifests.pinned(other, columns, found.n, int(found.checksum))
 
 
 def test_script_gate_and_text_keys(spark):

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vocalith.functions import text as T
+from vocalith.plans.scratch import materialize
 
 #: Letters that stand for distinct tokens of a pair; a pair with more goes through a Python function.
 ALPHABET = 4_000
@@ -169,15 +170,49 @@ def leave_one_out(rows: DataFrame, id_col: str, group: str, vector: str) -> Data
     return rows.join(F.broadcast(total), group).select(id_col, group, cosine(rest, F.col(vector)).alias("cosine"))
 
 
-def pair_cosines(rows: DataFrame, id_col: str, voice: str, sentence: str, vector: str) -> DataFrame:
-    """Mean, least and greatest cosine of pairs of one voice (different sentences) and of one sentence (different voices)."""
-    a, b = rows.alias("a"), rows.alias("b")
+def _unit_sums(rows: DataFrame, *by: str) -> DataFrame:
+    """Sum ``t`` of the vectors ``u``, and their number ``k``, by group: by place first, so no task holds a group."""
+    each = rows.select(*by, F.posexplode("u").alias("p", "x")).groupBy(*by, "p").agg(F.sum("x").alias("x"), F.count("*").alias("k"))
+    return each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda z: z["x"]).alias("t"), F.max("k").alias("k"))
+
+
+def pair_cosines(rows: DataFrame, id_col: str, voice: str, sentence: str, vector: str, block: int = 1024) -> DataFrame:
+    """Mean, least and greatest cosine of pairs of one voice (different sentences, ``same``) and of one sentence (different voices, ``different``), and for
+    each two voices the mean over the sentences of both (``pair``, named ``a|b``; no extremes).
+
+    Means come from sums of unit vectors; extremes from products of blocks of ``block`` rows, of which only the least and the greatest leave a
+    task. No row stands for a pair. Null and zero vectors take no part.
+    """
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    unit = F.transform(vector, lambda x: x.cast("double") / F.col("_n"))
+    u = materialize(rows.withColumn("_n", norm).where("_n > 0").select(F.col(id_col).alias("id"), F.col(voice).alias("v"), F.col(sentence).alias("s"), unit.alias("u")), "units")
+    cell = materialize(_unit_sums(u, "v", "s"), "cells")
+
+    @F.pandas_udf("struct<lo:double,hi:double>")
+    def extremes(x: pd.Series, y: pd.Series, kx: pd.Series, ky: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, p, q in zip(x, y, kx, ky, strict=True):
+            c = np.stack(a) @ np.stack(b).T
+            c = c[np.asarray(p, dtype=object)[:, None] != np.asarray(q, dtype=object)[None, :]]
+            out.append((c.min(), c.max()) if c.size else (None, None))
+        return pd.DataFrame(out, columns=["lo", "hi"], dtype=float)
+
     out = None
-    for kind, same, other in (("same", voice, sentence), ("different", sentence, voice)):
-        met = a.join(b, (F.col(f"a.{same}") == F.col(f"b.{same}")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")) & (F.col(f"a.{other}") != F.col(f"b.{other}")))
-        c = met.select(cosine(F.col(f"a.{vector}"), F.col(f"b.{vector}")).alias("c")).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.avg("c").alias("mean"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        out = c if out is None else out.union(c)
-    return out
+    for kind, by, other in (("same", "v", "s"), ("different", "s", "v")):
+        total = cell.select(by, F.posexplode("t").alias("p", "x"), "k").groupBy(by, "p").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("own"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("nn"))
+        sums = total.groupBy(by).agg(F.sum(F.col("x") * F.col("x") - F.col("own")).alias("c"), F.max(F.col("n") * F.col("n") - F.col("nn")).alias("n"))
+        means = sums.agg((F.sum("n") / 2).cast("long").alias("n"), (F.sum("c") / F.sum("n")).alias("mean"))
+        parts = u.groupBy(by).agg(F.ceil(F.count("*") / block).alias("parts"))
+        dealt = u.join(parts, by).withColumn("b", F.pmod(F.xxhash64("id"), "parts"))
+        blocks = materialize(dealt.groupBy(by, "b").agg(F.collect_list("u").alias("us"), F.collect_list(other).alias("ks")), "blocks")
+        met = blocks.alias("a").join(blocks.alias("c"), (F.col(f"a.{by}") == F.col(f"c.{by}")) & (F.col("a.b") <= F.col("c.b")))
+        ends = met.select(extremes("a.us", "c.us", "a.ks", "c.ks").alias("e")).agg(F.min("e.lo").alias("lo"), F.max("e.hi").alias("hi"))
+        line = means.crossJoin(ends).select(F.lit(kind).alias("kind"), F.lit("all").alias("pair"), "n", "mean", "lo", "hi")  # one row each
+        out = line if out is None else out.union(line)
+    a, b = cell.alias("a"), cell.alias("b")
+    two = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.v") < F.col("b.v"))).select(F.concat_ws("|", "a.v", "b.v").alias("pair"), dot(F.col("a.t"), F.col("b.t")).alias("c"), (F.col("a.k") * F.col("b.k")).alias("n"))
+    none = F.lit(None).cast("double")
+    return out.union(two.groupBy("pair").agg(F.sum("n").alias("n"), (F.sum("c") / F.sum("n")).alias("mean")).select(F.lit("pair"), "pair", "n", "mean", none, none))
 
 
 def rank_by_value(rows: DataFrame, order: list[Column]) -> Column:

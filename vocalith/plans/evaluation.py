@@ -180,7 +180,8 @@ def group_centroid(spark, d):
 
 
 @book.add("same_diff_cosine", f"""with e as (select vec_id, label, vec_id // 10 as s, e from {_E}), p as (select case when a.label = b.label then 'same' else 'different' end as kind, {_COSINE.format(a='a.e', b='b.e')} as c from e a join e b on a.vec_id < b.vec_id where (a.label = b.label and a.s <> b.s) or (a.label <> b.label and a.s = b.s))
- select kind, count(*) as n, avg(c) as mean, min(c) as lo, max(c) as hi from p group by 1""")
+ select kind, 'all' as pair, count(*) as n, avg(c) as mean, min(c) as lo, max(c) as hi from p group by 1 union all
+ select 'pair', pair, count(*), avg(c), null, null from (select least(a.label, b.label) || '|' || greatest(a.label, b.label) as pair, {_COSINE.format(a='a.e', b='b.e')} as c from e a join e b on a.s = b.s and a.label < b.label) group by 2""")
 def same_diff_cosine(spark, d):
     e = table(spark, d, "embeddings").withColumn("s", F.expr("vec_id div 10"))
     return V.pair_cosines(e, "vec_id", "label", "s", "embedding")

@@ -184,15 +184,28 @@ def stream_rate_limit(spark, d):
     return J.run(J.rate_limit(J.events(spark, d), "user_id", 3, 86_400.0), "append")
 
 
-@book.add("late_data_policy")
+_PARTS = 6
+
+
+def _part():
+    return F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 4), 16, 10).cast("int") % _PARTS
+
+
+@book.add("late_data_policy", f"""with p as (select *, cast('0x' || substr(md5(event_id::varchar), 1, 4) as int) % {_PARTS} as batch from events), m as (select batch, max(ts) as top from p group by 1),
+ w as (select batch, max(top) over (order by batch rows between unbounded preceding and 1 preceding) as until from m) select event_id, user_id, value, batch::bigint as batch, coalesce(ts < until - interval 5 day, false) as late from p join w using (batch)""")
 def late_data_policy(spark, d):
+    """Events in an order that has nothing to do with their times, a file a batch; the query is stopped after three and started again."""
     from vocalith.plans.scratch import new_path
 
-    out, state = new_path(spark, "kept"), new_path(spark, "progress")
-    take, _ = J.late_counter("1 day")
-    stream = J.events(spark, d)
-    stream.writeStream.foreachBatch(lambda df, n: take(df, n, lambda kept: kept.write.mode("append").parquet(out))).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    source, out, state = (new_path(spark, x) for x in ("shuffled", "late", "progress"))
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = "event_id long, ts timestamp, user_id long, value double"
+    ledger = J.LateLedger(spark, out, "5 days")
+    for k in range(_PARTS):
+        events.where(_part() == k).select("event_id", "ts", "user_id", "value").coalesce(1).write.mode("append").parquet(source)
+        if k in (2, _PARTS - 1):
+            J.run_late(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), ledger, state)
+    return ledger.rows(f"{schema}, late boolean, batch long").select("event_id", "user_id", "value", "batch", "late")
 
 
 _SEG = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"

@@ -19,6 +19,9 @@ _MANIFEST = {
     "style": "case when doc_id % 3 = 0 then 'calm' else '' end",
     "label_source": "'model'",
     "rights_id": "source",
+    "role": "'  '",
+    "audio_sha256": "md5(text)",
+    "rejected": "case when doc_id % 3 = 0 then ' YES ' when doc_id % 3 = 1 then 'no' else '1' end",
 }
 
 
@@ -29,13 +32,14 @@ def _sql(columns: dict[str, str]) -> str:
 @book.add(
     "read_manifest",
     f"""with m as (select {_sql(_MANIFEST)} from documents),
-    n as (select audio, nullif(trim(text), '') as text, nullif(trim(speaker_id), '') as speaker_id, language, emotion, nullif(trim(style), '') as style, label_source, rights_id from m)
-    select * from n where text is not null and speaker_id is not null""",
+    n as (select null::varchar as id, '/clips/' || audio as audio, nullif(trim(text), '') as text, nullif(trim(speaker_id), '') as speaker_id, language, emotion, nullif(trim(style), '') as style, nullif(trim(role), '') as role, label_source, rights_id,
+      audio_sha256, lower(trim(rejected)) in ('1', 'true', 'yes') as rejected, null::varchar as reject_reason, null::varchar as verified_by, null::varchar as verified_at from m)
+    select * replace (substr(sha1(speaker_id || '/' || audio), 1, 12) as id) from n where text is not null and speaker_id is not null""",
 )
 def read_manifest(spark, d):
     path = new_path(spark, "manifest")
     table(spark, d, "documents").selectExpr(*[f"{v} as {k}" for k, v in _MANIFEST.items()]).write.json(path)
-    return M.read_manifest(spark, path, "json")[0]
+    return M.read_manifest(spark, path, "json", "/clips/")[0]
 
 
 @book.add(
@@ -185,11 +189,13 @@ def annotation_merge(spark, d):
     return M.merge_annotations(docs, edit.union(old))
 
 
-@book.add("pinned_corpus")
+#: Pinned: rows and checksum of ``region``, which is the same at every scale.
+PIN = (5, 7370162031071439404)
+
+
+@book.add("pinned_corpus", "select * from region")
 def pinned_corpus(spark, d):
-    rows = table(spark, d, "benchmark")
-    found = M.fingerprint(rows).first()
-    return M.pinned(rows, ["item_id", "text"], found["n"], int(found["checksum"]))
+    return M.pinned(table(spark, d, "region"), ["r_regionkey", "r_name"], *PIN)
 
 
 @book.add(

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-FIELDS = ["audio", "text", "speaker_id", "language", "emotion", "style", "label_source", "rights_id"]
+FIELDS = ["id", "audio", "text", "speaker_id", "language", "emotion", "style", "role", "label_source", "rights_id", "audio_sha256", "rejected", "reject_reason", "verified_by", "verified_at"]
 REQUIRED = ["audio", "text", "speaker_id", "language"]
 
 
-def read_manifest(spark: SparkSession, path: str, fmt: str) -> tuple[DataFrame, DataFrame]:
-    """CSV or JSON lines in the fixed schema: fields trimmed, empty ones null. Returns complete rows, and rows that lack a
-    required field with their names in ``missing``."""
+def read_manifest(spark: SparkSession, path: str, fmt: str, base: str = "") -> tuple[DataFrame, DataFrame]:
+    """CSV or JSON lines in the fixed schema: fields trimmed, empty ones null, ``rejected`` true for 1, true and yes in any case, relative audio
+    paths below ``base``, and an id from speaker and audio where there is none. Returns complete rows, and rows that lack a required field with
+    their names in ``missing``."""
     reader = spark.read.schema(", ".join(f"{f} string" for f in FIELDS))
-    raw = reader.option("header", True).option("escape", '"').option("multiLine", True).csv(path) if fmt == "csv" else reader.json(path)
+    raw = reader.option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", True).csv(path) if fmt == "csv" else reader.json(path)
     clean = raw.select(*[F.nullif(F.trim(f), F.lit("")).alias(f) for f in FIELDS])
+    whole = F.when(F.col("audio").startswith("/") | F.lit(not base), F.col("audio")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), "audio"))
+    clean = clean.withColumns({"audio": whole, "rejected": F.coalesce(F.lower("rejected").isin("1", "true", "yes"), F.lit(False))})
+    clean = clean.withColumn("id", F.coalesce("id", F.substring(F.sha1(F.concat_ws("/", "speaker_id", "audio")), 1, 12)))
     missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in REQUIRED]))
     marked = clean.withColumn("missing", missing)
     return marked.where("size(missing) = 0").drop("missing"), marked.where("size(missing) > 0")

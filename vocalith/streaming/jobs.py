@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -186,23 +186,43 @@ def rate_limit(rows: DataFrame, key: str, limit: int, window: float) -> DataFram
 
 def split_late(rows: DataFrame, seen_until: Column, late: str) -> DataFrame:
     """``rows`` with ``late``: whether a row is older than the watermark that its batch began with; late rows are counted, not lost."""
-    return rows.withColumn("late", F.col("ts") < seen_until - F.expr(f"interval {late}"))
+    return rows.withColumn("late", F.coalesce(F.col("ts") < seen_until - F.expr(f"interval {late}"), F.lit(False)))
 
 
-def late_counter(late: str) -> tuple[Callable, list]:
-    """A ``foreachBatch`` function that keeps rows within the watermark and counts the late ones by batch, and its counts."""
-    seen: dict = {"until": None}
-    counts: list = []
+class LateLedger:
+    """A ``foreachBatch`` function that marks late rows and keeps its watermark and counts in a written table, a row a batch.
+
+    A batch begins with the greatest time of the batches before it in that table, so a query that is started again goes on where it was. Rows and
+    counts of a batch are written in a folder of its own that a second run of the batch replaces: each counts once.
+    """
+
+    COUNTS = "n long, n_late long, until timestamp, batch long"
+
+    def __init__(self, spark: SparkSession, path: str, late: str):
+        self.spark, self.path, self.late = spark, path, late
+
+    def counts(self) -> DataFrame:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return self.spark.read.schema(self.COUNTS).option("recursiveFileLookup", True).parquet(f"{self.path}/counts")
+        except AnalysisException:  # no batch yet
+            return self.spark.createDataFrame([], self.COUNTS)
+
+    def rows(self, schema) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.path}/rows")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        until = self.counts().where(F.col("batch") < number).agg(F.max("until")).first()[0]
+        out = f"{self.path}/rows/batch-{number}"
+        split_late(batch, F.lit(until).cast("timestamp"), self.late).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(out)
+        done = self.spark.read.parquet(out)
+        done.agg(F.count("*").alias("n"), F.count_if("late").alias("n_late"), F.max("ts").alias("until"), F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.path}/counts/batch-{number}")
 
-    def take(batch: DataFrame, number: int, sink: Callable[[DataFrame], None]) -> None:
-        until = seen["until"]
-        marked = split_late(batch, F.lit(until), late) if until else batch.withColumn("late", F.lit(False))
-        sink(marked.where("not late").drop("late"))
-        last = marked.agg(F.max("ts").alias("top"), F.count_if("late").alias("n")).first()
-        counts.append((number, last["n"]))
-        seen["until"] = max(x for x in (until, last["top"]) if x is not None) if last["top"] or until else None
 
-    return take, counts
+def run_late(stream: DataFrame, ledger: LateLedger, state: str) -> None:
+    """Take all that is there, and remember in ``state`` how far that was."""
+    stream.writeStream.foreachBatch(ledger).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_latest(stream: DataFrame, key: str = "key") -> DataFrame:
