@@ -134,7 +134,7 @@ def phrase_repeat_rate(spark, d):
     return D.repeat_rate(table(spark, d, "conversations"), "role", "text")
 
 
-@book.add("leak_groups")
+@book.add("leak_groups", f"select doc_id as id, min(doc_id) over (partition by {KEY_SQL}) as grp from documents")
 def leak_groups(spark, d):
     return S.leak_groups(keyed(spark, d), "key", "sha").select("id", "grp")
 

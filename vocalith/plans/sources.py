@@ -67,7 +67,7 @@ def ingest_mapped(spark, d):
     return M.mapped(rows, {"audio": "d{doc_id}", "text": "text", "speaker_id": "spk_{gender}_x", "language": "=indic"}, lower=("gender",))
 
 
-@book.add("source_row_id")
+@book.add("source_row_id", "select doc_id, 'documents:' || r as source_id, 'documents_' || lpad(r::varchar, 6, '0') as clip_id from (select doc_id, row_number() over () - 1 as r from documents)")
 def source_row_id(spark, d):
     return M.source_rows(spark, f"{d}/documents.parquet").select("doc_id", "source_id", "clip_id")
 
