@@ -86,6 +86,14 @@ def test_other_columns_keep_their_values(spark, odd, name):
         assert all(r[c] == (CLASH.get(c) or f"{c}!") for c in clash.columns[5:])
 
 
+def test_redact_keeps_clashing_columns(spark):
+    rows = [(1, "mail a.b@example.org now"), (2, None), (3, ""), (1, "mail a.b@example.org now")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_spans": F.lit("keep"), "spans": F.lit("too")})
+    got = pii.redact(d)
+    assert got.columns == d.columns and sorted(map(tuple, got.collect())) == sorted([(1, "mail <email> now", "keep", "too"), (2, None, "keep", "too"), (3, "", "keep", "too"), (1, "mail <email> now", "keep", "too")])
+    assert pii.redact(d.where("false")).count() == 0
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SMALL)
     rows = out.collect()

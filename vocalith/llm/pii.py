@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vocalith.llm.native import let, sums_before
+from vocalith.llm.native import let, sums_before, unused
 
 #: Characters before a span that can hold a context word.
 CONTEXT = 48
@@ -104,8 +104,13 @@ def spans(documents: DataFrame, text_col: str = "text", out: str = "spans") -> D
 
 
 def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """``documents`` with every span replaced by its kind in angle brackets; of overlapping spans the earlier one counts."""
-    found = spans(documents, text_col, "_spans")
+    """``documents`` with every span replaced by its kind in angle brackets; of overlapping spans the earlier one counts.
+
+    Null and empty texts stay as they are, equal texts become equal, an empty table gives an empty one, and long texts are searched whole. All other columns
+    pass through, whatever their names.
+    """
+    name = unused("_spans", documents.columns)
+    found = spans(documents, text_col, name)
 
     def rebuilt(s: Column) -> Column:
         start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
@@ -117,8 +122,8 @@ def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
         return F.aggregate(s, start, step, lambda acc: F.concat(acc["done"], F.substr(F.col(text_col), acc["at"].cast("int") + 1)))
 
-    by_place = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("far"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, let(by_place, rebuilt)).otherwise(F.col(text_col))).select(*documents.columns)
+    by_place = F.array_sort(F.transform(name, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("far"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    return found.withColumn(text_col, F.when(F.size(name) > 0, let(by_place, rebuilt)).otherwise(F.col(text_col))).select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
