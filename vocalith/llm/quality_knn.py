@@ -99,8 +99,9 @@ def fit(documents: DataFrame, labels: DataFrame, text_col: str = "text", label:
 def score(documents: DataFrame, space: Space | None, text_col: str = "text", out: str = "score") -> DataFrame:
     """``documents`` with ``out``, the weighted share of votes for label 1, between 0 and 1; 0.5 without any labelled row.
 
-    Null and empty texts are compared by their length class. Equal texts score equally. Other columns pass through, and
-    ``out`` replaces a column of that name. Memory is bounded by ``BLOCK`` rows at a time, however long their texts.
+    Null and empty texts are compared by their length class. Equal and repeated texts score alike to 2e-7, which batches of other sizes can
+    change; which of equally near neighbours votes is not defined. Other columns pass through, and ``out`` replaces a column of
+    that name. Memory is bounded by ``BLOCK`` rows at a time, however long their texts. An empty table gives an empty one.
     """
     if space is None:
         return documents.withColumn(out, F.lit(0.5))

@@ -133,7 +133,8 @@ def components(prints: DataFrame, distance: int = 2) -> DataFrame:
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
     """``documents`` with one row of each component: the one with its smallest id, then with the smallest hash of its text.
 
-    Columns, rows and texts are otherwise as they came. Null ids come last in a component; of repeated equal rows one stays.
+    Columns, rows and texts are otherwise as they came, whatever the columns' names. Null, empty and blank texts are copies of each other, long
+    texts are read whole. Null ids come last in a component; of repeated equal rows one stays. An empty table gives an empty one.
     """
     keys = documents.select(F.col(id_col).alias("id"), fingerprint_column(text_col, words).alias("fp"), F.xxhash64(text_col).alias("tie"))
     prints = materialize(keys, "prints")
