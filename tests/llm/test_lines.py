@@ -120,3 +120,31 @@ def test_decisions_on_the_whole_table_equal_brute_force(spark):
             w[4].append(k)
     got = {r.doc_id: [r.n_lines, r.n_linked, r.n_removed, r.n_near, r.removed] for r in line_dedup.decide(table).collect()}
     assert got == want
+
+
+def sessions(n, seed=5):
+    rng = random.Random(seed)
+    return [f"2024-05-01 INFO gateway: session {rng.getrandbits(64):016x} was opened by the scheduler" for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [1_000, 2_000])
+def test_lines_of_one_template_meet_rarely(spark, n):
+    """Alike but for a random number, so not linked: of all pairs next to none share a key."""
+    lines = spark.createDataFrame([(1, x, 64, False) for x in sessions(n)], "file long, line string, least int, done boolean")
+    keys = line_dedup._parted(lines, 2).dropDuplicates(["line", "part"]).groupBy("part").count()
+    assert keys.select(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] < n / 10
+
+
+def test_links_within_one_template_are_found(spark):
+    """Two edits anywhere, in the template or in the number, and lines of few different grams."""
+    random.seed(13)
+    lines = sessions(120)
+    for x in lines[:60]:
+        t = list(x)
+        for _ in range(2):
+            k = random.randrange(len(t))
+            t[k : k + random.randrange(2)] = random.choice(["", "q", "ü"])
+        lines.append("".join(t))
+    lines += ["ab" * 10 + "".join(random.choice("abc") for _ in range(6)) for _ in range(90)]
+    want = several(brute_classes(lines))
+    assert own_classes(spark, lines) == want and len(want) > 40

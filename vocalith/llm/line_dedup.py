@@ -14,8 +14,13 @@ Lines of a file compare counts of letters, then their texts, inside the join: wh
 bisection, and the middles go through Hyyro's banded bit-parallel edit distance, one word of bits a column. Only links
 leave the join. A file with more than ``DENSE`` lines (a family of near copies) does not meet pair by pair: each line is
 held against two members that are drawn by hash. Lines that are then in one class with most of the file are done. The others
-meet every line of other classes of that file that agrees in two parts of its letters, of two more than the edits can change
-(two each). So no link between classes is lost, and a family of n gives about n rows.
+meet every line of other classes of that file that has two grams (``GRAM`` code points in a row) in common with it among the
+rarest of both. An edit changes ``GRAM`` grams at most, so for e edits two of the rarest ``GRAM`` * e + 2 of each line are
+among those of the other, in any order of rarity; that order is taken from a table of hashed counts over the lines that are
+not done. What a template says is in all of its lines, so they meet by what differs: no link between classes is lost, a
+linked family of n gives about n rows, and n lines alike but for sixteen random hexadecimal digits meet in a millionth of their pairs. Lines
+with fewer different grams (repeated letters, eight code points) meet by two parts of their letters, of two more than the
+edits can change (two each).
 
 Lines are compared without the white space around them; blank lines are left alone.
 """
@@ -40,6 +45,8 @@ DENSE = 32
 BROADCAST_FILES = 2_000_000
 #: Letters that are counted, modulo 256, to compare lines before their texts are.
 LETTERS = "etnoairs"
+#: Code points of a gram, and hashed counts of grams: their table has this many numbers whatever the input.
+GRAM, SLOTS = 4, 1 << 18
 
 
 def _letters(line: Column) -> Column:
@@ -89,7 +96,7 @@ def _files(lines: DataFrame, threshold: int) -> DataFrame:
     """``lines`` (line, size and more) by ``file``: those of their class, and of that of the shortest line they can link to."""
     own, lower = _class(F.col("size")), _class(F.col("size") - allowed(F.col("size"), threshold))
     by_class = lines.select("*", F.explode(F.when(own == lower, F.array(own)).otherwise(F.array(own, lower))).alias("least"))
-    return by_class.select(*lines.columns, F.explode(_filed(F.col("least"), F.col("size"), threshold)).alias("file"))
+    return by_class.select(*lines.columns, "least", F.explode(_filed(F.col("least"), F.col("size"), threshold)).alias("file"))
 
 
 def _common(a: Column, b: Column, most: Column, take) -> Column:
@@ -195,6 +202,36 @@ def _parts(line: Column, threshold: int) -> Column:
     return let(sums, lambda s: F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.get(s, F.lit(i)), F.get(s, F.lit(j))) for i, j in combinations(range(n), 2)]))
 
 
+def _grams(line: Column) -> Column:
+    """Hashes of the different grams of a line."""
+    places = lambda c: F.sequence(F.lit(1), F.size(c) - GRAM + 1)
+    return let(F.split(line, ""), lambda c: F.array_distinct(F.transform(places(c), lambda k: F.xxhash64(F.slice(c, k, GRAM)))))
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(gram, F.lit(SLOTS)).cast("int")
+
+
+def _rare_pairs(line: Column, counts: Column, edits: Column, threshold: int) -> Column:
+    """Keys that linked lines of a file share one of: each pair of the rarest grams, and ``_parts`` where grams are too few."""
+    enough = edits * GRAM + 2
+    ranked = F.array_sort(F.transform(_grams(line), lambda h: F.struct(F.get(counts, _slot(h)).alias("n"), h.alias("h"))))
+    rarest = F.array_sort(F.transform(F.slice(ranked, F.lit(1), enough), lambda x: x["h"]))
+    after = lambda r, x, k: F.transform(F.slice(r, k + 2, F.size(r)), lambda y: F.xxhash64(x, y))
+    pairs = lambda r: F.flatten(F.transform(r, lambda x, k: after(r, x, k)))
+    return let(rarest, lambda r: F.when(F.size(r) < enough, F.concat(pairs(r), _parts(line, threshold))).otherwise(pairs(r)))
+
+
+def _parted(named: DataFrame, threshold: int) -> DataFrame:
+    """``named`` by ``part``: lines of a file that link, one of them not ``done``, have one in common."""
+    grams = named.where("not done").select(F.explode(_grams(F.col("line"))).alias("gram")).select(_slot(F.col("gram")).alias("slot"), F.lit(1).alias("one"))
+    all_slots = named.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(0).alias("one"))
+    counts = grams.union(all_slots).groupBy("slot").agg(F.sum("one").alias("n"))
+    table = counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("counts"))
+    keys = _rare_pairs(F.col("line"), F.col("counts"), allowed(F.col("least"), threshold), threshold)
+    return named.crossJoin(F.broadcast(table)).select(*named.columns, F.explode(keys).alias("part"))  # a table of one row
+
+
 def classes(edges: DataFrame) -> DataFrame:
     """``key`` (h, g) of every line of ``edges`` (ah, ag, bh, bg) and ``root``, a number of its class."""
     end = lambda x: F.struct(F.col(f"{x}h").alias("h"), F.col(f"{x}g").alias("g"))
@@ -223,7 +260,7 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     else:
         keys = filed.select("file", "key").join(shared, "file", "left_semi").select("key").distinct()
         some = _files(known.join(keys, "key"), threshold).join(shared, "file")
-    some = materialize(some.select("file", "key", "line", "size").distinct().withColumn("letters", _letters(F.col("line"))), "met")
+    some = materialize(some.select("file", "least", "key", "line", "size").distinct().withColumn("letters", _letters(F.col("line"))), "met")
     crowd = some.groupBy("file").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "key").alias("at"), "key", "line", "size", "letters")).alias(f"p{k}") for k in (0, 1)])
     crowd = materialize(crowd.where("n > 1"), "crowd")
     few = some.join(crowd.where(F.col("n") <= DENSE).select("file"), "file")
@@ -239,7 +276,8 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     main = named.where("root is not null").groupBy("file", "root").count().groupBy("file").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     named = named.join(main, "file", "left").withColumn("done", F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
     open_ = named.where("not done").select("file").distinct()
-    named = materialize(named.join(open_, "file").withColumn("part", F.explode(_parts(F.col("line"), threshold))), "open")
+    named = materialize(named.join(open_, "file"), "open")
+    named = materialize(_parted(named, threshold), "parts", named)
     a, b = named.where("not done").alias("a"), named.alias("b")
     other = (F.col("a.root").isNull() | F.col("b.root").isNull() | (F.col("a.root") != F.col("b.root"))) & (F.col("b.done") | (F.col("a.key") < F.col("b.key")))
     rest = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.part") == F.col("b.part")) & other & _linked("a", "b", threshold))
