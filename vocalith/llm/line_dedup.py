@@ -18,7 +18,7 @@ meet every line of other classes of that file that has two grams (``GRAM`` code
 rarest of both. An edit changes ``GRAM`` grams at most, so for e edits two of the rarest ``GRAM`` * e + 2 of each line are
 among those of the other, in any order of rarity; that order is taken from a table of hashed counts over the lines that are
 not done. What a template says is in all of its lines, so they meet by what differs: no link between classes is lost, a
-linked family of n gives about n rows, and n lines alike but for sixteen random hexadecimal digits meet in a millionth of their pairs. Lines
+linked family of n gives about n rows, and n lines alike but for sixteen random hexadecimal digits meet in some 4 of 100,000 pairs. Lines
 with fewer different grams (repeated letters, eight code points) meet by two parts of their letters, of two more than the
 edits can change (two each).
 
@@ -45,8 +45,8 @@ DENSE = 32
 BROADCAST_FILES = 2_000_000
 #: Letters that are counted, modulo 256, to compare lines before their texts are.
 LETTERS = "etnoairs"
-#: Code points of a gram, and hashed counts of grams: their table has this many numbers whatever the input.
-GRAM, SLOTS = 4, 1 << 18
+#: Code points of a gram, and hashed counts of grams: their table has this many bytes whatever the input.
+GRAM, SLOTS = 4, 1 << 16
 
 
 def _letters(line: Column) -> Column:
@@ -223,13 +223,21 @@ def _rare_pairs(line: Column, counts: Column, edits: Column, threshold: int) ->
 
 
 def _parted(named: DataFrame, threshold: int) -> DataFrame:
-    """``named`` by ``part``: lines of a file that link, one of them not ``done``, have one in common."""
-    grams = named.where("not done").select(F.explode(_grams(F.col("line"))).alias("gram")).select(_slot(F.col("gram")).alias("slot"), F.lit(1).alias("one"))
+    """``named`` by ``part``: lines of a file that link, one of them not ``done``, have one in common.
+
+    No array that is exploded is empty; without ``_outer``, Spark would compute each once more to filter by its size.
+    """
+    same = ["line", *[c for c in ("size", "letters") if c in named.columns]]
+    own = F.struct(*[c for c in named.columns if c not in ("least", "key", *same)])
+    once = named.groupBy("least", "key").agg(*[F.first(c).alias(c) for c in same], F.collect_list(own).alias("held"))  # a line has few files
+    open_ = once.where(F.exists("held", lambda x: ~x["done"]))
+    grams = open_.select(F.explode_outer(_grams(F.col("line"))).alias("gram")).select(_slot(F.col("gram")).alias("slot"), F.lit(1).alias("one"))
     all_slots = named.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(0).alias("one"))
-    counts = grams.union(all_slots).groupBy("slot").agg(F.sum("one").alias("n"))
+    counts = grams.union(all_slots).groupBy("slot").agg(F.least(F.lit(127), 3 * F.log2(F.sum("one") + 1)).cast("byte").alias("n"))
     table = counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("counts"))
     keys = _rare_pairs(F.col("line"), F.col("counts"), allowed(F.col("least"), threshold), threshold)
-    return named.crossJoin(F.broadcast(table)).select(*named.columns, F.explode(keys).alias("part"))  # a table of one row
+    parted = once.crossJoin(F.broadcast(table)).select("least", "key", *same, "held", keys.alias("parts"))  # a table of one row
+    return parted.select("least", "key", *same, "parts", F.inline_outer("held")).select(*named.columns, F.explode_outer("parts").alias("part"))
 
 
 def classes(edges: DataFrame) -> DataFrame:
