@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -86,11 +88,27 @@ def _drawn(seed: int, *parts: Column) -> Column:
     return F.conv(F.substr(F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])), F.lit(1), F.lit(7)), 16, 10).cast("long")
 
 
+#: Draws that one task makes.
+DRAWS = 1_000_000
+
+
+def draws(placed: DataFrame, b: int, seed: int, *by: str) -> DataFrame:
+    """``b`` resamples of ``placed`` (k, n and ``by``), a written table: draw j of resample b takes row k = md5(seed|b|j) mod n."""
+    each = placed.select(*by, F.col("k").alias("j"), "n").repartition(max(1, math.ceil(placed.count() * b / DRAWS)))
+    many = each.select(*by, "j", "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
+    return many.select(*by, "b", "j", (_drawn(seed, F.col("b"), F.col("j")) % F.col("n")).alias("k"))
+
+
+def met_draws(drawn: DataFrame, placed: DataFrame, *on: str) -> DataFrame:
+    """``drawn`` with the row that each draw took. Spark takes the size of draws from before they are multiplied and would broadcast them;
+    both sides are shuffled instead, and a task holds its share of ``placed``, a row a key."""
+    return drawn.join(placed.hint("shuffle_hash"), list(on))
+
+
 def resamples(rows: DataFrame, value: str, order: str, b: int, seed: int = 0) -> DataFrame:
     """Means of ``b`` resamples of rows with replacement: (b, mean). Draw j of resample b takes row md5(seed|b|j) mod n."""
-    placed = ordinals(rows.select(order, value), order).select("k", "n", value)
-    draws = placed.select(F.col("k").alias("j"), "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b")).select("b", (_drawn(seed, F.col("b"), F.col("j")) % F.col("n")).alias("k"))
-    return draws.join(placed.select("k", value), "k").groupBy("b").agg(F.avg(value).alias("mean"))
+    placed = materialize(ordinals(rows.select(order, value), order).select("k", "n", value), "placed")
+    return met_draws(draws(placed, b, seed), placed.select("k", value), "k").groupBy("b").agg(F.avg(value).alias("mean"))
 
 
 def poisson_resamples(rows: DataFrame, value: str, id_col: str, b: int, seed: int = 0) -> DataFrame:
@@ -115,10 +133,9 @@ def interval(means: DataFrame, mean: Column | None = None) -> DataFrame:
 def two_level(rows: DataFrame, sentence: str, repeat: str, value: str, b: int, seed: int = 0) -> DataFrame:
     """Means of resamples of sentences, then of one repeat inside each drawn sentence: (b, mean). Repeats are 0, 1, ..."""
     sizes = rows.groupBy(sentence).agg(F.count("*").alias("r"))
-    placed = ordinals(sizes, sentence)
-    draws = placed.select(F.col("k").alias("j"), "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b")).select("b", "j", (_drawn(seed, F.col("b"), F.col("j")) % F.col("n")).alias("k"))
-    inner = draws.join(placed.select("k", sentence, "r"), "k").select("b", sentence, (_drawn(seed + 1, F.col("b"), F.col("j")) % F.col("r")).alias(repeat))
-    return inner.join(rows.select(sentence, F.col(repeat).cast("long").alias(repeat), value), [sentence, repeat]).groupBy("b").agg(F.avg(value).alias("mean"))
+    placed = materialize(ordinals(sizes, sentence), "placed")
+    inner = met_draws(draws(placed, b, seed), placed.select("k", sentence, "r"), "k").select("b", sentence, (_drawn(seed + 1, F.col("b"), F.col("j")) % F.col("r")).alias(repeat))
+    return inner.hint("merge").join(rows.select(sentence, F.col(repeat).cast("long").alias(repeat), value), [sentence, repeat]).groupBy("b").agg(F.avg(value).alias("mean"))
 
 
 def repeat_noise(rows: DataFrame, sentence: str, repeat: str, value: str) -> DataFrame:
@@ -135,9 +152,8 @@ def paired_delta(rows: DataFrame, system: str, sentence: str, value: str, base:
     a = means.where(F.col(system) == base).select(sentence, F.col("v").alias("w"))
     diff = means.where(F.col(system) != base).join(a, sentence).select(system, sentence, (F.col("v") - F.col("w")).alias("d"))
     w = Window.partitionBy(system)
-    placed = diff.withColumns({"k": F.row_number().over(w.orderBy(sentence)) - 1, "n": F.count("*").over(w)}).where(F.col("n") >= least)
-    draws = placed.select(system, F.col("k").alias("j"), "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b")).select(system, "b", (_drawn(seed, F.col("b"), F.col("j")) % F.col("n")).alias("k"))
-    boot = draws.join(placed.select(system, "k", "d"), [system, "k"]).groupBy(system, "b").agg(F.avg("d").alias("mean"))
+    placed = materialize(diff.withColumns({"k": F.row_number().over(w.orderBy(sentence)) - 1, "n": F.count("*").over(w)}).where(F.col("n") >= least), "placed")
+    boot = met_draws(draws(placed, b, seed, system), placed.select(system, "k", "d"), system, "k").groupBy(system, "b").agg(F.avg("d").alias("mean"))
     ci = boot.groupBy(system).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     point = placed.groupBy(system).agg(F.count("*").alias("n"), F.avg("d").alias("delta"))
     lo, hi = F.get("p", F.lit(0)), F.get("p", F.lit(1))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vocalith.operators.evaluation import _drawn
+from vocalith.operators.evaluation import draws, met_draws
+from vocalith.plans.scratch import materialize
 
 
 def token(seed: int, *parts: str) -> Column:
@@ -82,9 +83,8 @@ def rating_means(ratings: DataFrame, b: int, seed: int = 0) -> DataFrame:
     """Per dimension and system: mean, and an interval that resamples items (ratio of sums). ``ratings``: item, system, dim, value."""
     by_item = ratings.groupBy("system", "dim", "item").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
     w = Window.partitionBy("system", "dim")
-    placed = by_item.withColumns({"k": F.row_number().over(w.orderBy("item")) - 1, "n": F.count("*").over(w)})
-    draws = placed.select("system", "dim", F.col("k").alias("j"), "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b")).select("system", "dim", "b", (_drawn(seed, F.col("b"), F.col("j")) % F.col("n")).alias("k"))
-    boot = draws.join(placed.select("system", "dim", "k", "s", "c"), ["system", "dim", "k"]).groupBy("system", "dim", "b").agg((F.sum("s") / F.sum("c")).alias("m"))
+    placed = materialize(by_item.withColumns({"k": F.row_number().over(w.orderBy("item")) - 1, "n": F.count("*").over(w)}), "placed")
+    boot = met_draws(draws(placed, b, seed, "system", "dim"), placed.select("system", "dim", "k", "s", "c"), "system", "dim", "k").groupBy("system", "dim", "b").agg((F.sum("s") / F.sum("c")).alias("m"))
     ci = boot.groupBy("system", "dim").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     mean = by_item.groupBy("system", "dim").agg((F.sum("s") / F.sum("c")).alias("mean"), F.count("*").alias("n_items"))
     return mean.join(ci, ["system", "dim"]).select("system", "dim", "mean", "n_items", F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi"))
