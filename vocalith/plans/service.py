@@ -160,7 +160,7 @@ def stream_counters(spark, d):
 
 @book.add("stream_ttfa_quantiles", "select date_trunc('day', ts)::timestamp as start, count(*) as n, v[ceil(0.5 * count(*))::bigint] as p50, v[ceil(0.95 * count(*))::bigint] as p95, v[ceil(0.99 * count(*))::bigint] as p99 from (select ts, value, null as v from events) group by 1".replace("v[", "list_sort(list(value))["))
 def stream_ttfa_quantiles(spark, d):
-    return J.run(J.quantiles(J.events(spark, d)), "complete")
+    return J.quantiles(J.run(J.value_counts(J.events(spark, d)), "complete"))
 
 
 @book.add("stream_last_values")
