@@ -60,11 +60,16 @@ def seams(rows: DataFrame, stream: str, lead: str, trail: str, arrival: str, len
     return each.groupBy(stream).agg(F.max("_gap").alias("max_gap"), F.avg("_gap").alias("mean_gap"), F.coalesce(F.max("_stall"), F.lit(0.0)).alias("max_stall"), (F.max(level) - F.min(level)).alias("spread"))
 
 
-def capacity(rows: DataFrame, engine: str, level: str, compute: str, e2e: str, wait: str, audio: str, failed: str) -> DataFrame:
+def capacity(rows: DataFrame, engine: str, level: str, compute: str, e2e: str, wait: str, audio: str, failed: str, order: str) -> DataFrame:
     """Per engine and number of streams: real-time factors, waits, throughput and whether it is real time; the ladder ends at
-    the first saturated rung (a failure, or a factor above 3)."""
-    each = rows.groupBy(engine, level).agg(
-        (F.sum(compute) / F.sum(audio)).alias("compute_rtf"), F.avg(e2e).alias("mean_rtf"), F.percentile(wait, F.lit(0.95)).alias("wait_p95"), F.sum(audio).alias("audio"), F.count_if(failed).alias("failures"))
+    the first saturated rung (a failure, or a factor above 3).
+
+    A factor is a mean of doubles that is held to bounds, so the order of its sum decides those that equal one: it is summed by ``order``, one row
+    after the other, in a window that may spill, whatever the partitions.
+    """
+    upto = Window.partitionBy(engine, level).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = rows.withColumn("_mean", F.avg(e2e).over(upto)).groupBy(engine, level).agg(
+        (F.sum(compute) / F.sum(audio)).alias("compute_rtf"), F.max_by("_mean", order).alias("mean_rtf"), F.percentile(wait, F.lit(0.95)).alias("wait_p95"), F.sum(audio).alias("audio"), F.count_if(failed).alias("failures"))
     full = (F.col("failures") > 0) | (F.col("mean_rtf") > 3)
     before = F.max(full).over(Window.partitionBy(engine).orderBy(level).rowsBetween(Window.unboundedPreceding, -1))
     out = each.withColumn("_past", F.coalesce(before, F.lit(False))).where(~F.col("_past")).drop("_past")

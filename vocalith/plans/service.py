@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vocalith.operators import corpus as C, service as S
 from vocalith.plans.base import Book, table
+from vocalith.sources import manifests as M
 from vocalith.streaming import jobs as J
 
 book = Book()
@@ -74,8 +75,8 @@ _LADDER = f"(select *, mean_rtf < 0.8 and failures = 0 as realtime from (select
 
 
 def ladder(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("engine"), F.col("l_quantity").cast("int").alias("level"), (F.col("l_tax") * 50).alias("compute"), (F.col("l_discount") * 9 + F.col("l_quantity") / 60).alias("e2e"), F.col("l_extendedprice").alias("wait"), (F.col("l_quantity") + 1).alias("audio"), (F.col("l_partkey") % 1999 == 0).alias("failed"))
-    return S.capacity(rows, "engine", "level", "compute", "e2e", "wait", "audio", "failed")
+    rows = M.numbered(spark, f"{d}/lineitem.parquet", "place").select("place", F.col("l_suppkey").alias("engine"), F.col("l_quantity").cast("int").alias("level"), (F.col("l_tax") * 50).alias("compute"), (F.col("l_discount") * 9 + F.col("l_quantity") / 60).alias("e2e"), F.col("l_extendedprice").alias("wait"), (F.col("l_quantity") + 1).alias("audio"), (F.col("l_partkey") % 1999 == 0).alias("failed"))
+    return S.capacity(rows, "engine", "level", "compute", "e2e", "wait", "audio", "failed", "place")
 
 
 @book.add("capacity_ladder", f"select engine, level, compute_rtf, mean_rtf, wait_p95, audio, failures, realtime from {_LADDER}")
