@@ -63,6 +63,16 @@ def nfc(text: Column) -> Column:
     return F.coalesce(composed(F.when(text.rlike(unstable()), text)), text)
 
 
+def nfc_all(texts: Column) -> Column:
+    """``nfc`` of each text of an array."""
+
+    @F.pandas_udf("array<string>")
+    def composed(s: pd.Series) -> pd.Series:
+        return s.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFC", t) for t in ts])
+
+    return F.coalesce(composed(F.when(F.exists(texts, lambda t: F.coalesce(t.rlike(unstable()), F.lit(False))), texts)), texts)
+
+
 def cer_clean(text: Column) -> Column:
     """Composed lower case, without nukta, candrabindu as anusvara; letters, marks and digits only, no spaces."""
     return F.regexp_replace(F.replace(F.replace(nfc(F.lower(text)), F.lit("़"), F.lit("")), F.lit("ँ"), F.lit("ं")), NOT_WORD, "")
@@ -73,11 +83,22 @@ def cer_clean_legacy(text: Column) -> Column:
     return F.regexp_replace(F.replace(nfc(F.lower(text)), F.lit("़"), F.lit("")), r"[^\p{L}\p{N}]", "")
 
 
+def _bare(text: Column) -> Column:
+    return F.replace(F.translate(text, *NUKTA_LETTERS), F.lit("़"), F.lit(""))
+
+
+def _folded(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.replace(text, F.lit("ँ"), F.lit("ं"))), r"[\p{P}\p{S}\p{Z}\p{C}]+", " "))
+
+
 def canon(text: Column) -> Column:
     """Composed lower case without nukta, candrabindu as anusvara; punctuation, symbols, separators and controls become one space."""
-    bare = F.replace(F.translate(text, *NUKTA_LETTERS), F.lit("़"), F.lit(""))
-    folded = F.lower(F.replace(nfc(bare), F.lit("ँ"), F.lit("ं")))
-    return F.trim(F.regexp_replace(folded, r"[\p{P}\p{S}\p{Z}\p{C}]+", " "))
+    return _folded(nfc(_bare(text)))
+
+
+def canon_all(texts: Column) -> Column:
+    """``canon`` of each text of an array."""
+    return F.transform(nfc_all(F.transform(texts, _bare)), _folded)
 
 
 def words(text: Column) -> Column:
@@ -91,11 +112,21 @@ def corpus_norm(text: Column) -> Column:
     return F.regexp_replace(text, r"[\s\x{964}.,?!]+", "")
 
 
+#: Distances up to which an edit distance is first sought: a band of the table costs its width, the whole table the square of the length.
+NEAR = (16, 64, 256)
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance: in narrow bands first, which near texts need only, in the whole table for texts that are far apart."""
+    found = lambda n: F.get(F.filter(F.array(F.levenshtein(a, b, n)), lambda d: d >= 0), F.lit(0))
+    return F.coalesce(*[found(n) for n in NEAR], F.levenshtein(a, b))
+
+
 def error_rate(ref: Column, hyp: Column) -> Column:
     """Edit distance over the reference's length; an empty reference is 0 against an empty text, else 1. Can exceed 1."""
-    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
+    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(edit_distance(ref, hyp) / F.length(ref))
 
 
 def bounded_error(ref: Column, hyp: Column) -> Column:
     """Edit distance over the reference's length, between 0 and 1."""
-    return F.least(F.lit(1.0), F.levenshtein(ref, hyp) / F.greatest(F.lit(1), F.length(ref)))
+    return F.least(F.lit(1.0), edit_distance(ref, hyp) / F.greatest(F.lit(1), F.length(ref)))

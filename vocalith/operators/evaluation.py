@@ -20,7 +20,7 @@ def token_distance(ref: Column, hyp: Column) -> Column:
     letters = "".join(chr(0x4E00 + k) for k in range(ALPHABET))
     known = F.array_distinct(F.concat(ref, hyp))
     spelled = lambda arr, k: F.array_join(F.transform(arr, lambda t: F.substr(F.lit(letters), F.array_position(k, t).cast("int"), F.lit(1))), "")
-    native = F.get(F.transform(F.array(known), lambda k: F.levenshtein(spelled(ref, k), spelled(hyp, k))), F.lit(0))
+    native = F.get(F.transform(F.array(known), lambda k: T.edit_distance(spelled(ref, k), spelled(hyp, k))), F.lit(0))
     return F.when(F.size(known) <= ALPHABET, native).otherwise(_long_distance(ref, hyp))
 
 
@@ -46,11 +46,40 @@ def token_error_rate(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(token_distance(ref, hyp) / F.size(ref))
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance by bits: a column of the table is two numbers of as many bits as ``a`` has letters."""
+    if a == b or not a or not b:
+        return 0 if a == b else len(a) + len(b)
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, found = full, 0, len(a)
+    for c in b:
+        same = places.get(c, 0)
+        steep, flat = same | down, ((same & up) + up) ^ up | same
+        more, less = down | full & ~(flat | up), up & flat
+        found += bool(more & last) - bool(less & last)
+        more, less = more << 1 | 1, less << 1
+        up, down = full & (less | ~(steep | more)), full & more & steep
+    return found
+
+
 def best_reference(rows: DataFrame, key: str, refs: str, hyps: str) -> DataFrame:
     """Per row the least bounded error over all references and hypothesis variants (arrays), and the first pair that has it."""
-    pairs = rows.select(key, F.posexplode(refs).alias("ref_pos", "ref"), hyps).select(key, "ref_pos", "ref", F.posexplode(hyps).alias("hyp_pos", "hyp"))
-    scored = pairs.withColumn("err", T.bounded_error(F.regexp_replace(T.canon(F.col("ref")), " ", ""), F.regexp_replace(T.canon(F.col("hyp")), " ", "")))
-    return scored.groupBy(key).agg(F.min_by(F.struct("err", "ref", "hyp"), F.struct("err", "ref_pos", "hyp_pos")).alias("b")).select(key, "b.err", "b.ref", "b.hyp")
+    @F.pandas_udf("struct<err:double,ref_pos:int,hyp_pos:int>")
+    def best(us: pd.Series, vs: pd.Series) -> pd.DataFrame:
+        out = []
+        for u, v in zip(us, vs, strict=True):
+            u, v = list(u), list(v)
+            err = {(x, y): 1.0 if x is None or y is None else min(1.0, edits(x, y) / max(1, len(x))) for x in set(u) for y in set(v)}
+            out.append(min((err[x, y], i, j) for i, x in enumerate(u) for j, y in enumerate(v)))
+        return pd.DataFrame(out, columns=["err", "ref_pos", "hyp_pos"])
+
+    bare = lambda c: F.transform(T.canon_all(F.col(c)), lambda t: F.replace(t, F.lit(" "), F.lit("")))
+    each = rows.where((F.size(refs) > 0) & (F.size(hyps) > 0)).select(key, refs, hyps, best(bare(refs), bare(hyps)).alias("s"))
+    texts = F.struct("s.err", F.get(refs, F.col("s.ref_pos")).alias("ref"), F.get(hyps, F.col("s.hyp_pos")).alias("hyp"))
+    return each.groupBy(key).agg(F.min_by(texts, "s").alias("b")).select(key, "b.err", "b.ref", "b.hyp")
 
 
 def keyword_hits(rows: DataFrame, key: str, text: str, wanted: str, stop: tuple[str, ...] = ()) -> DataFrame:

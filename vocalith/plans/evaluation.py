@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window, functions as F
 
 from vocalith.functions import text as T
@@ -19,12 +21,18 @@ _HEARD = "replace(replace(o, 'th', 't'), 'ou', case when turn % 2 = 0 then 'u' e
 _REF, _HYP = _BARE("t", r"\p{M}"), _BARE(_HEARD, r"\p{M}")
 
 
+#: Turns that one task compares.
+TURNS = 500
+
+
 def turns(spark, d):
     """Turns of conversations with some letters spelt in other scripts, and what a recogniser might make of them."""
     t = o = F.lower("text")
     for plain, one, other in SPELT:
         t, o = F.replace(t, F.lit(plain), F.lit(one)), F.replace(o, F.lit(plain), F.lit(other))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", t.alias("ref"), o.alias("spelt"))
+    said = table(spark, d, "conversations")
+    dealt = said.repartition(max(1, math.ceil(said.count() / TURNS)))  # one file is one task otherwise, and a turn costs up to its length squared
+    rows = dealt.select("conv_id", "turn", t.alias("ref"), o.alias("spelt"))
     heard = F.replace(F.replace("spelt", F.lit("th"), F.lit("t")), F.lit("ou"), F.when(F.col("turn") % 2 == 0, "u").otherwise("ouou"))
     return rows.withColumn("hyp", heard)
 
