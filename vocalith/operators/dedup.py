@@ -107,6 +107,23 @@ def _same_file(filed: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+#: Classes of duration in one file of ``_met_once``: one row in so many, and so many below, is filed twice.
+CLASSES = 8
+
+
+def _met_once(filed: DataFrame, by: list[str], tolerance: float) -> DataFrame:
+    """The pairs of ``_same_file`` with a row in one file, or in two at the edge of ``CLASSES`` classes, in place of four; both sides of the join are one
+    shuffled table, as what tells them apart is asked of pairs."""
+    own = F.floor(F.col("cls") / CLASSES).cast("int")
+    files = F.array(own, F.floor((F.col("cls") - 1) / CLASSES).cast("int"), F.floor((F.col("cls") + 1) / CLASSES).cast("int"))
+    rows = filed.select("id", "dur", own.alias("own"), F.xxhash64(*by).alias("key"), *by[:1], F.explode(F.array_distinct(files)).alias("file"))
+    rows = rows.select("id", "dur", *by[:1], (F.col("own") == F.col("file")).alias("own"), F.xxhash64("key", "file").alias("key"))
+    a, b = rows.alias("a"), rows.alias("b")
+    near = F.abs(F.col("a.dur") - F.col("b.dur")) <= tolerance * F.greatest("a.dur", "b.dur")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{by[0]}") == F.col(f"b.{by[0]}")) & F.when(F.col("a.id") < F.col("b.id"), (F.col("a.own") | F.col("b.own")) & near).otherwise(False)
+    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def _trigrams(text: str) -> list[str]:
     t = f"  {text} "
     return [t[k : k + 3] for k in range(len(t) - 2)]
@@ -164,7 +181,7 @@ def near_texts(rows: DataFrame, id_col: str, speaker: str, key: str, duration: s
     base = materialize(base.withColumn("bands", banded("key")), "banded")
     filed = base.select("id", "sp", "dur", _duration_class("dur", tolerance).alias("cls"), F.explode("bands").alias("band"))
     side = lambda x: base.select(F.col("id").alias(x), F.col("key").alias(f"k{x}"))
-    met = _same_file(filed, ["sp", "band"], tolerance).join(side("a"), "a").join(side("b"), "b")
+    met = _met_once(filed, ["sp", "band"], tolerance).join(side("a"), "a").join(side("b"), "b")
     return met.where("ka <> kb").where(alike("ka", "kb")).select("a", "b")
 
 
