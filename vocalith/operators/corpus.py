@@ -44,6 +44,20 @@ def fold_digits(text: Column, first: int = 0x966) -> Column:
     return F.translate(text, "".join(chr(first + k) for k in range(10)), "0123456789")
 
 
+#: What every match of a class has one of.
+SIGN = r"[0-9@]|[A-Z]{2}|://"
+#: A word, and the space after it, that no class can match a part of, and the run of such words between two that can stand beside a match: no class
+#: reaches over a whole word without a digit, but for ``phone`` over brackets and hyphens, with which no such word begins; nor do empty ones count.
+_PROSE = r"[^ \n0-9@A-Z:()-](?:[^ \n0-9@A-Z:]++|[A-Z](?![A-Z])|:(?!//))*+[ \n]|[A-Z](?![A-Z])(?:[^ \n0-9@A-Z:]++|[A-Z](?![A-Z])|:(?!//))*+[ \n]"
+PROSE_RUN = rf"(?<![^ \n])({_PROSE})(?:({_PROSE}))++"
+
+
+def without_prose(text: Column) -> Column:
+    """``text`` with the first and last word only of each run of words that no class of ``NSW`` can match; the matches of all classes stay.
+    Null for a text without any."""
+    return F.when(text.rlike(SIGN), F.regexp_replace(text, PROSE_RUN, "$1$2"))
+
+
 def nsw_counts(text: Column) -> Column:
     """Occurrences by class, in the order of ``NSW``; what an earlier class has taken is masked for the later ones. The text goes
     through the classes in one fold, and one that it has no match of costs a single look."""
@@ -61,9 +75,10 @@ def nsw_counts(text: Column) -> Column:
 
 
 def nsw_profile(rows: DataFrame, text: str, *by: str) -> DataFrame:
-    """Occurrences of each class by group, as rows, in one scan. Null texts count nothing."""
-    counts = rows.where(F.col(text).isNotNull()).select(*by, nsw_counts(F.col(text)).alias("_n"))
-    sums = counts.groupBy(*by).agg(*[F.sum(F.get("_n", F.lit(k))).cast("long").alias(name) for k, (name, _) in enumerate(NSW)])
+    """Occurrences of each class by group, as rows, in one scan; prose that no class can match goes first. Null texts count nothing."""
+    left = rows.where(F.col(text).isNotNull()).select(*by, without_prose(F.col(text)).alias("_t"))
+    counts = left.select(*by, F.when(F.col("_t").isNotNull(), nsw_counts(F.col("_t"))).alias("_n"))
+    sums = counts.groupBy(*by).agg(*[F.sum(F.coalesce(F.get("_n", F.lit(k)), F.lit(0))).cast("long").alias(name) for k, (name, _) in enumerate(NSW)])
     return sums.unpivot([F.col(b) for b in by], [name for name, _ in NSW], "class", "n")
 
 
