@@ -13,7 +13,7 @@ NOT_WORD = r"[^\p{L}\p{N}\p{M}]"
 
 def text_key(text: Column) -> Column:
     """Lower case; letters, digits and marks; anything else is one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), NOT_WORD, " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), f"{NOT_WORD}+", " "))
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vocalith.plans.scratch import materialize
@@ -129,14 +132,54 @@ def _trigrams(text: str) -> list[str]:
     return [t[k : k + 3] for k in range(len(t) - 2)]
 
 
+#: CRC32 of each byte, and trigrams that are hashed at once, of so many rows.
+_CRC = np.array([functools.reduce(lambda c, _: (c >> 1) ^ (0xEDB88320 * (c & 1)), range(8), k) for k in range(256)], np.uint32)
+TRIGRAMS_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 256
+
+
+def _trigram_table(texts: list[bytes], dim: int) -> np.ndarray:
+    """A row a text (UTF-8) with the number of its trigrams by CRC32 modulo ``dim``."""
+    padded = [b"  " + t + b" " for t in texts]
+    raw = np.frombuffer(b"".join(padded), np.uint8)
+    at = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))  # where code points begin
+    ends = np.searchsorted(at, np.cumsum([len(t) for t in padded]))
+    first = np.ones(len(at) - 1, bool)
+    first[ends - 1] = first[ends - 2] = False
+    first = np.flatnonzero(first)
+    out = np.zeros(len(texts) * dim, np.int64)
+    for low in range(0, len(first), TRIGRAMS_AT_ONCE):
+        k = first[low : low + TRIGRAMS_AT_ONCE]
+        begin, size, crc = at[k], at[k + 3] - at[k], np.full(len(k), 0xFFFFFFFF, np.uint32)
+        for j in range(size.max()):
+            on = slice(None) if j < 3 else np.flatnonzero(size > j)
+            crc[on] = _CRC[(crc[on] ^ raw[begin[on] + j]) & 0xFF] ^ (crc[on] >> 8)
+        out += np.bincount(np.searchsorted(ends, k, "right") * dim + (~crc % dim).astype(np.int64), minlength=len(out))
+    return out.reshape(len(texts), dim)
+
+
 def trigram_counts(rows: DataFrame, id_col: str, text: str, dim: int = 1024) -> DataFrame:
-    """Per id (unique) a map ``vector`` from place to count of hashed trigrams; the hash is CRC32 of a trigram's UTF-8. Null texts have none."""
-    letters = F.split(F.concat(F.lit("  "), F.col(text), F.lit(" ")), "")
-    grams = F.transform(F.sequence(F.lit(0), F.size("_l") - 3), lambda k: F.concat(F.get("_l", k), F.get("_l", k + 1), F.get("_l", k + 2)))
-    each = rows.select(id_col, letters.alias("_l")).where("size(_l) >= 3").select(id_col, F.explode(grams).alias("g"))
-    counts = each.groupBy(id_col, (F.crc32(F.col("g").cast("binary")) % dim).cast("int").alias("k")).agg(F.count("*").cast("int").alias("n"))
-    vectors = counts.groupBy(id_col).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("vector"))  # dim entries at most
-    return rows.select(id_col).join(vectors, id_col, "left")
+    """Per id (unique) a map ``vector`` from place to count of hashed trigrams; the hash is CRC32 of a trigram's UTF-8. Null texts have none.
+
+    A text's trigrams are counted where it lies: none becomes a row.
+    """
+    @F.arrow_udf("map<int,int>")
+    def counted(texts: pa.Array) -> pa.Array:
+        every = texts.to_pylist()
+        keys, values, sizes = [], [], []
+        for low in range(0, len(every), ROWS_AT_ONCE):
+            some = every[low : low + ROWS_AT_ONCE]
+            table = _trigram_table([(t or "").encode() for t in some], dim)
+            table[[k for k, t in enumerate(some) if t is None]] = 0
+            row, place = np.nonzero(table)
+            keys.append(place)
+            values.append(table[row, place])
+            sizes.append(np.bincount(row, minlength=len(some)))
+        offsets = np.concatenate([[0], *sizes]).cumsum()
+        void = np.array([t is None for t in every] + [False])
+        flat = lambda x: pa.array(np.concatenate([np.empty(0, np.int64), *x]).astype(np.int32))
+        return pa.MapArray.from_arrays(pa.array(offsets.astype(np.int32), mask=void), flat(keys), flat(values))
+
+    return rows.select(id_col, counted(text).alias("vector"))
 
 
 def near_texts(rows: DataFrame, id_col: str, speaker: str, key: str, duration: str, least: float = 0.92, cosine: float = 0.8, tolerance: float = 0.1, bands: int = 40, size: int = 5) -> DataFrame:
