@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
@@ -88,8 +89,35 @@ def tokens(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     return each.select(*keep, "pos", F.regexp_replace("raw", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("token")).where("token <> ''")
 
 
-def respell(rows: DataFrame, text: str, lexicon: DataFrame, *keep: str) -> DataFrame:
-    """``rows`` (keyed by ``keep``) with whole words replaced from a lexicon (word, say; a row a word), and the number of hits."""
+#: Entries of a lexicon that are broadcast; beyond it the words of all texts are shuffled.
+BROADCAST_ENTRIES = 200_000
+
+
+def respell(rows: DataFrame, text: str, lexicon: DataFrame, *keep: str, limit: int = BROADCAST_ENTRIES) -> DataFrame:
+    """``rows`` (keyed by ``keep``) with whole words replaced from a lexicon (word, say; a row a word), and the number of hits. Null texts are left out.
+
+    Words are looked up inside their texts, which are not shuffled. Beyond ``limit`` entries words become rows that meet the lexicon by a
+    join, with equal results.
+    """
+    entries = lexicon.where("word is not null and say is not null").select("word", "say").limit(limit + 1).collect()  # ``limit`` rows and one at most
+    if len(entries) <= limit:
+        known = {r.word: r.say for r in entries}
+
+        @F.pandas_udf("struct<respelled:string,hits:long>")
+        def said(texts: pd.Series, lower: pd.Series) -> pd.DataFrame:
+            out = []
+            for t, low in zip(texts, lower, strict=True):
+                hits = [(k, known[w]) for k, w in enumerate(low.split(" ")) if w in known]
+                if hits:
+                    words = t.split(" ")
+                    for k, say in hits:
+                        words[k] = say
+                    t = " ".join(words)
+                out.append((t, len(hits)))
+            return pd.DataFrame(out, columns=["respelled", "hits"])
+
+        made = rows.where(F.col(text).isNotNull()).select(*keep, said(F.col(text), F.lower(text)).alias("_said"))
+        return made.select(*keep, "_said.respelled", "_said.hits")
     each = rows.select(*keep, F.posexplode(F.split(text, " ")).alias("pos", "raw")).withColumn("word", F.lower("raw"))
     met = each.join(lexicon, "word", "left")
     return met.groupBy(*keep).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("say", "raw").alias("w")))), lambda x: x["w"]), " ").alias("respelled"), F.count("say").alias("hits"))
