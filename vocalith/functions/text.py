@@ -103,8 +103,8 @@ def canon_all(texts: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words without punctuation and symbols; case is kept. Null and blank texts have none."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("़"), F.lit("")), r"[\p{P}\p{S}]", " "), r"\s+", " "))
-    return F.when(F.length(bare) > 0, F.split(bare, " ")).otherwise(F.expr("cast(array() as array<string>)"))
+    bare = F.trim(F.regexp_replace(F.replace(text, F.lit("़"), F.lit("")), r"[\p{P}\p{S}\s]+", " "))
+    return F.coalesce(F.array_remove(F.split(bare, " "), ""), F.expr("cast(array() as array<string>)"))
 
 
 def corpus_norm(text: Column) -> Column:

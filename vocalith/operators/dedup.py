@@ -255,24 +255,32 @@ BROADCAST_GRAMS = 500_000
 def overlap(evals: DataFrame, train: DataFrame, n: int = 5, limit: int = BROADCAST_GRAMS) -> DataFrame:
     """Per row of ``evals`` (id, words) that is in ``train`` (line, words): ``exact`` or ``ngram``, and the first line.
 
-    The training side's windows are looked up among those of the evaluation side, a broadcast set, before they become rows: as many rows are
-    shuffled as there are hits. Beyond ``limit`` windows all of them are shuffled, with equal results.
+    The training side's texts and windows are looked up among those of the evaluation side, broadcast sets, in one scan and before they become rows: as many
+    rows are written as there are hits. Beyond ``limit`` windows or texts all of them are shuffled, with equal results.
     """
     whole = F.array_join("words", " ")
     e = evals.select("id", whole.alias("t"), ngrams(F.col("words"), n).alias("g"))
     texts = e.select("t").distinct()
-    exact = e.join(train.select(whole.alias("t"), "line").join(texts, "t", "left_semi"), "t").groupBy("id").agg(F.min("line").alias("line")).withColumn("kind", F.lit("exact"))
     grams = materialize(e.select("id", F.explode("g").alias("g")).distinct(), "grams")
-    if grams.count() <= limit:
+    if grams.count() <= limit and texts.count() <= limit:
         known = frozenset(r.g for r in grams.select("g").distinct().collect())  # ``limit`` strings at most
-
-        @F.pandas_udf("array<string>")
-        def hits(words: pd.Series) -> pd.Series:
-            return pd.Series([list({g for g in map(" ".join, zip(*(w[k:] for k in range(n)))) if g in known}) if w is not None else [] for w in words], dtype=object)
-
-        met = train.select("line", F.explode(hits("words")).alias("g"))
+        exact_texts = frozenset(r.t for r in texts.where("t is not null").collect())  # as many, with no more words than the windows have, and four each
+
+        @F.pandas_udf("struct<exact:boolean,g:array<string>>")
+        def hits(train_texts: pd.Series) -> pd.DataFrame:
+            out = []
+            for t in train_texts:
+                w = t.split(" ") if t is not None else []
+                out.append((t in exact_texts, list({g for g in map(" ".join, zip(*(w[k:] for k in range(n)))) if g in known})))
+            return pd.DataFrame(out, columns=["exact", "g"])
+
+        looked = train.select("line", whole.alias("t")).withColumn("h", hits("t")).where("h.exact or size(h.g) > 0")
+        found = materialize(looked.select("line", F.when(F.col("h.exact"), F.col("t")).alias("t"), F.col("h.g").alias("g")), "hits")
+        same, met = found.where("t is not null").select("t", "line"), found.select("line", F.explode("g").alias("g"))
     else:
+        same = train.select(whole.alias("t"), "line").join(texts, "t", "left_semi")
         met = train.select("line", F.explode(ngrams(F.col("words"), n)).alias("g"))
+    exact = e.join(same, "t").groupBy("id").agg(F.min("line").alias("line")).withColumn("kind", F.lit("exact"))
     hit = met.join(grams, "g").groupBy("id").agg(F.min("line").alias("line"))
     return exact.unionByName(hit.join(exact.select("id"), "id", "left_anti").withColumn("kind", F.lit("ngram")))
 
