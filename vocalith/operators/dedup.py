@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vocalith.operators.ranges import ranged, running
 from vocalith.plans.scratch import materialize
 
 
@@ -228,19 +229,34 @@ def near_texts(rows: DataFrame, id_col: str, speaker: str, key: str, duration: s
     return met.where("ka <> kb").where(alike("ka", "kb")).select("a", "b")
 
 
+#: Values that one range holds while a median is sought.
+COUNTS_A_RANGE = 500_000
+
+
+def _medians(counts: DataFrame, name: str) -> DataFrame:
+    """Exact median by ``by`` of ``counts`` (by, value, n; written already). Running sums go over ranges of the values, so that no task holds a group."""
+    total = counts.groupBy("by").agg(F.sum("n").alias("_n"))
+    upto = running(ranged(counts, "by", ["value"], COUNTS_A_RANGE), "by", ["value"], sums={"_upto": F.col("n")})
+    at = lambda rank: F.min_by("value", F.when(F.col("_upto") >= F.expr(rank), F.col("_upto")))
+    mids = upto.join(F.broadcast(total), "by").groupBy("by").agg(F.max("_n").alias("n"), at("(_n + 1) div 2").alias("lo"), at("_n div 2 + 1").alias("hi"))
+    return mids.select("by", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(0.5 * F.col("lo") + 0.5 * F.col("hi")).alias(name))
+
+
 def condition_outliers(rows: DataFrame, group: list[str], floors: dict[str, float], z: float = 4.0, least: int = 20) -> DataFrame:
     """Rows (id, feature) whose robust z-score within their group is beyond ``z``; groups of fewer rows are left out.
 
-    Medians are exact percentiles by group, joined back: two aggregations, no window that holds a group.
+    Both medians come from one count of values by group; rows are read once more, to be scored.
     """
     long = rows.unpivot(["id", *group], list(floors), "feature", "value").where("value is not null")
     by = [*group, "feature"]
-    mids = long.groupBy(*by).agg(F.median("value").alias("med"), F.count("*").alias("n")).where(F.col("n") >= least)
-    off = long.join(F.broadcast(mids), by)
-    mads = off.groupBy(*by).agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
+    named = long.dropna(subset=group).select(F.struct(*by).alias("by"), F.col("value").cast("double").alias("value"))
+    counts = materialize(named.groupBy("by", "value").agg(F.count("*").alias("n")), "counts")
+    mids = materialize(_medians(counts, "med").where(F.col("n") >= least).select("by", "med"), "medians")
+    gaps = counts.join(F.broadcast(mids), "by").groupBy("by", F.abs(F.col("value") - F.col("med")).alias("value")).agg(F.sum("n").alias("n"))
+    both = mids.join(_medians(materialize(gaps, "gaps"), "mad"), "by").select("by.*", "med", "mad")
     floor = F.element_at(F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("feature"))
     score = (F.col("value") - F.col("med")) / F.greatest(1.4826 * F.col("mad"), floor)
-    return off.join(F.broadcast(mads), by).where(F.abs(score) > z).select("id", F.concat(F.lit("condition_outlier_"), "feature").alias("reason"))
+    return long.join(F.broadcast(both), by).where(F.abs(score) > z).select("id", F.concat(F.lit("condition_outlier_"), "feature").alias("reason"))
 
 
 def ngrams(words, n: int = 5):
