@@ -148,3 +148,35 @@ def test_links_within_one_template_are_found(spark):
     lines += ["ab" * 10 + "".join(random.choice("abc") for _ in range(6)) for _ in range(90)]
     want = several(brute_classes(lines))
     assert own_classes(spark, lines) == want and len(want) > 40
+
+
+def reworded(families, n, seed=9):
+    """Lines of templates, each with four of fifty words replaced by other words of one language."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "re", "st", "he", "in", "ed", "wh", "ti", "en"]) for _ in range(rng.randrange(1, 5)))
+    out = []
+    for f in range(families):
+        base = [word() for _ in range(50)]
+        for _ in range(n):
+            line = list(base)
+            for k in rng.sample(range(50), 4):
+                line[k] = word()
+            out.append((f, " ".join(line)))
+    return out
+
+
+def test_lines_of_templates_in_one_language_meet_rarely(spark):
+    """Words of the language that are rare in a template are common in others: rarity is told by file, repeats by number."""
+    lines = sorted(set(reworded(8, 100)))
+    table = spark.createDataFrame([(f, x, 256, False) for f, x in lines], "file long, line string, least int, done boolean").withColumn("key", F.xxhash64("line"))
+    keys = line_dedup._parted(table, 2).dropDuplicates(["file", "line", "part"]).groupBy("file", "part").count()
+    met, pairs = keys.select(F.sum(F.expr("count * (count - 1) div 2"))).first()[0], 8 * 100 * 99 // 2
+    assert met < pairs / 5
+    assert own_classes(spark, [x for _, x in lines]) == several(brute_classes([x for _, x in lines]))
+
+
+@pytest.mark.parametrize("line", ["the cat sat on the mat by the door, the cat", "aaaaaaaaaaaaaaaa", "abcdefgh", "été, été, été, été!"])
+def test_repeated_grams_are_numbered(spark, line):
+    got = spark.createDataFrame([(line,)], "line string").select(line_dedup._grams(F.col("line")).alias("g")).first().g
+    ends = len(line) - line_dedup.GRAM + 1
+    assert len(set(got)) == len(got) and ends <= len(got) <= ends + 1

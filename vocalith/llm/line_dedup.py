@@ -15,12 +15,13 @@ bisection, and the middles go through Hyyro's banded bit-parallel edit distance,
 leave the join. A file with more than ``DENSE`` lines (a family of near copies) does not meet pair by pair: each line is
 held against two members that are drawn by hash. Lines that are then in one class with most of the file are done. The others
 meet every line of other classes of that file that has two grams (``GRAM`` code points in a row) in common with it among the
-rarest of both. An edit changes ``GRAM`` grams at most, so for e edits two of the rarest ``GRAM`` * e + 2 of each line are
-among those of the other, in any order of rarity; that order is taken from a table of hashed counts over the lines that are
-not done. What a template says is in all of its lines, so they meet by what differs: no link between classes is lost, a
-linked family of n gives about n rows, and n lines alike but for sixteen random hexadecimal digits meet in some 4 of 100,000 pairs. Lines
-with fewer different grams (repeated letters, eight code points) meet by two parts of their letters, of two more than the
-edits can change (two each).
+rarest of both. Repeats of a gram are numbered, and an edit changes ``GRAM`` of these at most, so for e edits two of the rarest
+``GRAM`` * e + 2 of each line are among those of the other, in any order of rarity that a file's lines share. What most of
+``DRAWN`` lines of the file say comes last in that order, as a template's words can be rare elsewhere; the rest is ordered by a table
+of hashed counts over the lines that are not done. So lines meet by what they don't have from their template: no link between classes
+is lost, a linked family of n gives about n rows, and n lines alike but for sixteen random hexadecimal digits meet in some 4 of
+100,000 pairs. Lines with fewer grams (eight code points) meet by two parts of their letters, of two more than the edits can change
+(two each). Lines meet without their texts, which are joined to each pair once, however many keys it shares.
 
 Lines are compared without the white space around them; blank lines are left alone.
 """
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vocalith.llm.native import BLANKS, let
 from vocalith.operators.graph import connected_components
@@ -45,8 +46,10 @@ DENSE = 32
 BROADCAST_FILES = 2_000_000
 #: Letters that are counted, modulo 256, to compare lines before their texts are.
 LETTERS = "etnoairs"
-#: Code points of a gram, and hashed counts of grams: their table has this many bytes whatever the input.
+#: Code points of a gram, and hashed counts of grams (a power of two): their table has this many bytes whatever the input.
 GRAM, SLOTS = 4, 1 << 16
+#: Lines of a file that show its template, and words (a power of two) of 64 hashed grams in a file's row; more grams only order worse.
+DRAWN, WORDS = 16, 64
 
 
 def _letters(line: Column) -> Column:
@@ -182,12 +185,17 @@ def _wide(a: Column, b: Column, threshold: int) -> Column:
     )
 
 
-def _linked(a: str, b: str, threshold: int) -> Column:
-    """Whether lines of two sides link: the cheap conditions first."""
+def _near(a: str, b: str, threshold: int) -> Column:
+    """Whether lengths and letters of two sides let them link."""
     c = lambda x, name: F.col(f"{x}.{name}")
     most = allowed(F.least(c(a, "size"), c(b, "size")), threshold)
-    near = (F.abs(c(a, "size") - c(b, "size")) <= most) & _alike(c(a, "letters"), c(b, "letters"), most)
-    return near & (edit_distance(c(a, "line"), c(b, "line"), threshold) <= most)
+    return (F.abs(c(a, "size") - c(b, "size")) <= most) & _alike(c(a, "letters"), c(b, "letters"), most)
+
+
+def _linked(a: str, b: str, threshold: int) -> Column:
+    """Whether lines of two sides link: the cheap conditions first."""
+    most = allowed(F.least(F.col(f"{a}.size"), F.col(f"{b}.size")), threshold)
+    return _near(a, b, threshold) & (edit_distance(F.col(f"{a}.line"), F.col(f"{b}.line"), threshold) <= most)
 
 
 def _edges(met: DataFrame) -> DataFrame:
@@ -203,41 +211,64 @@ def _parts(line: Column, threshold: int) -> Column:
 
 
 def _grams(line: Column) -> Column:
-    """Hashes of the different grams of a line."""
+    """Hashes of the grams of a line; the repeats of one are numbered."""
     places = lambda c: F.sequence(F.lit(1), F.size(c) - GRAM + 1)
-    return let(F.split(line, ""), lambda c: F.array_distinct(F.transform(places(c), lambda k: F.xxhash64(F.slice(c, k, GRAM)))))
+    powers = F.expr("transform(sequence(20, 0, -1), x -> shiftleft(1, x))")
+
+    def numbered(s: Column) -> Column:
+        before = lambda g, k: F.aggregate(powers, F.lit(0), lambda n, p: F.when(F.get(s, k - n - p) == g, n + p).otherwise(n))
+        return F.transform(s, lambda g, k: F.when(F.get(s, k - 1) == g, F.xxhash64(g, before(g, k))).otherwise(g))
+
+    return let(F.split(line, ""), lambda c: let(F.sort_array(F.transform(places(c), lambda k: F.xxhash64(F.slice(c, k, GRAM)))), numbered))
 
 
 def _slot(gram: Column) -> Column:
-    return F.pmod(gram, F.lit(SLOTS)).cast("int")
+    return gram.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
 
+def _bit(gram: Column) -> Column:
+    return gram.bitwiseAND(F.lit(64 * WORDS - 1)).cast("int")
 
-def _rare_pairs(line: Column, counts: Column, edits: Column, threshold: int) -> Column:
+
+def _rare_pairs(line: Column, grams: Column, counts: Column, common: Column, edits: Column, threshold: int) -> Column:
     """Keys that linked lines of a file share one of: each pair of the rarest grams, and ``_parts`` where grams are too few."""
     enough = edits * GRAM + 2
-    ranked = F.array_sort(F.transform(_grams(line), lambda h: F.struct(F.get(counts, _slot(h)).alias("n"), h.alias("h"))))
-    rarest = F.array_sort(F.transform(F.slice(ranked, F.lit(1), enough), lambda x: x["h"]))
+    usual = lambda h: F.getbit(F.get(common, F.shiftright(_bit(h), 6)), h.bitwiseAND(F.lit(63)).cast("int")).cast("long")
+    rank = lambda h: F.coalesce(128 * usual(h), F.lit(0).cast("long")) + F.get(counts, _slot(h))
+    ranked = F.sort_array(F.transform(grams, lambda h: F.shiftleft(rank(h), 55).bitwiseOR(F.shiftrightunsigned(h, 9))))
+    rarest = F.slice(ranked, F.lit(1), enough)
     after = lambda r, x, k: F.transform(F.slice(r, k + 2, F.size(r)), lambda y: F.xxhash64(x, y))
     pairs = lambda r: F.flatten(F.transform(r, lambda x, k: after(r, x, k)))
     return let(rarest, lambda r: F.when(F.size(r) < enough, F.concat(pairs(r), _parts(line, threshold))).otherwise(pairs(r)))
 
 
+def _templates(named: DataFrame, grams: DataFrame) -> DataFrame:
+    """``common`` by ``file``: bits of the hashed grams that half of ``DRAWN`` lines have."""
+    drawn = named.select("file", "key", F.row_number().over(Window.partitionBy("file").orderBy(F.xxhash64("key"))).alias("no")).where(F.col("no") <= DRAWN)
+    bits = drawn.join(grams, "key").repartition("file", "key").select("file", F.explode_outer(F.array_distinct(F.transform("grams", _bit))).alias("bit"))
+    usual = bits.groupBy("file", "bit").count().where(2 * F.col("count") >= DRAWN)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)))
+    words = usual.groupBy("file", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("set"))
+    table = words.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("sets"))
+    return table.select("file", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.coalesce(F.element_at("sets", k), F.lit(0).cast("long"))).alias("common"))
+
+
 def _parted(named: DataFrame, threshold: int) -> DataFrame:
     """``named`` by ``part``: lines of a file that link, one of them not ``done``, have one in common.
 
     No array that is exploded is empty; without ``_outer``, Spark would compute each once more to filter by its size.
     """
-    same = ["line", *[c for c in ("size", "letters") if c in named.columns]]
-    own = F.struct(*[c for c in named.columns if c not in ("least", "key", *same)])
-    once = named.groupBy("least", "key").agg(*[F.first(c).alias(c) for c in same], F.collect_list(own).alias("held"))  # a line has few files
-    open_ = once.where(F.exists("held", lambda x: ~x["done"]))
-    grams = open_.select(F.explode_outer(_grams(F.col("line"))).alias("gram")).select(_slot(F.col("gram")).alias("slot"), F.lit(1).alias("one"))
+    once = named.groupBy("key").agg(F.first("line").alias("line"), F.bool_and("done").alias("closed"))
+    once = materialize(once.select("key", "closed", _grams(F.col("line")).alias("grams")), "grams")
+    open_ = once.where("not closed").select(F.explode_outer("grams").alias("gram")).select(_slot(F.col("gram")).alias("slot"), F.lit(1).alias("one"))
     all_slots = named.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(0).alias("one"))
-    counts = grams.union(all_slots).groupBy("slot").agg(F.least(F.lit(127), 3 * F.log2(F.sum("one") + 1)).cast("byte").alias("n"))
+    counts = open_.union(all_slots).groupBy("slot").agg(F.least(F.lit(127), 3 * F.log2(F.sum("one") + 1)).cast("byte").alias("n"))
     table = counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("counts"))
-    keys = _rare_pairs(F.col("line"), F.col("counts"), allowed(F.col("least"), threshold), threshold)
-    parted = once.crossJoin(F.broadcast(table)).select("least", "key", *same, "held", keys.alias("parts"))  # a table of one row
-    return parted.select("least", "key", *same, "parts", F.inline_outer("held")).select(*named.columns, F.explode_outer("parts").alias("part"))
+    grams = once.select("key", "grams")
+    known = named.join(grams, "key").join(_templates(named, grams), "file", "left").repartition("file", "key")  # a file's lines in many tasks
+    known = known.crossJoin(F.broadcast(table))  # a table of one row
+    keys = _rare_pairs(F.col("line"), F.col("grams"), F.col("counts"), F.col("common"), allowed(F.col("least"), threshold), threshold)
+    return known.select(*named.columns, F.explode_outer(keys).alias("part"))
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -285,10 +316,13 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     named = named.join(main, "file", "left").withColumn("done", F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
     open_ = named.where("not done").select("file").distinct()
     named = materialize(named.join(open_, "file"), "open")
-    named = materialize(_parted(named, threshold), "parts", named)
-    a, b = named.where("not done").alias("a"), named.alias("b")
+    parted = materialize(_parted(named, threshold).select("file", "part", "key", "size", "letters", "root", "done"), "parts")
+    a, b = parted.where("not done").alias("a"), parted.alias("b")
     other = (F.col("a.root").isNull() | F.col("b.root").isNull() | (F.col("a.root") != F.col("b.root"))) & (F.col("b.done") | (F.col("a.key") < F.col("b.key")))
-    rest = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.part") == F.col("b.part")) & other & _linked("a", "b", threshold))
+    met = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.part") == F.col("b.part")) & other & _near("a", "b", threshold))
+    pairs = met.select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()  # texts are compared once a pair
+    texts = materialize(named.groupBy("key").agg(F.first("line").alias("line"), F.first("size").alias("size"), F.first("letters").alias("letters")), "texts", named)
+    rest = pairs.join(texts.alias("a"), F.col("ka") == F.col("a.key")).join(texts.alias("b"), (F.col("kb") == F.col("b.key")) & _linked("a", "b", threshold))
     return materialize(first.union(_edges(rest)), "links", first)
 
 
