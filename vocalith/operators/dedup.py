@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vocalith.operators.ranges import ranged, running
-from vocalith.plans.scratch import materialize
+from vocalith.plans.scratch import drop, materialize
 
 
 def exact_payload(rows: DataFrame, payload: str, speaker: str, order: str = "id") -> DataFrame:
@@ -183,50 +183,218 @@ def trigram_counts(rows: DataFrame, id_col: str, text: str, dim: int = 1024) ->
     return rows.select(id_col, counted(text).alias("vector"))
 
 
+#: Bands that are shuffled at once, of all rows; all bands at once where there are few rows.
+BANDS_A_PASS, FEW_BANDS = 5, 2_000_000
+#: Longs that hold the letter counts of a text, in 7 places of a byte, each 127 at most.
+LETTER_LONGS = 2
+#: Characters of texts, pieces of texts, trigrams of a piece and pairs that are taken at once; the largest cube of an alphabet that is a table.
+CHARS_AT_ONCE, PIECES_AT_ONCE, PIECE, PAIRS_AT_ONCE, CUBE = 1 << 20, 1_024, 256, 1 << 19, 1 << 22
+
+
+def _parts(texts: list[str]):
+    """Slices of ``texts`` of about ``CHARS_AT_ONCE`` characters."""
+    low = chars = 0
+    for k, t in enumerate(texts):
+        chars += len(t)
+        if chars > CHARS_AT_ONCE:
+            yield texts[low : k + 1]
+            low, chars = k + 1, 0
+    if low < len(texts):
+        yield texts[low:]
+
+
+def _grams(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams (21 bits a code point) of texts of ``sizes`` code points, which follow each other in ``codes``; the number of each trigram in its place."""
+    seen = np.zeros(int(codes.max()) + 1, bool)
+    seen[codes] = True
+    letters = np.flatnonzero(seen)
+    place, n = np.zeros(len(seen), np.int64), len(letters)
+    place[letters] = np.arange(n)
+    c, inside = place[codes], np.ones(len(codes), bool)
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False
+    g = ((c[:-2] * n + c[1:-1]) * n + c[2:])[inside[:-2]]
+    if n**3 <= CUBE:
+        there = np.zeros(n**3, bool)
+        there[g] = True
+        known, number = np.flatnonzero(there), np.zeros(n**3, np.int32)
+        number[known] = np.arange(len(known))
+        at = number[g]
+    else:
+        known, at = np.unique(g, return_inverse=True)
+    letters = letters.astype(np.uint64)
+    return (letters[known // (n * n)] << np.uint64(42)) + (letters[known // n % n] << np.uint64(21)) + letters[known % n], at
+
+
+def _lowest(table: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The minimum by column of each text's rows of ``table``; ``at`` names them, ``sizes`` a text, one at least. Long texts go in pieces."""
+    pieces = -(-sizes // PIECE)
+    first = np.cumsum(pieces) - pieces
+    inner = np.arange(pieces.sum()) - np.repeat(first, pieces)
+    starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + inner * PIECE
+    last = np.minimum(np.repeat(sizes, pieces) - inner * PIECE, PIECE) - 1
+    out, order = np.empty((len(starts), table.shape[1]), table.dtype), np.argsort(last, kind="stable")
+    for low in range(0, len(order), PIECES_AT_ONCE):
+        k = order[low : low + PIECES_AT_ONCE]
+        places = at[starts[k] + np.minimum(np.arange(last[k[-1]] + 1)[:, None], last[k])]
+        least = table[places[0]]
+        for row in places[1:]:
+            np.minimum(least, table.take(row, axis=0), out=least)
+        out[k] = least
+    return np.minimum.reduceat(out, first, axis=0)
+
+
+def _banded(mult: np.ndarray, add: np.ndarray, size: int):
+    """Of texts: their minimum hashes in bands of ``size``, a long a band, their length, and counts of their letters in ``LETTER_LONGS`` longs."""
+    odd = np.random.default_rng(12).integers(1, 1 << 63, size, dtype=np.uint64) | np.uint64(1)
+    names, places, bands = [f"l{k}" for k in range(LETTER_LONGS)], 7 * LETTER_LONGS, len(mult) // size
+
+    def part(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        padded = [f"  {t} " for t in texts]
+        codes, sizes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, padded), np.int64, len(padded))
+        grams, at = _grams(codes, sizes)
+        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        low = _lowest(((grams[:, None] * mult + add) >> np.uint64(32)).astype(np.uint32), at, sizes - 2)
+        band = (low.reshape(len(texts), bands, size) * odd).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
+        counts = np.bincount(np.repeat(np.arange(len(texts)), sizes) * places + codes % places, minlength=len(texts) * places)
+        packed = np.zeros((len(texts), LETTER_LONGS, 8), np.uint8)
+        packed[:, :, :7] = np.minimum(counts, 127).reshape(len(texts), LETTER_LONGS, 7)
+        return band.view(np.int64), sizes - 3, packed.view("<i8")[:, :, 0]
+
+    @F.arrow_udf(f"struct<size:int,{','.join(f'{x}:long' for x in names)},bands:array<long>>")
+    def banded(texts: pa.Array) -> pa.Array:
+        got = [part(t) for t in _parts(texts.to_pylist())] or [(np.empty((0, bands), np.int64), np.empty(0, np.int64), np.empty((0, LETTER_LONGS), np.int64))]
+        band, sizes, letters = (np.concatenate(x) for x in zip(*got, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands, pa.int32()), pa.array(band.ravel()))
+        return pa.StructArray.from_arrays([pa.array(sizes.astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in letters.T), lists], ["size", *names, "bands"])
+
+    return banded.asNondeterministic()  # else Spark runs it again for filters that it infers
+
+
+def _in_common(size: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Letters that texts of ``size``, with counts ``a``, have in common with others at most: bytes for several letters, and counts that end at 127, only
+    raise it. Bytes are taken from each other side by side: where ``a`` has as many or more, the byte's highest bit, set before, still is."""
+    ones, high, even = (np.uint64(x) for x in (0x01010101010101, 0x80808080808080, 0x00FF00FF00FF00FF))
+    sums = np.zeros(len(size), np.uint64)
+    for x, y in zip(a, b, strict=True):
+        left = (x | high) - y
+        on = (left >> np.uint64(7)) & ones
+        left &= (on << np.uint64(7)) - on
+        sums += (left & even) + ((left >> np.uint64(8)) & even)
+    sums += sums >> np.uint64(32)
+    return size - ((sums + (sums >> np.uint64(16))) & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def _close(t: pa.Table, new: int, least: float, tolerance: float):
+    """Places i < j, ``new`` <= j, of rows of ``t`` (sorted by ``key`` and ``dur``) of one key, with durations within the tolerance of the longer and letters
+    in common that let a matching-blocks ratio, twice what matches by both lengths, be ``least``; some at a time."""
+    key, dur, size = (t[x].to_numpy() for x in ("key", "dur", "size"))
+    size, letters = size.astype(np.int64), [t[f"l{k}"].to_numpy().view(np.uint64) for k in range(LETTER_LONGS)]
+    values, rank = np.unique(dur, return_inverse=True)
+    cell = np.cumsum(np.append(False, key[1:] != key[:-1])) * (len(values) + 1)
+    start = np.searchsorted(cell + rank, cell + np.searchsorted(values, dur - tolerance * dur - 1e-9 * np.abs(dur)))
+    count = np.maximum(np.arange(len(t)) - start, 0)
+    count[:new] = 0
+    upto = np.cumsum(count)
+    low = new
+    while low < len(t):
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] - count[low] + PAIRS_AT_ONCE, "right")))
+        n = count[low:high]
+        j = np.repeat(np.arange(low, high), n)
+        i = np.arange(len(j)) + np.repeat(start[low:high] - (np.cumsum(n) - n), n)
+        for test in (lambda i, j: np.abs(dur[i] - dur[j]) <= tolerance * np.maximum(dur[i], dur[j]), lambda i, j: 2 * np.minimum(size[i], size[j]) >= (least - 1e-9) * (size[i] + size[j]), lambda i, j: 2 * _in_common(size[i], [x[i] for x in letters], [x[j] for x in letters]) >= (least - 1e-9) * (size[i] + size[j])):
+            ok = test(i, j)
+            i, j = i[ok], j[ok]
+        if len(i):
+            yield i, j
+        low = high
+
+
+def _windows(batches, tolerance: float):
+    """Tables of rows sorted by ``key`` and ``dur``, with the number of rows that the one before held already: those that a later row may be near to."""
+    kept = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([kept, t]).combine_chunks() if kept is not None and len(kept) else t
+        yield t, len(t) - batch.num_rows
+        key, dur = t["key"].to_numpy(), t["dur"].to_numpy()
+        kept = t.slice(int(np.argmax((key == key[-1]) & (dur >= dur[-1] - tolerance * np.abs(dur[-1]) - 1e-9 * np.abs(dur[-1])))))
+
+
+def _with_partner(least: float, tolerance: float):
+    """Of batches of rows sorted by ``key`` and ``dur``, the rows of a pair of ``_close``, once or twice."""
+    def run(batches):
+        for t, new in _windows(batches, tolerance):
+            there = np.zeros(len(t), bool)
+            for i, j in _close(t, new, least, tolerance):
+                there[i] = there[j] = True
+            yield from t.filter(pa.array(there)).to_batches()
+
+    return run
+
+
+def _near_counts(least: float, tolerance: float, cosine: float, dim: int = 1024):
+    """Of batches of rows sorted by ``key`` and ``dur``, ids of the pairs of ``_close`` of one speaker whose hashed trigram counts have a cosine of ``cosine``."""
+    def run(batches):
+        for t, new in _windows(batches, tolerance):
+            speaker, texts = (np.array(t[x].to_pylist(), object) for x in ("sp", "text"))
+            for i, j in _close(t, new, least, tolerance):
+                ok = (speaker[i] == speaker[j]) & (texts[i] != texts[j])
+                i, j = i[ok], j[ok]
+                near = np.empty(len(i), bool)
+                for low in range(0, len(i), ROWS_AT_ONCE):
+                    some = slice(low, low + ROWS_AT_ONCE)
+                    rows, at = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+                    table, (a, b) = _trigram_table([x.encode() for x in texts[rows]], dim), at.reshape(2, -1)
+                    norm = np.sqrt((table * table).sum(axis=1))
+                    near[some] = np.einsum("ij,ij->i", table[a], table[b]) >= cosine * norm[a] * norm[b]
+                yield pa.RecordBatch.from_arrays([t["id"].take(pa.array(x[near])).combine_chunks() for x in (i, j)], ["x", "y"])
+
+    return run
+
+
 def near_texts(rows: DataFrame, id_col: str, speaker: str, key: str, duration: str, least: float = 0.92, cosine: float = 0.8, tolerance: float = 0.1, bands: int = 40, size: int = 5) -> DataFrame:
     """Pairs a < b of one speaker's rows with near equal texts: durations within a tolerance, different keys, hashed trigram counts
     of a cosine of at least ``cosine``, and a matching-blocks ratio of at least ``least``.
 
-    Rows meet that share a speaker, a band of minimum hashes over their trigrams, and a class of durations (or neighbouring ones). Sets of
-    trigrams with a similarity of 0.7, low for such a ratio, share one of 40 bands of 5 but for 6 in 1,000. Both scores are computed
-    on pairs that meet only, over whole texts. Null keys and speakers have no pair.
+    Rows meet that share a speaker and a band of minimum hashes over their trigrams. Sets of trigrams with a similarity of 0.7, low for such a
+    ratio, share one of 40 bands of 5 but for 6 in 1,000. Null keys, speakers and durations have no pair.
+
+    Most rows that share a band are not alike, and their pairs grow with the square of the rows. So none is written: rows are sorted by band and duration,
+    each is held against those before it within the tolerance, by counts of letters, which lose no pair, and only rows that still have a partner
+    get their texts. Both scores are computed over whole texts. Bands are shuffled ``BANDS_A_PASS`` at once; a pass leaves pairs of near
+    counts. ``rows`` that are written already are not written again.
     """
-    import zlib
     from difflib import SequenceMatcher
 
     rng = np.random.default_rng(11)
     mult, add = (rng.integers(1, 1 << 63, bands * size, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 
-    @F.pandas_udf("array<long>")
-    def banded(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            codes = np.array([ord(c) for c in f"  {t} "], np.uint64)
-            grams = np.unique(codes[:-2] * np.uint64(1 << 42) + codes[1:-1] * np.uint64(1 << 21) + codes[2:])
-            grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            low = np.full(bands * size, 2**64 - 1, np.uint64)
-            for at in range(0, len(grams), 4096):
-                low = np.minimum(low, (grams[at : at + 4096, None] * mult + add).min(axis=0))
-            low = (low >> np.uint64(32)).reshape(bands, size)
-            out.append([zlib.crc32(bytes([k]) + row.tobytes()) | (k << 32) for k, row in enumerate(low)])
-        return pd.Series(out)
-
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            u, v = (np.bincount([zlib.crc32(g.encode()) % 1024 for g in _trigrams(t)], minlength=1024).astype(float) for t in (a, b))
-            ok = u @ v >= cosine * np.linalg.norm(u) * np.linalg.norm(v)
-            m = SequenceMatcher(None, a, b)
-            out.append(bool(ok and m.quick_ratio() >= least and m.ratio() >= least))
-        return pd.Series(out, dtype=bool)
-
-    base = rows.where(F.col(key).isNotNull() & F.col(duration).isNotNull()).select(F.col(id_col).alias("id"), F.col(speaker).alias("sp"), F.col(key).alias("key"), F.col(duration).cast("double").alias("dur"))
-    base = materialize(base.withColumn("bands", banded("key")), "banded")
-    filed = base.select("id", "sp", "dur", _duration_class("dur", tolerance).alias("cls"), F.explode("bands").alias("band"))
-    side = lambda x: base.select(F.col("id").alias(x), F.col("key").alias(f"k{x}"))
-    met = _met_once(filed, ["sp", "band"], tolerance).join(side("a"), "a").join(side("b"), "b")
-    return met.where("ka <> kb").where(alike("ka", "kb")).select("a", "b")
+        both = (SequenceMatcher(None, a, b) for a, b in zip(x, y, strict=True))
+        return pd.Series([m.quick_ratio() >= least and m.ratio() >= least for m in both], dtype=bool)
+
+    base = rows.select(F.col(id_col).alias("id"), F.col(speaker).alias("sp"), F.col(key).alias("text"), F.col(duration).cast("double").alias("dur")).dropna()
+    own = None if getattr(rows, "scratch_path", None) else (base := materialize(base, "texts", lean=True))
+    step, found = bands if base.count() * bands <= FEW_BANDS else BANDS_A_PASS, None
+    kind, letters = dict(base.dtypes)["id"], [f"l{k}" for k in range(LETTER_LONGS)]
+    sorted_ = lambda df: df.repartition("key").sortWithinPartitions("key", "dur")
+    for low in range(0, bands, step):
+        some = slice(low * size, (low + step) * size)
+        placed = base.select("id", "sp", "dur", _banded(mult[some], add[some], size)("text").alias("p")).select("id", "sp", "dur", "p.size", *[f"p.{x}" for x in letters], F.explode("p.bands").alias("band"))
+        filed = sorted_(placed.select("id", "dur", "size", *letters, F.xxhash64("sp", "band").alias("key")))
+        kept = materialize(filed.mapInArrow(_with_partner(least, tolerance), filed.schema).distinct(), "met", lean=True)
+        texts = sorted_(kept.join(base.select("id", "sp", "text"), "id"))
+        met = texts.mapInArrow(_near_counts(least, tolerance, cosine), f"x {kind}, y {kind}").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        found = materialize((met.union(found) if found else met).distinct(), "pairs", found, lean=True)
+        drop(kept)
+    side = lambda x: base.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+    out = materialize(found.join(side("a"), "a").join(side("b"), "b").where(alike("ta", "tb")).select("a", "b"), "near", found, lean=True)
+    drop(own)
+    return out
 
 
 #: Values that one range holds while a median is sought.

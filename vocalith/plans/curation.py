@@ -8,6 +8,7 @@ from vocalith.functions import text as T
 from vocalith.operators import corpus as C, dedup as D, gates as G, reports as R, splits as S
 from vocalith.plans.base import Book, clips, table
 from vocalith.plans.gates import GATED_SQL
+from vocalith.plans.scratch import drop, materialize
 
 book = Book()
 KEY_SQL = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -53,8 +54,11 @@ def said(spark, d):
 
 @book.add("near_dup_text")
 def near_dup_text(spark, d):
-    live = D.exact_text(D.exact_payload(said(spark, d), "sha", "speaker").where("dup is null").drop("dup"), "speaker", "key").where("dup is null")
+    rows = said(spark, d).withColumn("sha", F.unhex("sha"))
+    once = materialize(D.exact_payload(rows, "sha", "speaker").where("dup is null").drop("dup", "sha"), "payloads", lean=True)
+    live = materialize(D.exact_text(once, "speaker", "key").where("dup is null").drop("dup"), "live", once, lean=True)
     pairs = D.near_texts(live, "id", "speaker", "key", "n_chars")
+    drop(live)
     return D.keep_first(pairs).where("not kept").select("id", F.lit("near_duplicate_text").alias("reason"))
 
 

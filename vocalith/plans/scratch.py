@@ -42,18 +42,42 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _written.pop(path, None)
 
 
-def materialize(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> DataFrame:
-    """Write ``df`` and return it as read back; ``replaces`` is an earlier table that is not needed any more."""
+#: Spark's setting that removes the shuffle files of a write when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: Rows in a file of a lean table: adaptive shuffles make few files, which few tasks would read.
+ROWS_A_FILE = 50_000
+
+
+def materialize(df: DataFrame, tag: str, replaces: DataFrame | None = None, lean: bool = False) -> DataFrame:
+    """Write ``df`` and return it as read back; ``replaces`` is an earlier table that is not needed any more.
+
+    ``lean`` spares disk, for tables that are large beside the input: the write's shuffle files go as it ends, and columns are packed closer.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    if lean:
+        before = spark.conf.get(CLEANUP, "false")
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.select("*").write.options(compression="zstd", maxRecordsPerFile=ROWS_A_FILE).parquet(path)
+        finally:
+            spark.conf.set(CLEANUP, before)
+    else:
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    if replaces is not None and getattr(replaces, "scratch_path", None):
-        drop_path(spark, replaces.scratch_path)
+    drop(replaces)
     return out
 
 
+def drop(table: DataFrame | None) -> None:
+    """Remove a table of ``materialize`` that is not needed any more; any other is left."""
+    if table is not None and getattr(table, "scratch_path", None):
+        drop_path(table.sparkSession, table.scratch_path)
+
+
 @atexit.register
 def _tidy() -> None:
     """Remove what a session that is still up has written; a killed driver leaves it to the folder's owner."""
